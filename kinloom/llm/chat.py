@@ -35,7 +35,7 @@ PART = "struct<type:string,text:string,ref:string,units:bigint>"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, CONTROL, r"$1\\\\")
+    return F.regexp_replace(text, CONTROL, r"$1\\")
 
 
 def unescape(text: Column) -> Column:
