@@ -143,7 +143,8 @@ def training_words(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     size = docs.where(usable).groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = docs.where(usable).join(size, F.col("lang") == F.col("_lang")).where(place * F.col("_n") < sample).select("lang", "text")
+    # One row for each language: the model itself has a column for each.
+    drawn = docs.where(usable).join(F.broadcast(size), F.col("lang") == F.col("_lang")).where(place * F.col("_n") < sample).select("lang", "text")
 
     def count(batches):
         for b in batches:
