@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, html, language, mixing, neardup, packing, repeats
+from . import chat, embeddings, fingerprints, html, language, mixing, neardup, packing, repeats
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(parts))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_minhash": op2_minhash,
         "op3_chat": op3_chat,
+        "op4_embeddings": op4_embeddings,
         "op5_mixing": op5_mixing,
         "op6_html": op6_html,
         "op7_language": op7_language,
