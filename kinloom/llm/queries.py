@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, fingerprints, html, language, mixing, neardup, packing, repeats
+from . import chat, embeddings, fingerprints, html, language, mixing, neardup, packing, quality, repeats
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_html": op6_html,
         "op7_language": op7_language,
+        "op8_quality": op8_quality,
         "op9_repeats": op9_repeats,
         "op10_packing": op10_packing,
     }
