@@ -194,11 +194,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str
     return langs, p
 
 
-def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the columns of ``docs``; reads only ``text``."""
+def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None = None,
+            added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds a language and its score to the columns of ``docs``; reads only ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(p)  # languages times pieces
     names = [*docs.columns]
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
     text_at = names.index("text")
 
     def run(batches):
@@ -228,7 +229,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None =
                     pred.append(langs[k])
                     sure.append(1.0 / float(np.exp(np.maximum(total - total[k], -700.0)).sum()))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                [*b.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
@@ -243,5 +244,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path:
 def accepted(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose text has a language; their columns unchanged."""
     langs, p = train(docs.select("doc_id", "text", "lang"), **how)
-    clean = docs.toDF(*docs.columns)
-    return predict(clean, langs, p).where("lang_pred <> 'und'").select(*docs.columns)
+    found = predict(docs, langs, p, added=("__lang_pred", "__score"))
+    return found.where("__lang_pred <> 'und'").select(*docs.columns)

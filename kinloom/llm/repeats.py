@@ -179,8 +179,11 @@ def _texts(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     return bytehash.slices(t["text"].combine_chunks().cast(pa.large_string()))
 
 
-def plan_removals(docs: DataFrame, length: int, chunks: int, anchor_buckets: int, part_buckets: int) -> DataFrame:
-    """``chunk, ids, starts, ends``: byte ranges to remove, packed, of ``docs(doc_id, text, chunk)``."""
+def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_buckets: int) -> DataFrame:
+    """``chunk, ids, starts, ends``: byte ranges to remove, packed, of ``docs(doc_id, text, __chunk)``.
+
+    Other columns of ``docs`` ride along, so that all passes share one exchange.
+    """
     inner = max(8, length // 2 - 1)
     part_inner = max(8, length // 4)
 
@@ -204,7 +207,7 @@ def plan_removals(docs: DataFrame, length: int, chunks: int, anchor_buckets: int
         o = np.argsort(b, kind="stable")
         b, packed = b[o], (bits << np.uint32(1) | many)[o].astype(np.uint32)
         c = cuts(b)
-        k = t["chunk"][0].as_py()
+        k = t["__chunk"][0].as_py()
         return pa.table({"bucket": pa.array(b[c[:-1]]), "chunk": pa.array(np.full(len(c) - 1, k, np.int64)),
                          "packed": pa.array([packed[x:y].tobytes() for x, y in zip(c[:-1], c[1:])], pa.binary())})
 
@@ -227,7 +230,7 @@ def plan_removals(docs: DataFrame, length: int, chunks: int, anchor_buckets: int
     def cut_parts(t: pa.Table, hits: pa.Table) -> pa.Table:
         out = {c: [] for c in ("bucket", "chunk", "ids", "starts", "sizes", "data", "given")}
         if len(t) and len(hits):
-            ids, k = _ids(t["doc_id"]), t["chunk"][0].as_py()
+            ids, k = _ids(t["doc_id"]), t["__chunk"][0].as_py()
             known = np.sort(np.concatenate([np.frombuffer(p.as_py(), np.uint32).astype(np.int64) | b << 31 for b, p in zip(hits["bucket"].to_numpy(), hits["packed"])]))
             found = [_parts_of(ids[at:at + len(bounds) - 1], data, bounds, known) for at, data, bounds in _texts(t)]
             doc, start, size, least, digest = (np.concatenate(x) for x in list(zip(*found))[:5])
@@ -316,9 +319,9 @@ def plan_removals(docs: DataFrame, length: int, chunks: int, anchor_buckets: int
         return pa.table({"chunk": pa.array(columns[0], pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in zip(("ids", "starts", "ends"), columns[1:])}})
 
     packed = "bucket bigint, chunk bigint, packed binary"
-    found = docs.groupBy("chunk").applyInArrow(find, packed)
+    found = docs.groupBy("__chunk").applyInArrow(find, packed)
     shared = found.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket bigint, packed binary")
-    parts = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
+    parts = docs.groupBy("__chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
         cut_parts, "bucket bigint, chunk bigint, ids binary, starts binary, sizes binary, data binary, given binary")
     return parts.groupBy("bucket").applyInArrow(settle, "chunk bigint, ids binary, starts binary, ends binary")
 
@@ -351,8 +354,8 @@ def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
     """``act(rows, [(kept bytes, removed, spans), ...])`` over the chunks of ``docs``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, anchor_buckets, part_buckets = (max(16, -(-size // x)) for x in (CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
-    plan = plan_removals(dealt.select("doc_id", "text", "chunk"), length, chunks, anchor_buckets, part_buckets)
+    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
+    plan = plan_removals(dealt, length, anchor_buckets, part_buckets)
 
     def finish(t: pa.Table, spans: pa.Table) -> pa.Table:
         ids = _ids(t["doc_id"])
@@ -371,7 +374,7 @@ def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
             done.append((kept, len(raw) - len(kept), len(first)))
         return act(t, done)
 
-    return dealt.groupBy("chunk").cogroup(plan.groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("__chunk").cogroup(plan.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
