@@ -35,7 +35,7 @@ from . import bytehash
 
 LENGTH = 50
 #: Bytes of text in a chunk, and for each bucket of anchors and of parts.
-CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 8 << 20, 32 << 20, 8 << 20
+CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 4 << 20, 16 << 20, 2 << 20
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
@@ -147,24 +147,32 @@ def string_classes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return order, np.cumsum(split, dtype=np.int64) - 1
 
 
-def later_strings(parts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each part, which of its strings a part with a smaller owner holds too."""
-    data = np.frombuffer(b"\0".join(parts), np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    owner = np.full(len(data), _LAST)
-    valid = np.zeros(len(data) + 1, np.int8)
-    np.add.at(valid, starts, 1)
-    np.add.at(valid, starts + sizes - length + 1, -1)
-    valid = np.cumsum(valid[:-1]).astype(bool)
-    owner[:] = np.repeat(owners, np.r_[sizes[:-1] + 1, sizes[-1:]])
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def later_runs(data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which strings of the parts, joined by single bytes in ``data``, a part of a smaller owner holds.
+
+    Returns part, first start and last start of each run of such strings.
+    """
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    owner = np.repeat(owners, np.r_[sizes[:-1] + 1, sizes[-1:]])
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[starts + sizes - length + 1] -= 1
+    valid = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
     order, number = string_classes(data, length)
-    ranked = np.where(valid[order], owner[order], _LAST)
+    ranked = np.where(valid, owner, _LAST)[order]
     least = np.minimum.reduceat(ranked, cuts(number)[:-1])
-    later = np.zeros(len(data), bool)
-    later[order] = least[number] < ranked
-    later &= valid
-    return [later[a:a + n - length + 1] for a, n in zip(starts, sizes)]
+    later = np.zeros(len(data) + 2, np.int8)
+    later[order + 1] = least[number] < ranked
+    edge = np.diff(later)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    part = np.searchsorted(starts, first, side="right") - 1
+    return part, first - starts[part], last - starts[part]
 
 
 def _joined(arrays, dtype) -> np.ndarray:
@@ -238,9 +246,9 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
             if len(doc):
                 base = np.cumsum([0] + [len(x) for x in blobs])
                 place = np.concatenate([f[6] + b for f, b in zip(found, base)])
-                text = b"".join(blobs)
+                text = np.concatenate(blobs)
                 # of equal parts in this chunk only those of the least document ask their bucket
-                o = np.lexsort((doc, digest, size))
+                o = np.lexsort((doc, digest))
                 c = cuts(digest[o])
                 head = np.repeat(doc[o][c[:-1]], np.diff(c))
                 later = np.zeros(len(doc), bool)
@@ -252,8 +260,8 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
                 c = cuts(b[ask])
                 for x, y in zip(c[:-1], c[1:]):
                     own = ask[x:y]
-                    row = (int(b[own[0]]), k, doc[own].tobytes(), start[own].tobytes(), size[own].tobytes(),
-                           b"".join(text[p:p + n] for p, n in zip(place[own], size[own])), given.tobytes() if x == 0 else b"")
+                    row = (int(b[own[0]]), k, doc[own].tobytes(), start[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes(),
+                           text[spread(place[own], size[own])].tobytes(), given.tobytes() if x == 0 else b"")
                     for column, v in zip(out.values(), row):
                         column.append(v)
         return pa.table({c: pa.array(v, pa.int64() if c in ("bucket", "chunk") else pa.binary()) for c, v in out.items()})
@@ -280,41 +288,49 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
         size = z - a + length - 1
         digest = span_hashes(stretch, a, size)
         return (ids[of[head]][s] if len(head) else np.zeros(0, np.int64), (a - inner_bounds[s] + (lo - bounds[of[head]])[s]) if len(a) else a,
-                size, least, digest, stretch.tobytes(), a)
+                size, least, digest, stretch, a)
 
     def settle(t: pa.Table) -> pa.Table:
         chunk = t["chunk"].to_numpy()
-        doc, start, size = ([np.frombuffer(x.as_py(), np.int64) for x in t[c]] for c in ("ids", "starts", "sizes"))
-        k = np.repeat(np.arange(len(chunk)), [len(x) for x in doc])
-        doc, start, size = (np.concatenate(x) for x in (doc, start, size))
-        data = np.frombuffer(b"".join(x.as_py() for x in t["data"]), np.uint8)
-        place = np.r_[0, np.cumsum(size)[:-1]]
+        doc, start, size = (_joined(t[c], kind) for c, kind in (("ids", np.int64), ("starts", np.int32), ("sizes", np.int32)))
+        start, size = start.astype(np.int64), size.astype(np.int64)
+        k = np.repeat(np.arange(len(chunk)), [len(x.as_py()) // 8 for x in t["ids"]])
+        data = _joined(t["data"], np.uint8)
+        place = np.cumsum(size) - size
         digest = span_hashes(data, place, size)
-        o = np.lexsort((doc, digest, size))
+        o = np.lexsort((doc, digest))
         c = cuts(digest[o])
         lead = o[c[:-1]]
         cls = np.empty(len(o), np.int64)
         cls[o] = np.repeat(np.arange(len(lead)), np.diff(c))
-        raw = data.tobytes()
-        later = later_strings([raw[p:p + n] for p, n in zip(place[lead], size[lead])], doc[lead], length)
-        spans: list[list[np.ndarray]] = [[], [], [], []]
         gone = doc > doc[lead][cls]
-        for column, v in zip(spans, (k[gone], doc[gone], start[gone], start[gone] + size[gone])):
-            column.append(v)
-        some = np.array([x.any() for x in later], bool)
-        for i in np.flatnonzero(~gone & some[cls]):
-            a, z = covered(later[cls[i]], length)
-            for column, v in zip(spans, (np.full(len(a), k[i]), np.full(len(a), doc[i]), start[i] + a, start[i] + z)):
-                column.append(v)
-        k2, doc, a, z = (np.concatenate(x) for x in spans)
-        given = [np.frombuffer(x.as_py() or b"", np.int64).reshape(3, -1) for x in t["given"]]
+        # the distinct parts, each with a byte after it that no string spans
+        own, n = np.zeros(int(size[lead].sum()) + max(0, len(lead) - 1), np.uint8), size[lead]
+        own[spread(np.cumsum(n + 1) - n - 1, n)] = data[spread(place[lead], n)]
+        part, first, last = later_runs(own, n, doc[lead], length)
+        # what is found for a part holds for all entries of its least document
+        kept = np.flatnonzero(~gone)
+        lo, hi = np.searchsorted(part, cls[kept]), np.searchsorted(part, cls[kept], side="right")
+        i, r = np.repeat(kept, hi - lo), spread(lo, hi - lo)
+        row = np.r_[k[gone], k[i]]
+        doc, a, z = np.r_[doc[gone], doc[i]], np.r_[start[gone], start[i] + first[r]], np.r_[(start + size)[gone], start[i] + last[r] + length]
+        o = np.lexsort((a, doc, row))
+        row, doc, a, z = row[o], doc[o], a[o], z[o]
+        fresh = np.ones(len(row), bool)
+        if len(row):  # ranges of one document that overlap become one
+            base = np.cumsum(np.r_[0, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])]) << 32
+            reach = np.maximum.accumulate(base + z)
+            fresh[1:] = (base + a)[1:] > reach[:-1]
+            head = np.flatnonzero(fresh)
+            end = np.r_[head[1:], len(row)] - 1
+            row, doc, a, z = row[head], doc[head], a[head], reach[end] - base[end]
+        at = np.searchsorted(row, np.arange(len(chunk) + 1))
         rows = []
-        o = np.argsort(k2, kind="stable")
-        at = np.searchsorted(k2[o], np.arange(len(chunk) + 1))
-        for j, g in enumerate(given):
-            own = o[at[j]:at[j + 1]]
-            if len(own) or g.shape[1]:
-                rows.append((int(chunk[j]), *(np.r_[x[own], y].astype(np.int64).tobytes() for x, y in zip((doc, a, z), g))))
+        for j, g in enumerate(t["given"]):
+            g = np.frombuffer(g.as_py() or b"", np.int64).reshape(3, -1)
+            x, y = at[j], at[j + 1]
+            if y > x or g.shape[1]:
+                rows.append((int(chunk[j]), np.r_[doc[x:y], g[0]].tobytes(), *(np.r_[v[x:y], w].astype(np.int32).tobytes() for v, w in ((a, g[1]), (z, g[2])))))
         columns = list(zip(*rows)) if rows else [[], [], [], []]
         return pa.table({"chunk": pa.array(columns[0], pa.int64()), **{c: pa.array(v, pa.binary()) for c, v in zip(("ids", "starts", "ends"), columns[1:])}})
 
@@ -335,12 +351,6 @@ def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     return bytehash.mix((running[start + size] - running[start]) * down[start] + size.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def covered(later: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges that the marked strings cover, by runs of marked starts."""
-    edge = np.diff(np.r_[0, later.astype(np.int8), 0])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
-
-
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal ranges of their union; ranges that touch are one."""
     o = np.argsort(start, kind="stable")
@@ -359,7 +369,7 @@ def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
 
     def finish(t: pa.Table, spans: pa.Table) -> pa.Table:
         ids = _ids(t["doc_id"])
-        doc, a, z = (_joined(spans[c], np.int64) for c in ("ids", "starts", "ends"))
+        doc, a, z = (_joined(spans[c], kind) for c, kind in (("ids", np.int64), ("starts", np.int32), ("ends", np.int32)))
         o = np.argsort(doc, kind="stable")
         doc, a, z = doc[o], a[o], z[o]
         lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
