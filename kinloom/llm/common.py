@@ -73,6 +73,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out.select(F.col("u").alias("id"), "component").unionByName(roots)
 
 
+#: A set of ids is broadcast as bitmaps of 32768 ids while they take at most so many bytes.
+BITMAP_BYTES, BITMAP_PAGE = 32 << 20, 4096
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose bigint ``column`` is in the one column of ``ids``; null isn't.
+
+    The ids are packed into bitmap pages. Only if the counted pages are few
+    enough are they broadcast, which spares the rows a shuffle; otherwise this is
+    a plain semi join.
+    """
+    (name,) = ids.columns
+    pages = cut(ids.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(name).alias("_page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias("_bits")))
+    if pages.count() * BITMAP_PAGE > BITMAP_BYTES:
+        return df.join(ids.select(F.col(name).alias("_id")).distinct(), F.col(column) == F.col("_id"), "left_semi")
+    at = F.bitmap_bit_position(column)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
+    return df.join(F.broadcast(pages), F.bitmap_bucket_number(column) == F.col("_page")).where(bit == 1).drop("_page", "_bits")
+
+
 def two_level_offsets(df: DataFrame, key: list[str], part: str, size: Column | None) -> DataFrame:
     """Rows (or words) of the parts before each part of a key: ``key, part, base``.
 
