@@ -28,8 +28,8 @@ def _ends(sites: DataFrame) -> DataFrame:
 
 
 def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, DataFrame]:
-    """Forward steps ``chrom, h1, h2, at, to`` from run end to run end, and backward ones from run
-    start to run start; a backward step ``to`` -1 runs into an earlier seed."""
+    """Forward steps ``chrom, h1, h2, from_idx, to_idx`` from run end to run end, and backward ones from run
+    start to run start; a backward step to -1 runs into an earlier seed."""
     pair = Window.partitionBy("chrom", "h1", "h2")
     order = pair.orderBy("site_id")
     m = located(mm, sites).join(_ends(sites), "chrom").select(
@@ -48,23 +48,23 @@ def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, Dat
     cm_fm = F.when(inner, f("cm_after")).otherwise(f("prv_after"))
     cm_to = F.when(inner & f("nxt").isNotNull(), f("nxt_before")).otherwise(F.col("_cm_last"))
     ahead = m.where(F.col("site_id") - 1 <= F.col("_last") - 2).select(
-        "chrom", "h1", "h2", (F.col("site_id") - 1).alias("at"), to.alias("to"), (cm_to - cm_fm).alias("cm"), (to - fm).alias("n"))
-    ahead = ahead.where((F.col("cm") >= p.extend_cm) & (F.col("n") >= p.extend_markers)).select("chrom", "h1", "h2", "at", "to")
+        "chrom", "h1", "h2", (F.col("site_id") - 1).alias("from_idx"), to.alias("to_idx"), (cm_to - cm_fm).alias("cm"), (to - fm).alias("n"))
+    ahead = ahead.where((F.col("cm") >= p.extend_cm) & (F.col("n") >= p.extend_markers)).select("chrom", "h1", "h2", "from_idx", "to_idx")
     inner = b("site_id") > 0
     fm = F.when(inner, b("site_id") - 1).otherwise(b("nxt") - 1)
     to = F.when(inner, F.coalesce(b("prv") + 1, F.lit(0))).otherwise(F.lit(0))
     cm_fm = F.when(inner, b("cm_before")).otherwise(b("nxt_before"))
     cm_to = F.when(inner & b("prv").isNotNull(), b("prv_after")).otherwise(F.col("_cm_first"))
     behind = m.where("site_id + 1 >= 2").select(
-        "chrom", "h1", "h2", (F.col("site_id") + 1).alias("at"), to.alias("to"), (cm_fm - cm_to).alias("cm"), (fm - to).alias("n"))
+        "chrom", "h1", "h2", (F.col("site_id") + 1).alias("from_idx"), to.alias("to_idx"), (cm_fm - cm_to).alias("cm"), (fm - to).alias("n"))
     earlier = (F.col("cm") >= p.min_seed) & (F.col("n") >= p.min_markers - 1)
     behind = behind.where(earlier | (F.col("cm") >= p.extend_cm) & (F.col("n") >= p.extend_markers)).select(
-        "chrom", "h1", "h2", "at", F.when(earlier, -1).otherwise(F.col("to")).alias("to"))
+        "chrom", "h1", "h2", "from_idx", F.when(earlier, -1).otherwise(F.col("to_idx")).alias("to_idx"))
     return ahead, behind
 
 
 def _listed(step: DataFrame, name: str, forward: bool) -> DataFrame:
-    path = F.sort_array(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("to").cast("long").alias("to"))), asc=forward)
+    path = F.sort_array(F.collect_list(F.struct(F.col("from_idx").cast("long").alias("at"), F.col("to_idx").cast("long").alias("to"))), asc=forward)
     return step.groupBy("chrom", "h1", "h2").agg(path.alias(name))
 
 
