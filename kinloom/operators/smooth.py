@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..params import Smoothing
 
 #: Sites whose alleles fit into one number.
@@ -96,7 +97,7 @@ def is_smooth_already(n_corrections: int, n_alleles: int, below: float = 0.001)
 
 def smoothed(haps: DataFrame, p: Smoothing) -> tuple[DataFrame, DataFrame]:
     """The smoothed panel and its corrections; a panel that is smooth already stays as it is."""
-    edits = corrections(haps, p)
+    edits = written(corrections(haps, p))
     n = edits.count()
     if is_smooth_already(n, haps.count()):
         return haps, edits.limit(0)

@@ -167,7 +167,7 @@ def _network() -> str:
 
 
 _TREES = """1 / (1 + exp(-(
-  CASE WHEN n_mismatches_0 < 0.5 THEN 0.25 WHEN n_mismatches_1 < 1.5 THEN -0.5 ELSE 0.75 END
+  CASE WHEN n_mismatches_0 < 0.5 THEN -0.6 WHEN n_mismatches_1 < 1.5 THEN -0.5 ELSE 0.75 END
   + CASE WHEN n_mismatches_2 < 0.5 THEN -0.25 ELSE 0.5 END)))"""
 
 

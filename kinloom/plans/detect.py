@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions.models import Network, Trees, kept, scored
 from ..operators import extend, features, gmap, panel, seeds, smooth
 from ..params import Detection, Smoothing
@@ -33,9 +34,9 @@ def detect(haps: DataFrame, sites: DataFrame, knots: DataFrame, p: Detection = D
     edits = None
     if s is not None:
         haps, edits = smooth.smoothed(haps, s)
-    kept_sites = panel.kept_sites(haps, sites, p.min_mac)
+    kept_sites = written(panel.kept_sites(haps, sites, p.min_mac))
     haps = panel.renumbered(haps, kept_sites)
-    placed = gmap.interpolated(kept_sites, knots)
+    placed = written(gmap.interpolated(kept_sites, knots))
     pairs = seeds.candidate_pairs(haps, p.min_markers) if by_candidates else seeds.all_pairs(haps)
     mm = seeds.mismatches(haps, pairs if by_candidates else None)
     run = seeds.runs(mm, pairs, placed)
@@ -52,9 +53,10 @@ def detect(haps: DataFrame, sites: DataFrame, knots: DataFrame, p: Detection = D
 def filtered(found: Found, model: Network | Trees, below: float = 0.5) -> DataFrame:
     """Segments whose scaled features the model gives a low probability of being false."""
     names = features.feature_names()
-    f = features.wide(features.chunked(found.segments, found.sites, found.mismatches, found.corrections))
+    segs = written(found.segments)
+    f = written(features.wide(features.chunked(segs, found.sites, found.mismatches, found.corrections)))
     ok = kept(scored(features.scaled(f, names), names, model), below=below).select(*features.KEY)
-    return found.segments.join(ok, list(features.KEY), "left_semi")
+    return segs.join(ok, list(features.KEY), "left_semi")
 
 
 def summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import written
 from .functions import models
 from .operators import evaluate, extend, features, gmap, panel, seeds, smooth
 from .params import Detection, Smoothing
@@ -104,9 +105,9 @@ def _segments(spark, d):
 
 def _truth(spark, d):
     """Spans of one founder, of at least 1 centiMorgan, of haplotypes of different samples."""
-    at = placed(spark, d)
+    at = sites(spark, d)
     end = at.groupBy("chrom").agg(F.max("bp").alias("end_bp"))
-    spans = evaluate.mrca_segments(_trees(spark, d), end)
+    spans = written(evaluate.mrca_segments(_trees(spark, d), end))
     cm = lambda b, n: gmap.interpolated(b, knots(spark, d)).withColumnRenamed("cm", n)
     s = cm(spans.withColumnRenamed("start_bp", "bp"), "cm_start").withColumnRenamed("bp", "start_bp")
     s = cm(s.withColumnRenamed("end_bp", "bp"), "cm_end").withColumnRenamed("bp", "end_bp")
@@ -132,7 +133,8 @@ def _edits(spark, d):
 
 
 def _chunked(spark, d, flavour):
-    return features.chunked(_segments(spark, d), placed(spark, d), _mm(spark, d), _edits(spark, d), flavour=flavour)
+    found, at = written(_segments(spark, d)), written(placed(spark, d))  # both are read several times
+    return features.chunked(found, at, _mm(spark, d), _edits(spark, d), flavour=flavour)
 
 
 def _wide(spark, d):
@@ -151,12 +153,12 @@ def trees() -> models.Trees:
         return {"left_children": left, "right_children": right, "split_indices": index, "split_conditions": cond, "default_left": [1] * len(left)}
 
     return models.Trees.parse(json.dumps({"learner": {"learner_model_param": {"base_score": "5E-1"}, "gradient_booster": {"model": {"trees": [
-        tree([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [2, 0, 6, 0, 0], [0.5, 0.25, 1.5, -0.5, 0.75]),
+        tree([1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [2, 0, 6, 0, 0], [0.5, -0.6, 1.5, -0.5, 0.75]),
         tree([1, -1, -1], [2, -1, -1], [10, 0, 0], [0.5, -0.25, 0.5])]}}}}))
 
 
 def _scaled(spark, d):
-    return features.scaled(_wide(spark, d), features.feature_names())
+    return features.scaled(written(_wide(spark, d)), features.feature_names())
 
 
 # The queries ------------------------------------------------------------------
@@ -366,7 +368,7 @@ def score_filter(spark, d):
 
 
 def score_summary(spark, d):
-    s = models.scored(_wide(spark, d), features.feature_names(), trees())
+    s = written(models.scored(_wide(spark, d), features.feature_names(), trees()).select(*features.KEY, "score"))
     return detect.summary(s, models.kept(s)).select("processed", "kept", "filtered", *r6("kept_percent"))
 
 
