@@ -95,6 +95,18 @@ def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(pages), F.bitmap_bucket_number(column) == F.col("_page")).where(bit == 1).drop("_page", "_bits")
 
 
+def release() -> None:
+    """Gives the freed memory of a Python worker, which later stages use again, back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def two_level_offsets(df: DataFrame, key: list[str], part: str, size: Column | None) -> DataFrame:
     """Rows (or words) of the parts before each part of a key: ``key, part, base``.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, release
 
 #: Training documents for each language, about.
 SAMPLE = 2500
@@ -230,6 +230,9 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None =
                     sure.append(1.0 / float(np.exp(np.maximum(total - total[k], -700.0)).sum()))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*b.schema.names, *added])
+        known.clear()
+        scores = None
+        release()
 
     return docs.mapInArrow(run, schema)
 

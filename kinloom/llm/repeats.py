@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
+from .common import release
 
 LENGTH = 50
 #: Bytes of text in a chunk, and for each bucket of anchors and of parts.
-CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 4 << 20, 16 << 20, 2 << 20
+CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 4 << 20, 8 << 20, 2 << 20
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
@@ -196,6 +197,7 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
     part_inner = max(8, length // 4)
 
     def find(t: pa.Table) -> pa.Table:
+        release()
         ids = _ids(t["doc_id"])
         values, owner = [], []
         for at, data, bounds in _texts(t):
@@ -220,6 +222,7 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
                          "packed": pa.array([packed[x:y].tobytes() for x, y in zip(c[:-1], c[1:])], pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
+        release()
         packed = [np.frombuffer(x.as_py(), np.uint32) for x in t["packed"]]
         chunk = t["chunk"].to_numpy()
         v = np.concatenate(packed)
@@ -236,6 +239,7 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
                          "packed": pa.array([np.sort(v[x:y]).tobytes() for x, y in zip(c[:-1], c[1:])], pa.binary())})
 
     def cut_parts(t: pa.Table, hits: pa.Table) -> pa.Table:
+        release()
         out = {c: [] for c in ("bucket", "chunk", "ids", "starts", "sizes", "data", "given")}
         if len(t) and len(hits):
             ids, k = _ids(t["doc_id"]), t["__chunk"][0].as_py()
@@ -291,6 +295,7 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
                 size, least, digest, stretch, a)
 
     def settle(t: pa.Table) -> pa.Table:
+        release()
         chunk = t["chunk"].to_numpy()
         doc, start, size = (_joined(t[c], kind) for c, kind in (("ids", np.int64), ("starts", np.int32), ("sizes", np.int32)))
         start, size = start.astype(np.int64), size.astype(np.int64)
@@ -368,6 +373,7 @@ def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
     plan = plan_removals(dealt, length, anchor_buckets, part_buckets)
 
     def finish(t: pa.Table, spans: pa.Table) -> pa.Table:
+        release()
         ids = _ids(t["doc_id"])
         doc, a, z = (_joined(spans[c], kind) for c, kind in (("ids", np.int64), ("starts", np.int32), ("ends", np.int32)))
         o = np.argsort(doc, kind="stable")
