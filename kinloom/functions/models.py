@@ -105,11 +105,13 @@ def scored(features: DataFrame, names: list[str], model: Network | Trees, out: s
 
 def network_columns(x: Column, net: Network) -> Column:
     """The network's score of an array column, without leaving the JVM."""
+    def products(rows: Column, x: Column) -> Column:
+        return F.transform(rows, lambda r: F.aggregate(F.zip_with(r, x, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v))
+
     for k, (w, b) in enumerate(zip(net.weights, net.biases)):
         rows = F.lit([[float(v) for v in r] for r in w])
         bias = F.lit([float(v) for v in b])
-        dot = lambda r, x=x: F.aggregate(F.zip_with(r, x, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-        x = F.zip_with(F.transform(rows, dot), bias, lambda u, v: u + v)
+        x = F.zip_with(products(rows, x), bias, lambda u, v: u + v)
         if k + 1 < len(net.weights):
             x = F.transform(x, lambda v: F.when(v > 0, v).otherwise(LEAK * v))
     return 1 / (1 + F.exp(-x[0]))

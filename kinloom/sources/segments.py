@@ -11,7 +11,7 @@ INDEXED = "sample1 int, hap1 int, sample2 int, hap2 int, start_bp bigint, end_bp
 NAMED = "id1 string, hap1 int, id2 string, hap2 int, chrom string, start_bp bigint, end_bp bigint, cm double"
 TRUTH = "hap1 bigint, hap2 bigint, start_bp bigint, end_bp bigint, cm_start double, cm_end double"
 #: Six 32-bit integers and a float: haplotypes, site range, place range, length.
-RECORD = struct.Struct("<6if")
+RECORD_BYTES = struct.calcsize("<6if")
 
 
 def six(x: Column) -> Column:
@@ -58,7 +58,7 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
         kind = np.dtype([(n, "<i4") for n in ("h1", "h2", "start_idx", "end_idx", "start_bp", "end_bp")] + [("length_cm", "<f4")])
         for b in batches:
             for raw in b["content"]:
-                yield pd.DataFrame(np.frombuffer(raw, kind, len(raw) // RECORD.size))
+                yield pd.DataFrame(np.frombuffer(raw, kind, len(raw) // RECORD_BYTES))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, fields)
 
