@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the weights file: its mark and version.
@@ -92,6 +92,21 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
+def _content(spark: SparkSession, path: str) -> bytes:
+    found = spark.read.format("binaryFile").load(path).select("content").head(2)
+    if len(found) != 1:
+        raise ValueError(f"not one file: {path}")
+    return bytes(found[0][0])
+
+
+def load_network(spark: SparkSession, path: str) -> Network:
+    return Network.parse(_content(spark, path))
+
+
+def load_trees(spark: SparkSession, path: str) -> Trees:
+    return Trees.parse(_content(spark, path))
+
+
 def scored(features: DataFrame, names: list[str], model: Network | Trees, out: str = "score") -> DataFrame:
     """Adds the model's P(false positive) of the features ``names``."""
     shared = features.sparkSession.sparkContext.broadcast(model)
@@ -117,5 +132,12 @@ def network_columns(x: Column, net: Network) -> Column:
     return 1 / (1 + F.exp(-x[0]))
 
 
+def both_predictions(features: DataFrame, scaled: DataFrame, key: list[str], names: list[str], boosted: Trees, network: Network) -> DataFrame:
+    """``features`` with ``xgb_pred`` (on the features) and ``nn_pred`` (on the scaled ones): 1 for a false segment."""
+    nn = scored(scaled, names, network, "_nn").select(*key, (F.col("_nn") > 0.5).cast("int").alias("nn_pred"))
+    own = scored(features, names, boosted, "_xgb").withColumn("xgb_pred", (F.col("_xgb") > 0.5).cast("int")).drop("_xgb")
+    return own.join(nn, key)
+
+
 def kept(scores: DataFrame, score: str = "score", below: float = 0.5) -> DataFrame:
     return scores.where(F.col(score) < below)

@@ -65,3 +65,10 @@ def summary(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.agg(F.count("*").alias("kept"))
     return a.crossJoin(b).select(
         "processed", "kept", (F.col("processed") - F.col("kept")).alias("filtered"), F.try_divide(100.0 * F.col("kept"), F.col("processed")).alias("kept_percent"))
+
+
+def run_statistics(found: Found, samples: DataFrame) -> DataFrame:
+    """``samples, markers, segments, segments_per_sample``."""
+    one = samples.agg(F.count("*").alias("samples")).crossJoin(found.sites.agg(F.count("*").alias("markers")))
+    two = one.crossJoin(found.segments.agg(F.count("*").alias("segments")))
+    return two.withColumn("segments_per_sample", F.coalesce(F.try_divide("segments", "samples"), F.lit(0.0)))

@@ -92,3 +92,16 @@ def error_lines(loci: DataFrame, samples: DataFrame) -> DataFrame:
     """``value``: a sample's name, then its flipped sites, tab separated."""
     s = loci.withColumn("sample_idx", F.shiftright("hap_id", 1)).groupBy("sample_idx").agg(F.array_sort(F.collect_list("site_id")).alias("s"))
     return samples.join(s, "sample_idx", "left").select(F.concat_ws("\t", "sample_id", F.transform("s", lambda x: x.cast("string"))).alias("value"))
+
+
+def with_indices(indexed: DataFrame, sites: DataFrame, chrom: str) -> DataFrame:
+    """Indexed rows with haplotype numbers and site indices: the first site at or after the start, the
+    last one at or before the end; ``sites(chrom, site_id, bp)``."""
+    from ..operators.gmap import site_at
+
+    s = indexed.select(
+        F.lit(chrom).alias("chrom"), (2 * F.col("sample1") + F.col("hap1")).cast("bigint").alias("h1"), (2 * F.col("sample2") + F.col("hap2")).cast("bigint").alias("h2"),
+        "start_bp", "end_bp", F.col("cm").alias("length_cm"))
+    s = site_at(s.withColumnRenamed("start_bp", "bp"), sites).withColumnsRenamed({"bp": "start_bp", "site_id": "start_idx"})
+    s = site_at(s.withColumnRenamed("end_bp", "bp"), sites, "before").withColumnsRenamed({"bp": "end_bp", "site_id": "end_idx"})
+    return s.select("chrom", "h1", "h2", "start_idx", "end_idx", "start_bp", "end_bp", "length_cm")
