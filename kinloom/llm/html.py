@@ -24,9 +24,12 @@ WINDOW, SURGE_CHARS = 3, 80
 #: Segments with at least this share of the text of the largest one are kept.
 SEGMENT_SHARE = 0.34
 
+# Raw text runs to the end of the page if it isn't closed; other elements that hold no text go only if they are.
 _RAW = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|math|textarea|select|object|canvas|head)\b[^>]*>.*?(?:</\1\s*>|\Z)",
+    r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))"
+    r"|<(template|noscript|iframe|svg|select|object|canvas)\b[^>]*>.*?</\2\s*>",
     re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -45,6 +48,7 @@ NAMES = frozenset(
     "widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer copyright legal disclaimer comment comments "
     "commentlist disqus reply replies respond discussion share sharing social related recommended recommendations toolbar "
     "pagination pager search contentinfo complementary dialog form".split())
+NEGATIONS = frozenset("has with no without".split())
 HEADS = frozenset("header masthead topbar".split())
 
 
@@ -61,7 +65,11 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
             if re.search(r"display\s*:\s*none", value):
                 return True
         elif key in ("class", "id", "role"):
-            found = set(_NAME.findall(value))
+            found = set()
+            for token in value.split():
+                words = set(_NAME.findall(token))
+                if not words & NEGATIONS:  # "has-sidebar" says what is elsewhere
+                    found |= words
             if found & NAMES or not in_main and found & HEADS:
                 return name not in ("html", "body")
     return False

@@ -102,6 +102,11 @@ def test_page_without_an_article_element():
     assert html.main_text(PAGE % body).split("\n") == ["Head", ("many words of prose " * 10).strip(), "short", ("more of it " * 12).strip()]
 
 
+def test_classes_that_speak_of_elsewhere():
+    assert html.main_text("<html><head><title>T</title><body class='x'><div class='content has-sidebar'><p>Some text.</p></div><div class='side sidebar'>x</div>") == "Some text."
+    assert html.main_text("<article><p>a</p><svg><text>z</svg><iframe src=x><p>b</p></article>") == "a\nb"
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>cut &am", "cut &am"), ("<article><p>cut <b cla", "cut"), ("<nav>a</nav>", ""), ("<!-- x", ""), ("<script>var a", ""),
     ("<article><p>1 < 2 &lt; 3</p></article>", "1 < 2 < 3")])
