@@ -29,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 ORDER_DIGITS = 3
 #: Consecutive slots that are ranked together.
 SLOT_RUN = 1 << 12
+#: Slots of a bucket of the range join between points and sources.
+SLOT_BUCKET = 1 << 12
 
 
 def word_count(text: Column) -> Column:
@@ -104,10 +106,10 @@ def schedule(planned: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
         F.floor(van_der_corput(F.col("id"), bits) * F.lit(n / (1 << bits))).cast("long").alias("x"),
         F.floor(F.col("id") / SLOT_RUN).alias("run"),
     )
-    owner = F.broadcast(planned) if planned_rows(planned) <= 100_000 else planned
-    hits = points.join(
-        owner.where("slots > 0"), (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("lo") + F.col("slots"))
-    )
+    # A range join by buckets of slots: a large source has a row for each bucket it covers.
+    owner = planned.where("slots > 0").withColumn(
+        "at", F.explode(F.expr(f"sequence(lo div {SLOT_BUCKET}, (lo + slots - 1) div {SLOT_BUCKET})")))
+    hits = points.withColumn("at", F.expr(f"x div {SLOT_BUCKET}")).join(owner, "at").where("x >= lo AND x < lo + slots")
     base = two_level_offsets(hits, ["src"], "run", None)
     k = F.row_number().over(Window.partitionBy("src", "run").orderBy("slot")) - 1
     ranked = hits.withColumn("k", k).join(base, ["src", "run"]).withColumn("k", F.col("k") + F.col("base"))
@@ -117,10 +119,6 @@ def schedule(planned: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return ranked.select("slot", "src", "k", "block", "epoch", F.least(whole, last).cast("long").alias("words"))
 
 
-def planned_rows(planned: DataFrame) -> int:
-    return planned.count()
-
-
 def streamed(m: DataFrame) -> DataFrame:
     """Adds ``start``: the words of the same source before each document."""
     base = two_level_offsets(m, ["src"], "part", F.col("size"))
