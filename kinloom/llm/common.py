@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes and rows of an Arrow batch that goes to a Python worker, at most.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the usual 10000 rows or 64 MB, unless the session sets its own."""
+    for key, usual, value in (("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b"), ("maxRecordsPerBatch", "10000", str(BATCH_ROWS))):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

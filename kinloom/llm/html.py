@@ -19,6 +19,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bound_batches
+
 #: Lines in a window, and the text that a window must hold to start a surge (less on short pages).
 WINDOW, SURGE_CHARS = 3, 80
 #: Segments with at least this share of the text of the largest one are kept.
@@ -184,6 +186,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of ``pages(page_id, url, html)``."""
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 
+    bound_batches(pages.sparkSession)
+
     def run(batches):
         for b in batches:
             texts = [main_text(x.as_py()) for x in b.column(2)]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, release
+from .common import bound_batches, cut, release
 
 #: Training documents for each language, about.
 SAMPLE = 2500
@@ -32,7 +32,7 @@ SMOOTH = 0.1
 RUN_LETTERS, PIECE_LETTERS = 24, 16
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % RUN_LETTERS)
 #: Words whose scores a task remembers.
-CACHE = 600_000
+CACHE = 300_000
 _LEAST = 1e-9
 _START = "\u2581"
 
@@ -197,6 +197,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None = None,
             added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds a language and its score to the columns of ``docs``; reads only ``text``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(p)  # languages times pieces
     names = [*docs.columns]
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, two_level_offsets
+from .common import bound_batches, cut, release, two_level_offsets
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
@@ -43,6 +43,7 @@ def pieces_of(ids: np.ndarray, most: int) -> list[tuple[int, int]]:
 def cut_documents(docs: DataFrame, most: int = SEQUENCE_TOKENS, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of ``docs(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         where = path or tokens.default_path()
@@ -57,6 +58,7 @@ def cut_documents(docs: DataFrame, most: int = SEQUENCE_TOKENS, path: str | None
                 [pa.array(out[0], b.schema.field(0).type), *(pa.array(x, t) for x, t in zip(out[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64())))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
+from .common import bound_batches
 
 LABELLED, POOL = 6000, 6000
 ROUNDS = 3
@@ -225,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, content_score, metadata_score, score, keep`` of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred kilobytes, whatever the corpus
 
     def run(batches):

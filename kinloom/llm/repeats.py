@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
-from .common import release
+from .common import bound_batches, release
 
 LENGTH = 50
 #: Bytes of text in a chunk, and for each bucket of anchors and of parts.
@@ -367,6 +367,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
     """``act(rows, [(kept bytes, removed, spans), ...])`` over the chunks of ``docs``."""
+    bound_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, anchor_buckets, part_buckets = (max(16, -(-size // x)) for x in (CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES))
     dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
