@@ -27,16 +27,17 @@ def _ends(sites: DataFrame) -> DataFrame:
         F.max("site_id").alias("_last"), F.max_by("cm", "site_id").alias("_cm_last"), F.min_by("cm", "site_id").alias("_cm_first")))
 
 
-def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, DataFrame]:
-    """Forward steps ``chrom, h1, h2, from_idx, to_idx`` from run end to run end, and backward ones from run
-    start to run start; a backward step to -1 runs into an earlier seed."""
+def all_steps(mm: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
+    """Steps ``chrom, h1, h2, forward, from_idx, to_idx``: forward from run end to run end, else from run
+    start to run start; a backward step to -1 runs into an earlier seed.
+
+    One sort of a pair's mismatches serves all windows.
+    """
     pair = Window.partitionBy("chrom", "h1", "h2")
-    order = pair.orderBy("site_id")
+    order, far = pair.orderBy("bp", "site_id"), pair.orderBy("bp")
     m = located(mm, sites).join(_ends(sites), "chrom").select(
         "*", F.lag("site_id").over(order).alias("prv"), F.lead("site_id").over(order).alias("nxt"),
-        F.lag("cm_after").over(order).alias("prv_after"), F.lead("cm_before").over(order).alias("nxt_before"),
-        F.lead("cm_before").over(order).alias("_nb"), F.lag("cm_after").over(order).alias("_pa"))
-    far = pair.orderBy("bp")
+        F.lag("cm_after").over(order).alias("prv_after"), F.lead("cm_before").over(order).alias("nxt_before"))
     edge = F.struct("site_id", "prv", "nxt", "cm_before", "cm_after", "prv_after", "nxt_before")
     near_f = F.last(edge).over(far.rangeBetween(0, p.max_gap))
     near_b = F.first(edge).over(far.rangeBetween(-p.max_gap, 0))
@@ -47,38 +48,40 @@ def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, Dat
     to = F.when(inner, F.coalesce(f("nxt") - 1, F.col("_last"))).otherwise(F.col("_last"))
     cm_fm = F.when(inner, f("cm_after")).otherwise(f("prv_after"))
     cm_to = F.when(inner & f("nxt").isNotNull(), f("nxt_before")).otherwise(F.col("_cm_last"))
-    ahead = m.where(F.col("site_id") - 1 <= F.col("_last") - 2).select(
-        "chrom", "h1", "h2", (F.col("site_id") - 1).alias("from_idx"), to.alias("to_idx"), (cm_to - cm_fm).alias("cm"), (to - fm).alias("n"))
-    ahead = ahead.where((F.col("cm") >= p.extend_cm) & (F.col("n") >= p.extend_markers)).select("chrom", "h1", "h2", "from_idx", "to_idx")
+    ok = (F.col("site_id") - 1 <= F.col("_last") - 2) & (cm_to - cm_fm >= p.extend_cm) & (to - fm >= p.extend_markers)
+    step = lambda forward, start, end: F.struct(F.lit(forward).alias("forward"), start.alias("from_idx"), end.cast("long").alias("to_idx"))
+    ahead = F.when(ok, step(True, F.col("site_id") - 1, to))
     inner = b("site_id") > 0
     fm = F.when(inner, b("site_id") - 1).otherwise(b("nxt") - 1)
     to = F.when(inner, F.coalesce(b("prv") + 1, F.lit(0))).otherwise(F.lit(0))
     cm_fm = F.when(inner, b("cm_before")).otherwise(b("nxt_before"))
     cm_to = F.when(inner & b("prv").isNotNull(), b("prv_after")).otherwise(F.col("_cm_first"))
-    behind = m.where("site_id + 1 >= 2").select(
-        "chrom", "h1", "h2", (F.col("site_id") + 1).alias("from_idx"), to.alias("to_idx"), (cm_fm - cm_to).alias("cm"), (fm - to).alias("n"))
-    earlier = (F.col("cm") >= p.min_seed) & (F.col("n") >= p.min_markers - 1)
-    behind = behind.where(earlier | (F.col("cm") >= p.extend_cm) & (F.col("n") >= p.extend_markers)).select(
-        "chrom", "h1", "h2", "from_idx", F.when(earlier, -1).otherwise(F.col("to_idx")).alias("to_idx"))
-    return ahead, behind
+    earlier = (cm_fm - cm_to >= p.min_seed) & (fm - to >= p.min_markers - 1)
+    ok = (F.col("site_id") + 1 >= 2) & (earlier | (cm_fm - cm_to >= p.extend_cm) & (fm - to >= p.extend_markers))
+    behind = F.when(ok, step(False, F.col("site_id") + 1, F.when(earlier, -1).otherwise(to)))
+    both = m.select("chrom", "h1", "h2", F.explode(F.array_compact(F.array(ahead, behind))).alias("s"))
+    return both.select("chrom", "h1", "h2", "s.forward", "s.from_idx", "s.to_idx")
 
 
-def _listed(step: DataFrame, name: str, forward: bool) -> DataFrame:
-    path = F.sort_array(F.collect_list(F.struct(F.col("from_idx").cast("long").alias("at"), F.col("to_idx").cast("long").alias("to"))), asc=forward)
-    return step.groupBy("chrom", "h1", "h2").agg(path.alias(name))
+def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, DataFrame]:
+    """The forward steps and the backward ones."""
+    both = all_steps(mm, sites, p)
+    return both.where("forward").drop("forward"), both.where("NOT forward").drop("forward")
 
 
 def extended(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
     """Seeds grown to ``s, e``; ``s`` is -1 for a seed that an earlier one grows into."""
     if p.max_gap < 0:
         return seed
-    ahead, behind = steps(mm, sites, p)
+    key = ["chrom", "h1", "h2"]
+    at = F.struct(F.col("from_idx").cast("long").alias("at"), F.col("to_idx").alias("to"))
+    paths = all_steps(mm, sites, p).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("forward"), at))).alias("_f"),
+        F.sort_array(F.collect_list(F.when(~F.col("forward"), at)), asc=False).alias("_b"))
     follow = lambda path, at: F.aggregate(
         F.coalesce(F.col(path), F.array().cast("array<struct<at:bigint,to:bigint>>")), F.col(at).cast("long"),
         lambda x, step: F.when(step["at"] == x, step["to"]).otherwise(x))
-    key = ["chrom", "h1", "h2"]
-    paths = seed.join(_listed(ahead, "_f", True), key, "left").join(_listed(behind, "_b", False), key, "left")
-    return paths.select(*key, follow("_b", "s").alias("s"), follow("_f", "e").alias("e"))
+    return seed.join(paths, key, "left").select(*key, follow("_b", "s").alias("s"), follow("_f", "e").alias("e"))
 
 
 def segments(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
