@@ -1,18 +1,23 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document's shingle set gives a label of MinHash values in each of ``TREES``
-sorted orders. Rows that share a prefix of a label are a region of that tree;
-regions deeper than ``LEVELS[0]`` values are split further only where they hold
-more than ``REGION`` rows, and the deepest ones are cut into parts that share
-their first row. Inside a region, in sorted order, a row's candidates are those
-whose signature bits agree as often as similar sets must; candidates are
-confirmed on the full sets. Equal sets are one row from the start.
+sorted orders. Rows that share a prefix of ``LEVELS[0]`` values are a region of
+that tree. Inside a region, in sorted order, a row's candidates are those whose
+signature bits agree as often as similar sets must; candidates are confirmed on
+the full sets. Equal sets are one row from the start.
 
 A first round confirms one candidate for each row and tree. In a second one the
 rows of a region that aren't connected yet are compared with each other on
 their full sets inside one task, which returns the links that connect them: so
 groups of copies are never expanded into pairs.
 
+Regions of more than ``REGION`` rows go through these rounds by their deeper
+prefixes, and the deepest ones by parts, which only joins most of their rows
+cheaply. A third round then compares all rows of such a region that are in
+different components, every part of it with every other part: parts of one
+component need no comparison with each other, so the rows that hang on few
+members of a large group meet all of the group.
+
 Defined results: a text without words has an empty set and no links; a shorter
 text than a shingle is one shingle; repeated rows and rows that share an id are
 one node; rows without an id take the smallest id among their set's copies, or
@@ -90,12 +95,13 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_FEATURES}")
 
 
-def regions(reps: DataFrame) -> DataFrame:
-    """``g, rep, n, s0, s1``: each row in its region of every tree, with bounded regions."""
+def regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``g, rep, n, s0, s1``: each row in its region of every tree, with bounded regions; and
+    the rows of the regions that were too large, whole."""
     k = len(LEVELS)
     rows = reps.select(
         "rep", "n", "s0", "s1", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * k + 1, k))).alias("k"))
-    out, rest = None, rows
+    out, rest, large = None, rows, None
     for level in range(k):
         rest = rest.withColumn("g", F.col("k")[level])
         hot = cut(rest.groupBy("g").count().where(F.col("count") > REGION))
@@ -105,10 +111,11 @@ def regions(reps: DataFrame) -> DataFrame:
         else:
             hot = F.broadcast(hot) if n_hot <= HOT_ROWS else hot
             part, rest = rest.join(hot, "g", "left_anti"), cut(rest.join(hot, "g"))
+            large = rest.select("g", "rep", "n", "s0", "s1") if level == 0 else large
         part = part.select("g", "rep", "n", "s0", "s1")
         out = part if out is None else out.unionByName(part)
         if rest is None:
-            return out
+            return out, large
         if level < k - 1:
             rest = rest.drop("count")
     parts = F.ceil(F.col("count") / REGION)
@@ -116,7 +123,7 @@ def regions(reps: DataFrame) -> DataFrame:
     first = rest.groupBy("g", "count").agg(F.min(F.struct("rep", "n", "s0", "s1")).alias("f")).select(
         "g", "f.*", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
     both = own.select("g", "part", "rep", "n", "s0", "s1").unionByName(first.select("g", "part", "rep", "n", "s0", "s1"))
-    return out.unionByName(both.select(F.xxhash64("g", "part").alias("g"), "rep", "n", "s0", "s1"))
+    return out.unionByName(both.select(F.xxhash64("g", "part").alias("g"), "rep", "n", "s0", "s1")), large
 
 
 def similar(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -230,6 +237,17 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
+def connecting(near: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place that each row is connected to by links and components, and whether it is another row."""
+    near = near | (c[:, None] == c)
+    label = np.arange(len(c))
+    while True:
+        low = np.where(near, label, len(c)).min(axis=1)
+        if (low == label).all():
+            return label, label != np.arange(len(c))
+        label = low
+
+
 def region_links(with_sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links ``(a, b)`` that join the components of ``(g, rep, c, own)`` as all similar pairs of a region do.
 
@@ -249,17 +267,9 @@ def region_links(with_sets: DataFrame, num: int, den: int) -> DataFrame:
             near &= c[x:y, None] != c[x:y]
             if not near.any():
                 continue
-            near |= c[x:y, None] == c[x:y]
-            label = np.arange(y - x)
-            while True:
-                low = np.where(near, label, y - x).min(axis=1)
-                if (low == label).all():
-                    break
-                label = low
             # rows are sorted by id: the first one stands for all
-            to = rep[x:y][label]
-            moved = to != rep[x:y]
-            a.append(to[moved])
+            to, moved = connecting(near, c[x:y])
+            a.append(rep[x:y][to[moved]])
             b.append(rep[x:y][moved])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -267,6 +277,106 @@ def region_links(with_sets: DataFrame, num: int, den: int) -> DataFrame:
     return with_sets.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(lambda b: runs(b, act), "a bigint, b bigint").distinct()
 
 
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(g, rep, c, ...)`` in ``block`` and ``part``: every two parts of a region ``g`` of which
+    some rows are in different components ``c`` meet in one block, and such a part meets itself in one.
+
+    A component of ``size`` rows or more has parts of its own, the others share parts.
+    """
+    per = cut(rows.groupBy("g", "c").agg(F.count("*").alias("k")))
+    number = lambda k: F.ceil(F.col(k) / size).cast("long")
+    big = per.where(F.col("k") >= size).select("g", "c", number("k").alias("own"))
+    small = per.where(F.col("k") < size).groupBy("g").agg(F.sum("k").alias("k")).select("g", number("k").alias("shared"))
+    big, small = (cut(x) for x in (big, small))
+    own_part = lambda k: F.xxhash64(F.lit(1), "g", "c", k)
+    shared_part = lambda k: F.xxhash64(F.lit(0), "g", k)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("k")
+    parts = cut(big.select("g", "c", each("own")).select("g", own_part(F.col("k")).alias("part"), "c").unionByName(
+        small.select("g", each("shared")).select("g", shared_part(F.col("k")).alias("part"), F.lit(None).cast("bigint").alias("c"))))
+    p, q = parts.select("g", "part", "c"), parts.select("g", F.col("part").alias("part2"), F.col("c").alias("c2"))
+    met = p.join(q, "g").where((F.col("part") <= F.col("part2")) & ~F.coalesce(F.col("c") == F.col("c2"), F.lit(False)))
+    met = met.withColumn("block", F.xxhash64("part", "part2"))
+    places = met.select("block", F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
+    few = lambda x: F.broadcast(x) if x.count() <= HOT_ROWS else x
+    dealt = rows.join(few(big), ["g", "c"], "left").join(few(small), "g", "left").withColumn(
+        "part", F.when(F.col("own").isNotNull(), own_part(F.pmod(F.xxhash64("rep"), F.col("own")))).otherwise(
+            shared_part(F.pmod(F.xxhash64(F.lit(2), "c"), F.col("shared")))))
+    return dealt.select(*rows.columns, "part").join(places, "part")
+
+
+def _meeting(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of a block's two parts; twice the same if it has one."""
+    one = part == part[0]
+    both = np.arange(len(part))
+    return (both, both) if one.all() else (both[one], both[~one])
+
+
+def crossing(block_rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``g, rep, n, s0, s1, c``: rows of blocks with a candidate of another component in the other part."""
+
+    def act(t):
+        block, part, rep, n, s0, s1, c = (t[x].to_numpy() for x in ("g", "part", "rep", "n", "s0", "s1", "c"))
+        u0, u1 = s0.view(_U), s1.view(_U)
+        has = np.zeros(len(block), bool)
+        edge = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
+        for x, y in zip(edge[:-1], edge[1:]):
+            left, right = (x + side for side in _meeting(part[x:y]))
+            for at in range(0, len(left), 128):
+                some = left[at:at + 128]
+                i, j = some[:, None], right[None, :]
+                ok = (c[i] != c[j]) & similar(n, u0, u1, i, j, num, den)
+                has[some] |= ok.any(axis=1)
+                has[right] |= ok.any(axis=0)
+        if has.any():
+            yield t.select(["region", "rep", "n", "s0", "s1", "c"]).filter(pa.array(has)).combine_chunks().to_batches()[0]
+
+    named = block_rows.select(F.col("block").alias("g"), F.col("g").alias("region"), "part", "rep", "n", "s0", "s1", "c")
+    return named.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(
+        lambda b: runs(b, act), "region bigint, rep bigint, n bigint, s0 bigint, s1 bigint, c bigint").withColumnRenamed("region", "g").distinct()
+
+
+def block_links(with_sets: DataFrame, num: int, den: int) -> DataFrame:
+    """As :func:`region_links`, for the two parts of each block and for candidates only."""
+
+    def act(t):
+        block, part, rep, n, s0, s1, c = (t[x].to_numpy() for x in ("g", "part", "rep", "n", "s0", "s1", "c"))
+        u0, u1 = s0.view(_U), s1.view(_U)
+        edge = np.r_[np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
+        a, b = [], []
+        for x, y in zip(edge[:-1], edge[1:]):
+            left, right = _meeting(part[x:y])
+            i, j = x + left[:, None], x + right[None, :]
+            maybe = np.zeros((y - x, y - x), bool)
+            maybe[np.ix_(left, right)] = (c[i] != c[j]) & similar(n, u0, u1, i, j, num, den)
+            maybe |= maybe.T
+            at = np.flatnonzero(maybe.any(axis=1))
+            if not len(at):
+                continue
+            own = [np.frombuffer(t["own"][int(x + k)].as_py(), _U) for k in at]
+            both = intersections(own)
+            size = np.array([len(s) for s in own])
+            near = maybe[np.ix_(at, at)] & (both > 0) & (both * den >= (size[:, None] + size - both) * num)
+            to, moved = connecting(near, c[x + at])
+            a.append(rep[x + at][to[moved]])
+            b.append(rep[x + at][moved])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    named = with_sets.select(F.col("block").alias("g"), "part", "rep", "n", "s0", "s1", "c", "own")
+    return named.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(lambda b: runs(b, act), "a bigint, b bigint").distinct()
+
+
+def large_links(docs: DataFrame, rows: DataFrame, joined: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
+    """The links between components that the rows of large regions have, whatever the size of a region."""
+    label = cut(rows.join(joined, rows["rep"] == joined["id"], "left").select(
+        "g", "rep", "n", "s0", "s1", F.coalesce("component", "rep").alias("c")))
+    rest = cut(crossing(blocks(label, 4 * REGION), num, den))
+    if rest.isEmpty():
+        return None
+    sets = full_sets(docs, rest.select("rep").distinct(), shingle)
+    return cut(block_links(blocks(rest, -(-REGION // 2)).join(sets, "rep"), num, den))
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose full shingle sets are similar enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
@@ -295,7 +405,8 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100)
     f = cut(features(docs, shingle))
     reps = f.where("n > 0").groupBy("ha", "hb", "n").agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s0", "s1", "keys"))).where("rep IS NOT NULL")
-    near = cut(first_candidates(regions(reps), num, den))
+    bounded, large = regions(reps)
+    near = cut(first_candidates(bounded, num, den))
     pairs = cut(near.where("first IS NOT NULL AND first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(confirmed(docs, pairs, shingle, num, den))
     joined = connected_components(links)
@@ -304,7 +415,10 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100)
     rest = cut(open_rows(label, num, den))
     if not rest.isEmpty():
         sets = full_sets(docs, rest.select("rep").distinct(), shingle)
-        more = region_links(rest.join(sets, "rep").select("g", "rep", "c", "own"), num, den)
+        links = cut(links.unionByName(region_links(rest.join(sets, "rep").select("g", "rep", "c", "own"), num, den)))
+        joined = connected_components(links)
+    more = large_links(docs, large, joined, shingle, num, den) if large is not None else None
+    if more is not None:
         joined = connected_components(links.unionByName(more))
     cls = reps.select("ha", "hb", "n", "rep").join(joined, F.col("rep") == joined["id"], "left").select(
         "ha", "hb", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -58,6 +58,29 @@ def test_a_large_group_of_near_copies(spark):
     assert got == want
 
 
+def test_documents_that_hang_on_one_member_of_a_large_group(spark, monkeypatch):
+    """Each is over 0.8 to one of many close copies and below that to all others."""
+    monkeypatch.setattr(neardup, "REGION", 16)
+    rng = np.random.default_rng(5)
+    n, words, own = 400, 300, 2
+    rows = [" ".join(f"w{j}" for j in range(words)) + " " + " ".join(f"o{i}x{j}" for j in range(own)) for i in range(n)]
+    for i in range(0, n, 20):
+        text = rows[i].split()
+        for j in rng.choice(words, 20, replace=False):
+            text[j] = f"y{rng.integers(1 << 30)}"
+        for _ in range(30):
+            text.append(f"z{rng.integers(1 << 30)}")
+        rows.append(" ".join(text))
+    sets = [shingle_set(t, 1) for t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for k in range(n, len(rows)):
+        assert [i for i in range(n) if like(i, k) >= 0.8] == [20 * (k - n)]
+        assert not any(like(i, k) >= 0.8 for i in range(n, len(rows)) if i != k)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = neardup.components(docs, shingle=1).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_odd_documents(odd_docs, no_docs):
     got = sorted(neardup.components(odd_docs, shingle=2).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     by = {r.doc_id: r for r in got}
