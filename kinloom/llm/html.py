@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block of text. Lines of menus, notices
-and the like have length 0. The lengths summed over a sliding window of lines
-rise at a surge point and fall to nothing at a dive point; the text between is
-kept, short lines included. Lines outside an ``article`` or ``main`` element,
-where a page has one, count as length 0.
+and the like are left out. The lengths outside links summed over a sliding
+window of lines rise at a surge point and fall to nothing at a dive point; all
+text between the first surge and the last dive is kept, short lines included,
+but for menus: windows of lines that are links only. Lines outside an
+``article`` or ``main`` element, where a page has one, count as length 0.
 
 Defined results: a null or empty page has an empty text; broken or truncated
 markup is read as far as it goes; repeated rows are extracted alike; an empty
@@ -23,8 +24,6 @@ from .common import bound_batches
 
 #: Lines in a window, and the text that a window must hold to start a surge (less on short pages).
 WINDOW, SURGE_CHARS = 3, 80
-#: Segments with at least this share of the text of the largest one are kept.
-SEGMENT_SHARE = 0.34
 
 # Raw text runs to the end of the page if it isn't closed; other elements that hold no text go only if they are.
 _RAW = re.compile(
@@ -78,8 +77,8 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """``(text, characters outside links, inside article or main)`` of each block; a
-    skipped part outside those leaves a window of empty lines."""
+    """``(text, characters outside links, inside article or main)`` of each block; marks alone
+    between links don't count."""
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     plain = 0
@@ -99,7 +98,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal plain
         if part and not skip:
             text.append(part)
-            if not link:
+            if not link and any(map(str.isalnum, part)):
                 plain += len(part.strip())
 
     page = _RAW.sub("", page)
@@ -122,8 +121,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not close and name not in VOID and _aside(name, m[3], main > 0):
             if name not in INLINE:
                 flush()
-                if not main:
-                    lines.extend([("", 0, False)] * WINDOW)
             if not m[3].endswith("/"):
                 skip, depth = name, 1
             continue
@@ -150,7 +147,7 @@ def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
     if inside:  # all that a container holds counts; what is outside is nothing
         lengths = [len(t) if m else 0 for t, _, m in lines]
     else:
-        lengths = [n if 2 * n >= len(t) else 0 for t, n, _ in lines]
+        lengths = [n for _, n, _ in lines]
     n = len(lengths)
     sums = [sum(lengths[i:i + WINDOW]) for i in range(n)]
     top = max(sums, default=0)
@@ -168,14 +165,22 @@ def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
         end = i
         while end < n and sums[end]:
             end += 1
-        segments.append((first, end, sum(lengths[first:end])))
+        segments.append((first, end))
         i = end + 1
-    largest = max(s[2] for s in segments)
-    if inside:
-        kept = [(0, n)]  # a surge in the container opens all of it, its end is the dive point
-    else:
-        kept = [(a, b) for a, b, mass in segments if mass >= SEGMENT_SHARE * largest]
-    return [lines[k][0] for a, b in kept for k in range(a, b) if lengths[k]]
+    if inside:  # a surge in the container opens all of it, its end is the dive point
+        return [lines[k][0] for k in range(n) if lengths[k]]
+    start, end = segments[0][0], segments[-1][1]
+    out, k = [], start
+    while k < end:
+        to = k
+        while to < end and not lengths[to]:
+            to += 1
+        if to - k < WINDOW:  # else a menu
+            out += [lines[x][0] for x in range(k, to)]
+        if to < end:
+            out.append(lines[to][0])
+        k = to + 1
+    return out
 
 
 def main_text(page: str | None) -> str:

@@ -102,6 +102,20 @@ def test_page_without_an_article_element():
     assert html.main_text(PAGE % body).split("\n") == ["Head", ("many words of prose " * 10).strip(), "short", ("more of it " * 12).strip()]
 
 
+def test_asides_split_no_page_without_an_article_element():
+    line = lambda n: ("some words of prose here " * 40)[:n].strip()
+    advert, menu = "<div class='ad'>Buy</div>", "<ul>" + "<li><a href=x>An entry of a menu, quite long so that it counts</a> |</li>" * 4 + "</ul>"
+    for lengths in ((600, 500, 0, 250), (600, 0, 70), (70, 0, 600), (600, 0, 40, 0, 600), (300, 0, 90, 0, 30)):
+        body = "".join(f"<p>{line(n)}</p>" if n else advert for n in lengths)
+        assert html.main_text(PAGE % f"<div>{body}</div>").split("\n") == [line(n) for n in lengths if n]
+    linked = "See <a href=x>a title that is much longer than the words around it</a> too."
+    body = f"<p>{line(300)}</p><p>{linked}</p><p><a href=y>A title alone</a></p>{menu}<p>{line(200)}</p>{menu}"
+    assert html.main_text(PAGE % f"<div>{body}</div>").split("\n") == [
+        line(300), "See a title that is much longer than the words around it too.", line(200)]
+    body = f"<p>{line(300)}</p><p><a href=y>A title alone</a></p><p>{line(200)}</p>"
+    assert "A title alone" in html.main_text(PAGE % f"<div>{body}</div>")
+
+
 def test_classes_that_speak_of_elsewhere():
     assert html.main_text("<html><head><title>T</title><body class='x'><div class='content has-sidebar'><p>Some text.</p></div><div class='side sidebar'>x</div>") == "Some text."
     assert html.main_text("<article><p>a</p><svg><text>z</svg><iframe src=x><p>b</p></article>") == "a\nb"
