@@ -50,7 +50,7 @@ def cut_documents(docs: DataFrame, most: int = SEQUENCE_TOKENS, path: str | None
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                own = np.append(tokens.ids(text.as_py() or "", where), np.uint32(end_id)).astype("<u4")
+                own = np.append(tokens.ids(text.as_py() or "", where, added=True), np.uint32(end_id)).astype("<u4")
                 for k, (start, n) in enumerate(pieces_of(own, most)):
                     for column, v in zip(out, (i, k, start, n, zlib.crc32(own[start:start + n].tobytes()))):
                         column.append(v)

@@ -19,20 +19,23 @@ def _byte_of_symbol() -> dict[str, int]:
 def encoding(path: str):
     """The merges of a ``tokenizers`` file, run by a faster engine with the same ids.
 
-    A lower id is an earlier merge in such files, so ids serve as ranks. Strings
-    of special tokens in a text count as ordinary text.
+    A lower id is an earlier merge in such files, so ids serve as ranks. Added
+    tokens are the encoding's special ones.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], file.get("added_tokens", [])
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that are not found by their exact string")
     byte = _byte_of_symbol()
     ranks = {bytes(byte[c] for c in piece): i for piece, i in vocab.items() if all(c in byte for c in piece)}
     special = {p for p in vocab if p.startswith("<|") and p.endswith("|>")}
-    for p in special:
+    for p in special | {t["content"] for t in added}:
         ranks.pop(p.encode(), None)
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,6 +44,8 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def ids(text: str, path: str | None = None) -> np.ndarray:
-    """Ids of a whole text as unsigned 32-bit numbers."""
-    return encoding(path or default_path()).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+def ids(text: str, path: str | None = None, added: bool = False) -> np.ndarray:
+    """Ids of a whole text as unsigned 32-bit numbers; strings of added tokens have their
+    own ids, as the library gives by default, only with ``added``."""
+    allowed = "all" if added else set()
+    return encoding(path or default_path()).encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False)

@@ -277,6 +277,17 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert tokens.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_the_default_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n <|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> z", "plain words, 12 of them"]
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, packing.END_ID], "<u4") for i, x in enumerate(texts)}
+    assert want[0].tolist() == [64, 220, 50256, 275, packing.END_ID]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.start, r.length, r.ids_crc32) for r in rows} == {i: (0, len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def check_packing(docs, most):
     rows = packing.pack_documents(docs, most).collect()
     texts = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
