@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_helpers import brute_repeats, read_back
 
 from kinloom.llm import chat, fingerprints, html, language, mixing, packing, quality, repeats, tokens
@@ -190,6 +191,19 @@ def test_two_views_teach_each_other(spark, odd_docs, no_docs):
     assert quality.train(no_docs, labels.limit(0)).prior == 1.0
 
 
+def test_all_unlabelled_documents_are_exchanged(spark):
+    """Each document has a word of its own, of which a view gets a weight only if it is handed the document."""
+    rng = np.random.default_rng(6)
+    words = {True: [f"good{i}" for i in range(30)], False: [f"junk{i}" for i in range(30)]}
+    rows = [(i, " ".join(rng.choice(words[i % 4 != 0], 6)) + f" own{i}" + ("." if i % 4 else " | " * 9), "en", "s") for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(300)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    assert np.count_nonzero(model.content.weights) > 1600  # 5 % of 16,000 documents in each of three rounds, and 450 at most of the others
+    got = quality.score(docs, model).where((F.col("doc_id") % 4 != 0) == F.col("keep")).count()
+    assert got >= 23_900
+
+
 # repeats
 
 @pytest.mark.parametrize("length", [50, 20])
