@@ -5,7 +5,8 @@ and the like are left out. The lengths outside links summed over a sliding
 window of lines rise at a surge point and fall to nothing at a dive point; all
 text between the first surge and the last dive is kept, short lines included,
 but for menus: windows of lines that are links only. Lines outside an
-``article`` or ``main`` element, where a page has one, count as length 0.
+``article`` or ``main`` element, where a page has one, count as length 0; surge and dive points aren't used there,
+as the container marks start and end, and all its lines are kept.
 
 Defined results: a null or empty page has an empty text; broken or truncated
 markup is read as far as it goes; repeated rows are extracted alike; an empty
