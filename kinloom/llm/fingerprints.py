@@ -7,8 +7,10 @@ deleted by adding or subtracting its vector:
 
 * ``exact``: 16 lanes modulo 2**32 from the paragraph's SHA-512 digest; equal
   fingerprints mean equal multisets,
-* ``sketch``: 40 numbers modulo 2**60 of three counters each. Every run of up to
-  four words of the paragraph adds its hash bits; the counters of two texts,
+* ``sketch``: 40 numbers modulo 2**60 of three counters each. The paragraph is cut
+  from its start into runs of four words back to back, the last one shorter, and
+  each adds its hash bits (so a word inserted or deleted changes all later runs
+  of its paragraph, and near copies of one long paragraph may look unlike); the counters of two texts,
   read as sums of signs, give the cosine of their multisets of runs,
 * ``n``: the runs summed so far.
 
