@@ -2,7 +2,9 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.
 The letter runs of a text are scored by the forward algorithm: the probability
-of a run is the sum over all ways to cut it into pieces. Piece probabilities
+of a run is the sum over all ways to cut it into pieces. Runs are cut after
+``RUN_LETTERS`` letters and pieces of over ``PIECE_LETTERS`` characters are left out,
+so ways across such a cut and long pieces aren't summed; all letters are scored. Piece probabilities
 are learned by expectation maximisation over the same sums, from a bounded
 sample of labelled documents (``SAMPLE`` for each language, by hash of the id).
 
