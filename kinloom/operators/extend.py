@@ -1,8 +1,10 @@
 """Extension of seeds through short gaps of mismatches.
 
-A step from a run's end only depends on the mismatches of the pair: they are
-clustered by a RANGE frame over base pairs, and the window functions of a
-cluster's far edge say where the next run lies. Steps that qualify are few; each
+A step from a run's end only depends on the mismatches of the pair: those within
+the gap are skipped, and the run behind the last of them is the next one. Only
+seeds and runs that are long enough for a step begin or end one, so running
+windows over these few find all steps that a seed can take (``run_steps``). The steps
+from every mismatch (``all_steps``) come from RANGE frames over all of them. Each
 seed then follows the ordered steps of its pair in one pass.
 """
 
@@ -69,13 +71,61 @@ def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, Dat
     return both.where("forward").drop("forward"), both.where("NOT forward").drop("forward")
 
 
-def extended(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
-    """Seeds grown to ``s, e``; ``s`` is -1 for a seed that an earlier one grows into."""
+def long_runs(run: DataFrame, p: Detection) -> DataFrame:
+    """The runs that may be seeds, or ends of a step (one marker less at a mismatch in the first or last site)."""
+    return run.where(F.col("e") - F.col("s") + 1 >= min(p.extend_markers, p.min_markers - 1))
+
+
+def run_steps(run: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
+    """The steps of :func:`all_steps` that begin at an end of one of the ``long_runs``."""
+    along = Window.partitionBy("chrom").orderBy("site_id")
+    s = sites.select("chrom", "site_id", "cm", F.lag("bp").over(along).alias("before"), F.lead("bp").over(along).alias("after"))
+    start = s.select("chrom", F.col("site_id").alias("s"), F.col("cm").alias("_cs"), F.col("before").alias("_before"))
+    end = s.select("chrom", F.col("site_id").alias("e"), F.col("cm").alias("_ce"), F.col("after").alias("_after"))
+    r = run.join(start, ["chrom", "s"]).join(end, ["chrom", "e"]).join(_ends(sites), "chrom")
+    col = F.col
+    enough = lambda n, cm: (cm >= p.extend_cm) & (n >= p.extend_markers)
+    seed = lambda n, cm: (cm >= p.min_seed) & (n >= p.min_markers - 1)
+    n, cm = col("e") - col("s"), col("_ce") - col("_cs")
+    begins = enough(n, cm) | seed(n, cm)
+    # a mismatch in the last (first) site counts as part of the run before (after) it
+    n_last, cm_last = n + 1, col("_cm_last") - col("_cs")
+    n_first, cm_first = n + 1, col("_ce") - col("_cm_first")
+    event = lambda kind, key, to, beyond: F.struct(
+        F.lit(kind).alias("kind"), key.cast("long").alias("key"), to.cast("long").alias("to"), beyond.cast("long").alias("beyond"))
+    at = lambda ok, e: F.when(ok, e)
+    nothing = F.lit(None).cast("long")
+    ahead = F.array_compact(F.array(
+        at(col("_before").isNotNull() & enough(n, cm), event(0, col("_before"), col("e"), col("_after"))),
+        at((col("e") == col("_last") - 1) & enough(n_last, cm_last), event(0, col("_after"), col("_last"), nothing)),
+        at(begins & (col("e") <= col("_last") - 2), event(1, col("_after") + p.max_gap, col("e"), nothing))))
+    # places run downwards here
+    back_to = lambda n, cm, to: F.when(seed(n, cm), F.lit(-1)).when(enough(n, cm), to)
+    behind = F.array_compact(F.array(
+        at(col("_after").isNotNull() & begins, event(0, -col("_after"), back_to(n, cm, col("s")), -col("_before"))),
+        at((col("s") == 1) & (enough(n_first, cm_first) | seed(n_first, cm_first)), event(0, -col("_before"), back_to(n_first, cm_first, F.lit(0)), nothing)),
+        at(begins & (col("s") >= 2), event(1, p.max_gap - col("_before"), col("s"), nothing))))
+    each = r.select("chrom", "h1", "h2", F.explode(F.concat(
+        F.transform(ahead, lambda x: F.struct(F.lit(True).alias("forward"), x.alias("x"))),
+        F.transform(behind, lambda x: F.struct(F.lit(False).alias("forward"), x.alias("x"))))).alias("v")).select("chrom", "h1", "h2", "v.forward", "v.x.*")
+    w = Window.partitionBy("chrom", "h1", "h2", "forward").orderBy("key", "kind")
+    last = F.last(F.when(col("kind") == 0, F.struct("to", "beyond")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    met = each.withColumn("r", last).where("kind = 1 AND r IS NOT NULL AND (r.beyond IS NULL OR r.beyond > key)")
+    return met.select("chrom", "h1", "h2", "forward", F.col("to").alias("from_idx"), F.col("r.to").alias("to_idx"))
+
+
+def extended(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection, run: DataFrame | None = None) -> DataFrame:
+    """Seeds grown to ``s, e``; ``s`` is -1 for a seed that an earlier one grows into.
+
+    With the runs (at least the ``long_runs``) the mismatches aren't read again.
+    """
     if p.max_gap < 0:
         return seed
     key = ["chrom", "h1", "h2"]
     at = F.struct(F.col("from_idx").cast("long").alias("at"), F.col("to_idx").alias("to"))
-    paths = all_steps(mm, sites, p).groupBy(*key).agg(
+    by_runs = run is not None and p.extend_cm > 0 and p.extend_markers >= 0 and p.min_seed > 0 and p.min_markers > 0
+    step = run_steps(long_runs(run, p), sites, p) if by_runs else all_steps(mm, sites, p)
+    paths = step.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.when(F.col("forward"), at))).alias("_f"),
         F.sort_array(F.collect_list(F.when(~F.col("forward"), at)), asc=False).alias("_b"))
     follow = lambda path, at: F.aggregate(
@@ -84,10 +134,10 @@ def extended(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection) ->
     return seed.join(paths, key, "left").select(*key, follow("_b", "s").alias("s"), follow("_f", "e").alias("e"))
 
 
-def segments(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
+def segments(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection, run: DataFrame | None = None) -> DataFrame:
     """``chrom, h1, h2, start_idx, end_idx, start_bp, end_bp, length_cm``: unique extended seeds of at
     least ``min_output`` centiMorgans between haplotypes of different samples."""
-    grown = extended(seed, mm, sites, p).where("s >= 0").dropDuplicates(["chrom", "h1", "h2", "s", "e"])
+    grown = extended(seed, mm, sites, p, run).where("s >= 0").dropDuplicates(["chrom", "h1", "h2", "s", "e"])
     a = sites.select("chrom", F.col("site_id").alias("s"), F.col("bp").alias("start_bp"), F.col("cm").alias("_cs"))
     b = sites.select("chrom", F.col("site_id").alias("e"), F.col("bp").alias("end_bp"), F.col("cm").alias("_ce"))
     out = grown.join(a, ["chrom", "s"]).join(b, ["chrom", "e"]).select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Base pairs of a bucket of the range joins.
+BUCKET = 1 << 16
 #: Outside the map, the line goes through an anchor so many centiMorgans from its end.
 ANCHOR_CM = 5.0
 
@@ -13,12 +15,19 @@ def line(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return y0 + (x - x0) / (x1 - x0) * (y1 - y0)
 
 
+def _bucket(bp: Column) -> Column:
+    return F.floor(bp / BUCKET)
+
+
 def interpolated(sites: DataFrame, knots: DataFrame, mode: str = "extrapolate") -> DataFrame:
     """Adds ``cm`` to ``sites(chrom, bp, ...)`` from ``knots(chrom, bp, cm)``.
 
     On a knot its first value counts. Between knots the position is linear;
     outside it is extrapolated, or with ``mode='clamp'`` that of the end knot. A
     map of one knot has no line to extrapolate and raises an error there.
+
+    The intervals between knots are dealt into buckets of base pairs, so sites
+    find theirs by an equi-join and are never sorted; windows only run over knots.
     """
     own = Window.partitionBy("chrom", "bp").orderBy("cm")
     k = knots.select("chrom", "bp", "cm").withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth")
@@ -28,17 +37,15 @@ def interpolated(sites: DataFrame, knots: DataFrame, mode: str = "extrapolate")
         F.min(F.when(F.col("cm") - F.col("c0") >= ANCHOR_CM, F.struct("bp", "cm"))).alias("front"),
         F.max(F.when(F.col("c1") - F.col("cm") >= ANCHOR_CM, F.struct("bp", "cm"))).alias("back"))
     at = at.select(
-        "chrom", "b0", "c0", "b1", "c1", "n",
+        F.col("chrom").alias("_chrom"), "b0", "c0", "b1", "c1", "n",
         F.coalesce("front", F.struct(F.col("b1").alias("bp"), F.col("c1").alias("cm"))).alias("front"),
         F.coalesce("back", F.struct(F.col("b0").alias("bp"), F.col("c0").alias("cm"))).alias("back"))
-    both = sites.select("chrom", "bp").distinct().select("*", F.lit(None).cast("double").alias("kcm")).unionByName(
-        k.select("chrom", "bp", F.col("cm").alias("kcm")))
-    # one row for each place: a knot and a site at one place meet here
-    both = both.groupBy("chrom", "bp").agg(F.max("kcm").alias("kcm"))
-    knot = F.when(F.col("kcm").isNotNull(), F.struct("bp", F.col("kcm").alias("cm")))
-    w = Window.partitionBy("chrom").orderBy("bp")
-    both = both.withColumn("lo", F.last(knot, True).over(w)).withColumn(
-        "hi", F.first(knot, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    nxt = F.lead(F.struct("bp", "cm")).over(Window.partitionBy("chrom").orderBy("bp"))
+    spans = k.select(F.col("chrom").alias("_chrom"), F.struct("bp", "cm").alias("_lo"), nxt.alias("_hi")).where("_hi IS NOT NULL")
+    spans = spans.select("*", F.explode(F.sequence(_bucket(F.col("_lo.bp")), _bucket(F.col("_hi.bp")))).alias("_b"))
+    placed = sites.withColumn("_at", _bucket(F.col("bp"))).join(
+        spans.withColumnRenamed("_chrom", "_span"),
+        (F.col("chrom") == F.col("_span")) & (F.col("_at") == F.col("_b")) & (F.col("bp") >= F.col("_lo.bp")) & (F.col("bp") < F.col("_hi.bp")), "left")
     x = F.col("bp")
     if mode == "clamp":
         before, after = F.col("c0"), F.col("c1")
@@ -47,21 +54,29 @@ def interpolated(sites: DataFrame, knots: DataFrame, mode: str = "extrapolate")
         before = F.coalesce(single, line(x, F.col("b0"), F.col("c0"), F.col("front.bp"), F.col("front.cm")))
         after = F.coalesce(single, line(x, F.col("back.bp"), F.col("back.cm"), F.col("b1"), F.col("c1")))
     cm = (
-        F.when(F.col("kcm").isNotNull(), F.col("kcm"))
-        .when(F.col("lo").isNull(), before).when(F.col("hi").isNull(), after)
-        .otherwise(line(x, F.col("lo.bp"), F.col("lo.cm"), F.col("hi.bp"), F.col("hi.cm"))))
-    found = both.join(F.broadcast(at), "chrom").select("chrom", "bp", cm.alias("cm"))  # a row for each chromosome
-    return sites.join(found, ["chrom", "bp"])
+        F.when(x == F.col("b1"), F.col("c1")).when(x < F.col("b0"), before).when(x > F.col("b1"), after)
+        .otherwise(line(x, F.col("_lo.bp"), F.col("_lo.cm"), F.col("_hi.bp"), F.col("_hi.cm"))))
+    rest = [c for c in sites.columns if c not in ("chrom", "bp")]
+    found = placed.join(F.broadcast(at), F.col("chrom") == F.col("_chrom"))  # a row for each chromosome
+    return found.select("chrom", "bp", *rest, cm.alias("cm"))
 
 
 def site_at(places: DataFrame, sites: DataFrame, side: str = "after") -> DataFrame:
     """Adds ``site_id`` to ``places(chrom, bp, ...)``: the first site at or after each place (the
-    last site beyond it), or with ``side='before'`` the last one at or before it (else the first)."""
+    last site beyond it), or with ``side='before'`` the last one at or before it (else the first).
+
+    Running windows see the places and sites of one bucket of base pairs; what
+    lies beyond comes from windows over one row for each bucket.
+    """
     s = sites.select("chrom", "bp", "site_id")
     both = places.select("chrom", "bp").distinct().select("*", F.lit(None).cast(s.schema["site_id"].dataType).alias("site_id")).unionByName(s)
-    both = both.groupBy("chrom", "bp").agg(F.min("site_id").alias("site_id"))
-    w = Window.partitionBy("chrom").orderBy("bp")
-    behind = F.first("site_id", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    ahead = F.last("site_id", True).over(w)
+    both = both.groupBy("chrom", _bucket(F.col("bp")).alias("_b"), "bp").agg(F.min("site_id").alias("site_id"))
+    per = both.groupBy("chrom", "_b").agg(F.min_by("site_id", F.when(F.col("site_id").isNotNull(), F.col("bp"))).alias("_first"),
+                                          F.max_by("site_id", F.when(F.col("site_id").isNotNull(), F.col("bp"))).alias("_last"))
+    up, down = (Window.partitionBy("chrom").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_b").asc(), F.col("_b").desc()))
+    per = per.select("chrom", "_b", F.last("_last", True).over(up).alias("_before"), F.last("_first", True).over(down).alias("_after"))
+    within = Window.partitionBy("chrom", "_b")
+    behind = F.coalesce(F.last("site_id", True).over(within.orderBy(F.col("bp").desc())), F.col("_after"))
+    ahead = F.coalesce(F.last("site_id", True).over(within.orderBy("bp")), F.col("_before"))
     found = F.coalesce(behind, ahead) if side == "after" else F.coalesce(ahead, behind)
-    return places.join(both.select("chrom", "bp", found.alias("site_id")), ["chrom", "bp"])
+    return places.join(both.join(per, ["chrom", "_b"]).select("chrom", "bp", found.alias("site_id")), ["chrom", "bp"])

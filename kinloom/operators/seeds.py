@@ -7,39 +7,80 @@ from pyspark.sql import functions as F
 
 from ..params import Detection
 
-#: Sites of an aligned block. A run of m markers holds a whole block of B if m >= 2 B - 1.
+#: Sites of an aligned block of :func:`candidate_pairs`, at most. A run of m markers holds a whole block of B if m >= 2 B - 1.
 BLOCK = 50
+#: Alleles that are compared as one number.
+WORD = 60
+#: Parts of the list of haplotypes that make all pairs.
+PARTS = 64
 
 
 def all_pairs(haps: DataFrame) -> DataFrame:
-    """``chrom, h1, h2`` of every two haplotypes of a chromosome."""
+    """``chrom, h1, h2`` of every two haplotypes of a chromosome, dealt out by parts of the first ones."""
     h = haps.select("chrom", "hap_id").distinct()
-    return h.withColumnRenamed("hap_id", "h1").join(h.withColumnRenamed("hap_id", "h2"), "chrom").where("h1 < h2")
+    a = h.select("chrom", F.pmod(F.xxhash64("hap_id"), F.lit(PARTS)).alias("_p"), F.col("hap_id").alias("h1"))
+    b = h.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_p"), F.col("hap_id").alias("h2"))
+    return a.join(b, ["chrom", "_p"]).where("h1 < h2").select("chrom", "h1", "h2")
+
+
+def _words(haps: DataFrame, size: int) -> DataFrame:
+    """``chrom, hap_id, block, bits, n``: the alleles of each aligned block of ``size`` sites as an exact number."""
+    bit = F.call_function("shiftleft", F.col("allele").cast("long"), F.pmod(F.col("site_id"), F.lit(size)).cast("int"))
+    return haps.groupBy("chrom", "hap_id", F.floor(F.col("site_id") / size).alias("block")).agg(F.sum(bit).alias("bits"), F.count("*").alias("n"))
 
 
 def mismatches(haps: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``chrom, h1, h2, site_id`` where the alleles of two haplotypes differ, of the given pairs only if there are some."""
-    a = haps.select("chrom", "site_id", F.col("hap_id").alias("h1"), F.col("allele").alias("a1"))
-    b = haps.select("chrom", "site_id", F.col("hap_id").alias("h2"), F.col("allele").alias("a2"))
-    if pairs is None:
-        m = a.join(b, ["chrom", "site_id"]).where("h1 < h2 AND a1 <> a2")
-    else:
-        m = pairs.join(a, ["chrom", "h1"]).join(b, ["chrom", "h2", "site_id"]).where("a1 <> a2")
-    return m.select("chrom", "h1", "h2", "site_id")
+    """``chrom, h1, h2, site_id`` where the alleles of two haplotypes differ, of the given pairs only if there are some.
+
+    Pairs meet on numbers that hold ``WORD`` alleles; only those that differ are turned into sites. A site that
+    one of the two doesn't have counts as allele 0 there.
+    """
+    words = _words(haps, WORD).select("chrom", "hap_id", "block", "bits")
+    a, b = (words.withColumnsRenamed({"hap_id": h, "bits": x}) for h, x in (("h1", "x"), ("h2", "y")))
+    pairs = all_pairs(haps) if pairs is None else pairs
+    differ = pairs.join(a, ["chrom", "h1"]).join(b, ["chrom", "h2", "block"]).select(
+        "chrom", "h1", "h2", "block", F.col("x").bitwiseXOR(F.col("y")).alias("z")).where("z <> 0")
+    each = differ.select("*", F.explode(F.lit(list(range(WORD)))).alias("i")).where(F.getbit("z", F.col("i")) == 1)
+    return each.select("chrom", "h1", "h2", (F.col("block") * WORD + F.col("i")).alias("site_id"))
+
+
+def agreeing_pairs(haps: DataFrame, size: int, width: int = 1) -> DataFrame:
+    """``chrom, h1, h2`` of pairs that agree on ``width`` whole aligned blocks of ``size`` sites in a row.
+
+    The haplotypes that agree on a window of blocks are a class, those of them with the same block before
+    it a subclass. Pairs of one subclass agree on the window before too, so only subclasses are paired, then their
+    members: a pair is made once for each stretch on which it agrees, not once for each window, and a class
+    whose members all agreed before costs a row for each member.
+    """
+    along = Window.partitionBy("chrom", "hap_id").orderBy("block")
+    whole = _words(haps, size).where(F.col("n") == size)
+    last = F.lead("block", width - 1).over(along) if width > 1 else F.col("block")
+    before = F.when(F.lag("block").over(along) == F.col("block") - 1, F.lag("bits").over(along))
+    rows = whole.select(
+        "chrom", "hap_id", "block", last.alias("_last"),
+        F.xxhash64("bits", *(F.lead("bits", i).over(along) for i in range(1, width))).alias("key"),
+        F.when(before.isNotNull(), F.struct(F.lit(0).alias("kind"), before.alias("of"))).otherwise(
+            F.struct(F.lit(1).alias("kind"), F.col("hap_id").cast("long").alias("of"))).alias("sub"))
+    rows = rows.where(F.col("_last") == F.col("block") + width - 1).drop("_last")
+    window = ["chrom", "block", "key"]
+    subs = rows.select(*window, "sub").distinct()
+    met = subs.withColumnRenamed("sub", "s1").join(subs.withColumnRenamed("sub", "s2"), window).where("s1 < s2")
+    one, two = (rows.withColumnsRenamed({"hap_id": h, "sub": s}) for h, s in (("_a", "s1"), ("_b", "s2")))
+    found = met.join(one, [*window, "s1"]).join(two, [*window, "s2"])
+    return found.select("chrom", F.least("_a", "_b").alias("h1"), F.greatest("_a", "_b").alias("h2")).distinct()
 
 
 def candidate_pairs(haps: DataFrame, min_markers: int) -> DataFrame:
-    """``chrom, h1, h2`` of pairs that agree on a whole aligned block, as every pair with a run of ``min_markers`` does.
+    """``chrom, h1, h2`` of pairs that agree on a whole aligned block, as every pair with a run of ``min_markers`` does."""
+    return agreeing_pairs(haps, max(1, min(BLOCK, (min_markers + 1) // 2)))
 
-    Blocks of at most ``BLOCK`` sites are exact numbers, so this is an equi-join
-    and pairs without a seed never reach the mismatch table.
-    """
-    size = max(1, min(BLOCK, (min_markers + 1) // 2))
-    bit = F.call_function("shiftleft", F.col("allele").cast("long"), F.pmod(F.col("site_id"), F.lit(size)).cast("int"))
-    words = haps.groupBy("chrom", "hap_id", F.floor(F.col("site_id") / size).alias("block")).agg(
-        F.sum(bit).alias("bits"), F.count("*").alias("n")).where(F.col("n") == size)
-    a, b = words.withColumnRenamed("hap_id", "h1"), words.withColumnRenamed("hap_id", "h2")
-    return a.join(b, ["chrom", "block", "bits"]).where("h1 < h2").select("chrom", "h1", "h2").distinct()
+
+def seed_candidates(haps: DataFrame, min_markers: int) -> DataFrame:
+    """As :func:`candidate_pairs`, by more blocks that are shorter: a run of ``min_markers`` holds that many
+    in a row wherever it starts, so pairs agree on about four fifths of a run. Pairs without a seed never
+    reach the mismatch table."""
+    size = max(1, min(WORD, min_markers // 5))
+    return agreeing_pairs(haps, size, max(1, (min_markers - size + 1) // size))
 
 
 def runs(mm: DataFrame, pairs: DataFrame, sites: DataFrame) -> DataFrame:

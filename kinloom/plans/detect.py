@@ -28,8 +28,8 @@ def detect(haps: DataFrame, sites: DataFrame, knots: DataFrame, p: Detection = D
            by_candidates: bool = True) -> Found:
     """Smooth (unless ``s`` is None), drop rare sites, place the rest on the map, find seeds and extend them.
 
-    With ``by_candidates`` only pairs that agree on a whole block of sites are
-    compared; the segments are the same either way.
+    With ``by_candidates`` only pairs that agree on several blocks of sites in a
+    row are compared; the segments are the same either way.
     """
     edits = None
     if s is not None:
@@ -37,10 +37,10 @@ def detect(haps: DataFrame, sites: DataFrame, knots: DataFrame, p: Detection = D
     kept_sites = written(panel.kept_sites(haps, sites, p.min_mac))
     haps = panel.renumbered(haps, kept_sites)
     placed = written(gmap.interpolated(kept_sites, knots))
-    pairs = seeds.candidate_pairs(haps, p.min_markers) if by_candidates else seeds.all_pairs(haps)
-    mm = seeds.mismatches(haps, pairs if by_candidates else None)
-    run = seeds.runs(mm, pairs, placed)
-    segs = extend.segments(seeds.seeds(run, placed, p), mm, placed, p)
+    pairs = written(seeds.seed_candidates(haps, p.min_markers)) if by_candidates else seeds.all_pairs(haps)
+    mm = seeds.mismatches(haps, pairs)
+    run = written(extend.long_runs(seeds.runs(mm, pairs, placed), p))
+    segs = extend.segments(seeds.seeds(run, placed, p), mm, placed, p, run)
     if edits is None:
         moved = haps.select("chrom", "site_id", "hap_id").limit(0)
     else:

@@ -97,10 +97,11 @@ def _seeds(spark, d):
 
 def _segments(spark, d):
     """Extended seeds, by the candidates of the block join."""
-    h, at = error_panel(spark, d), placed(spark, d)
-    pairs = seeds.candidate_pairs(h, P.min_markers)
+    h, at = error_panel(spark, d), written(placed(spark, d))
+    pairs = written(seeds.seed_candidates(h, P.min_markers))
     mm = seeds.mismatches(h, pairs)
-    return extend.segments(seeds.seeds(seeds.runs(mm, pairs, at), at, P), mm, at, P)
+    run = written(extend.long_runs(seeds.runs(mm, pairs, at), P))
+    return extend.segments(seeds.seeds(run, at, P), mm, at, P, run)
 
 
 def _truth(spark, d):
@@ -134,7 +135,8 @@ def _edits(spark, d):
 
 def _chunked(spark, d, flavour):
     found, at = written(_segments(spark, d)), written(placed(spark, d))  # both are read several times
-    return features.chunked(found, at, _mm(spark, d), _edits(spark, d), flavour=flavour)
+    mm = seeds.mismatches(error_panel(spark, d), found.select("chrom", "h1", "h2").distinct())
+    return features.chunked(found, at, mm, _edits(spark, d), flavour=flavour)
 
 
 def _wide(spark, d):

@@ -20,7 +20,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
-
-
-def rows(df, *columns):
-    return sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())

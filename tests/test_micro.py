@@ -1,7 +1,7 @@
 """Hand-computed cases."""
 
 import pytest
-from conftest import rows
+from engine_helpers import rows
 
 from kinloom.functions.models import Network, Trees, network_columns
 from kinloom.operators import evaluate, features, gmap, panel, seeds, smooth

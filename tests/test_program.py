@@ -1,7 +1,7 @@
 """The command line from files to files, and the smaller helpers of the programs."""
 
 import pytest
-from conftest import rows
+from engine_helpers import rows
 from test_properties import mosaic
 
 from kinloom import __main__ as program

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from engine_helpers import rows
 from test_micro import panel_of
 
 from kinloom.operators import extend, seeds, smooth

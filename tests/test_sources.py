@@ -4,7 +4,7 @@ import gzip
 import struct
 
 import pytest
-from conftest import rows
+from engine_helpers import rows
 
 from kinloom import streaming
 from kinloom.sources import maps, segments, vcf
