@@ -59,6 +59,81 @@ class Network:
         return 1 / (1 + np.exp(-x[:, 0]))
 
 
+# Number markers of UBJSON and their big-endian layouts.
+_NUMBERS = {"i": ">i1", "U": ">u1", "I": ">i2", "l": ">i4", "L": ">i8", "d": ">f4", "D": ">f8"}
+_CONSTANTS = {"Z": None, "T": True, "F": False}
+
+
+def ubjson(raw: bytes):
+    """The value of a UBJSON text; arrays of one number type become NumPy arrays."""
+    at = 0
+
+    def mark() -> str:
+        nonlocal at
+        at += 1
+        while raw[at - 1:at] == b"N":  # no operation
+            at += 1
+        return raw[at - 1:at].decode("latin-1")
+
+    def number(kind: str):
+        return numbers(kind, 1)[0].item()
+
+    def numbers(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, _NUMBERS[kind], n, at)
+        at += out.nbytes
+        return out
+
+    def string() -> str:
+        nonlocal at
+        n = number(mark())
+        at += n
+        return raw[at - n:at].decode()
+
+    def container() -> tuple[str | None, int | None]:
+        """The type and the count that a container may give for all it holds."""
+        nonlocal at
+        kind = count = None
+        if raw[at:at + 1] == b"$":
+            at += 1
+            kind = mark()
+        if raw[at:at + 1] == b"#":
+            at += 1
+            count = number(mark())
+        return kind, count
+
+    def items(end: bytes, count: int | None):
+        nonlocal at
+        n = 0
+        while n < count if count is not None else raw[at:at + 1] != end:
+            if count is None and at >= len(raw):
+                raise ValueError("the model ends early")
+            yield n
+            n += 1
+        at += count is None
+
+    def value(kind: str):
+        if kind in _NUMBERS:
+            return number(kind)
+        if kind in _CONSTANTS:
+            return _CONSTANTS[kind]
+        if kind in "SH":
+            return string()
+        if kind == "C":
+            return chr(number("U"))
+        if kind == "[":
+            of, count = container()
+            if of in _NUMBERS and count is not None:
+                return numbers(of, count)
+            return [value(of or mark()) for _ in items(b"]", count)]
+        if kind == "{":
+            of, count = container()
+            return {string(): value(of or mark()) for _ in items(b"}", count)}
+        raise ValueError(f"no UBJSON: {kind!r}")
+
+    return value(mark())
+
+
 @dataclass
 class Trees:
     """Boosted trees with one array of nodes for each."""
@@ -68,7 +143,9 @@ class Trees:
 
     @staticmethod
     def parse(text: str | bytes) -> Trees:
-        learner = json.loads(text)["learner"]
+        """A model file, as JSON or as UBJSON (an object whose first key has a length before it)."""
+        raw = text.encode() if isinstance(text, str) else bytes(text)
+        learner = (json.loads(raw) if raw[1:].lstrip()[:1] in (b'"', b"}") else ubjson(raw))["learner"]
         base = float(str(learner["learner_model_param"]["base_score"]).strip("[]"))
         base = min(max(base, 1e-15), 1 - 1e-15)
         trees = [

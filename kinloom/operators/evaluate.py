@@ -5,6 +5,8 @@ Segments are ``id1, id2, start, end``; a row stands for itself, so repeated rows
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,13 +84,19 @@ def correction_confusion(original: DataFrame, with_error: DataFrame, smooth: Dat
 
 def thinned_trees(trees: DataFrame, apart: int = 5000) -> DataFrame:
     """``chrom, tree_left`` of the trees that are used: the first one, then each that lies far enough
-    from the last one used (from 0 at first). One pass over the sorted places of a chromosome."""
-    places = trees.groupBy("chrom").agg(F.array_sort(F.collect_set(F.col("tree_left").cast("long"))).alias("t"))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("used"))
-    walk = F.aggregate(
-        F.slice("t", 2, F.size("t")), state,
-        lambda a, x: F.when(x - a["at"] >= apart, F.struct(x.alias("at"), F.concat(a["used"], F.array(x)).alias("used"))).otherwise(a))
-    return places.select("chrom", F.explode(F.concat(F.slice("t", 1, 1), walk["used"])).alias("tree_left"))
+    from the last one used (from 0 at first). One search for each tree used, over the distinct places of a chromosome."""
+
+    def walk(t: pa.Table) -> pa.Table:
+        x = np.unique(t["tree_left"].to_numpy())
+        used, at, k = [x[0]], 0, 1
+        while (k := max(k, int(np.searchsorted(x, at + apart)))) < len(x):
+            at = x[k]
+            used.append(at)
+            k += 1
+        return pa.table({"chrom": pa.array([t["chrom"][0].as_py()] * len(used), pa.string()), "tree_left": pa.array(np.array(used, np.int64))})
+
+    places = trees.select("chrom", F.col("tree_left").cast("long").alias("tree_left")).distinct()
+    return places.groupBy("chrom").applyInArrow(walk, "chrom string, tree_left bigint")
 
 
 def mrca_segments(trees: DataFrame, ends: DataFrame, apart: int = 5000) -> DataFrame:
@@ -96,7 +104,7 @@ def mrca_segments(trees: DataFrame, ends: DataFrame, apart: int = 5000) -> DataF
 
     ``trees(chrom, h1, h2, tree_left, mrca)``, ``ends(chrom, end_bp)``; returns
     ``chrom, h1, h2, start_bp, end_bp``."""
-    used = trees.join(F.broadcast(thinned_trees(trees, apart)), ["chrom", "tree_left"])
+    used = trees.join(thinned_trees(trees, apart), ["chrom", "tree_left"])
     w = Window.partitionBy("chrom", "h1", "h2").orderBy("tree_left")
     change = used.withColumn("_new", F.coalesce(F.lag("mrca").over(w) != F.col("mrca"), F.lit(True))).where("_new")
     spans = change.withColumn("_to", F.lead("tree_left").over(w)).join(F.broadcast(ends), "chrom")

@@ -154,13 +154,14 @@ _F = feature_names()
 _STATS = "stats AS (SELECT " + ", ".join(f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) < 1e-8 THEN 1.0 ELSE stddev_pop({n}) END AS s_{n}" for n in _F) + " FROM wide)"
 
 
-def _network() -> str:
-    """The network's layers as joins of long tables, with the rule of the weights spelled out."""
+def _network(single: bool = False) -> str:
+    """The network's layers as joins of long tables, with the rule of the weights spelled out (in single precision, as files have them)."""
+    kind = "DOUBLE::FLOAT::DOUBLE" if single else "DOUBLE"
     dims, parts = (40, 36, 18, 9, 3, 1), []
     x = " UNION ALL ".join(f"SELECT h1, h2, start_idx, end_idx, {i} AS i, ({n} - m_{n}) / s_{n} AS v FROM wide, stats" for i, n in enumerate(_F))
     parts.append(f"x0 AS ({x})")
     for k, n in enumerate(dims[1:]):
-        y = f"sum(v * ((i * 7 + o * 13 + {k} * 5) % 11 - 5) / 50.0::DOUBLE) + (((any_value(o) * 3 + {k}) % 5) - 2) / 10.0::DOUBLE"
+        y = f"sum(v * (((i * 7 + o * 13 + {k} * 5) % 11 - 5) / 50.0::DOUBLE)::{kind}) + ((((any_value(o) * 3 + {k}) % 5) - 2) / 10.0::DOUBLE)::{kind}"
         out = f"CASE WHEN {y} > 0 THEN {y} ELSE 0.01 * ({y}) END" if k < 4 else f"1 / (1 + exp(-({y})))"
         parts.append(f"x{k + 1} AS (SELECT h1, h2, start_idx, end_idx, o AS i, {out} AS v FROM x{k}, range({n}) t(o) GROUP BY h1, h2, start_idx, end_idx, o)")
     return ",\n".join(parts)
@@ -176,6 +177,15 @@ def _with(*parts: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _sql()[0]
+
+
+def file_sql() -> dict[str, str]:
+    """Of the queries that go through files, and of those over the grown panel."""
+    return _sql()[1]
+
+
+def _sql() -> tuple[dict[str, str], dict[str, str]]:
     counts = _COUNTS.format(panel="panel")
     at = f"pos AS ({_at('sites')})"
     located = (_BASE, _MAP, at)
@@ -200,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
             f"pos AS ({_at('(SELECT chrom, site_id, bp FROM kept)')})",
             "dense AS (SELECT k.chrom, k.site_id, hap_id, allele FROM smoothed s JOIN kept k ON k.chrom = s.chrom AND k.orig_site_id = s.site_id)",
             _mm("dense"), _RUNS, _seeds(), _STEPS, _CHAIN)
-    return {
+    rows = {
         "panel_allele_counts": _with(_BASE, counts) + "SELECT * FROM counts",
         "panel_mac_filter": _with(_BASE, counts, kept) + f"SELECT chrom, site_id, orig_site_id, bp, mac, {kind} AS site_type FROM kept",
         "panel_site_types": _with(_BASE, _COUNTS.format(panel="clean")) + f"SELECT chrom, site_id, {kind} AS site_type FROM counts",
@@ -276,6 +286,74 @@ def oracle_sql() -> dict[str, str]:
             FROM clean o JOIN panel w USING (chrom, site_id, hap_id) JOIN smoothed s USING (chrom, site_id, hap_id))""",
         "correction_count": _with(_BASE, smooth1) + "SELECT count(*) AS n_changed FROM edits",
     }
+    return rows, _file_sql(rows, located, run, seg, feat, truth, smooth1, pipe, kept, loci, named)
+
+
+# A panel with two haplotypes for each supplier, and founders an eighth of the haplotypes.
+_GROWN = """
+haps AS (SELECT 2 * s_suppkey::BIGINT + i AS hap_id FROM supplier, (VALUES (0), (1)) t(i)),
+nf AS (SELECT greatest(5, count(*) // 8)::BIGINT AS nf FROM haps),
+sites AS (SELECT '20' AS chrom, site_id, 1000 + 100 * site_id + w % 50 AS bp FROM (SELECT p_partkey % 2000 AS site_id, sum(p_size)::BIGINT AS w FROM part GROUP BY ALL)),
+founder AS (SELECT chrom, site_id, hap_id, (hap_id * 7 + (site_id // 50) * (1 + hap_id % 13)) % nf AS f FROM sites, haps, nf),
+clean AS (SELECT chrom, site_id, hap_id,
+  (((f * f * 31 + f * site_id * 17 + site_id * site_id * 13 + (site_id // 7) * f * f) % 1009) % 2)::INT AS allele FROM founder),
+panel AS (SELECT chrom, site_id, hap_id, CASE WHEN (hap_id * 31 + site_id * 17) % 397 = 0 THEN 1 - allele ELSE allele END AS allele FROM clean),
+knots AS (SELECT chrom, bp, bp * 0.0003::DOUBLE AS cm FROM sites WHERE site_id % 40 = 0)"""
+
+
+def _file_sql(rows, located, run, seg, feat, truth, smooth1, pipe, kept, loci, named) -> dict[str, str]:
+    """What the files hold that the queries write and read again."""
+    counts = _COUNTS.format(panel="panel")
+    both = "kept AS (SELECT c.chrom, (row_number() OVER (PARTITION BY c.chrom ORDER BY bp, site_id) - 1) AS site_id, site_id AS orig_site_id, bp FROM counts c JOIN sites USING (chrom, site_id) WHERE mac >= 2 AND site_id % 5 <> 0)"
+    key = "chrom, h1, h2, start_idx, end_idx"
+    keyed = "h1 // 2 AS id1, h1 % 2 AS hap1, h2 // 2 AS id2, h2 % 2 AS hap2, start_bp AS start, end_bp AS \"end\""
+    placed = "JOIN (SELECT h1, h2, start_idx, end_idx, start_bp, end_bp FROM segs) USING (h1, h2, start_idx, end_idx)"
+    total = " + ".join(f"gen_len_{c}" for c in range(10))
+    net = (_STATS, _network())
+    moved = "moved AS (SELECT k.site_id, hap_id FROM edits e JOIN kept k ON k.orig_site_id = e.site_id)"
+    scaled = "scaled AS (SELECT h1, h2, start_idx, end_idx, " + ", ".join(f"({n} - m_{n}) / s_{n} AS {n}" for n in _F) + " FROM wide, stats)"
+    again = [_BASE, _smooth("panel", 1)]
+    # the grown panel: candidates agree on four blocks of four sites in a row
+    grown = (_GROWN, _MAP[_MAP.index("tips AS"):], f"pos AS ({_at('sites')})")
+    grown_run = (*grown, _mm("panel"), _RUNS)
+    words = """words AS (SELECT chrom, hap_id, site_id // 4 AS b, string_agg(allele::VARCHAR, '' ORDER BY site_id) AS w FROM panel GROUP BY ALL HAVING count(*) = 4),
+      wide4 AS (SELECT chrom, hap_id, b, lead(b, 3) OVER o AS z, w || lead(w) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o AS w FROM words WINDOW o AS (PARTITION BY chrom, hap_id ORDER BY b))"""
+    return {
+        "vcf_scan": _with(_BASE) + "SELECT chrom, site_id, bp, hap_id, allele FROM panel JOIN sites USING (chrom, site_id)",
+        "vcf_scan_mac": _with(_BASE, counts, both) + "SELECT k.chrom, k.site_id, bp, hap_id, allele FROM panel p JOIN kept k ON k.orig_site_id = p.site_id",
+        "vcf_smoothed": rows["smooth_panel"],
+        "map_plink": rows["map_convert"],
+        "segments_binary": _with(*seg) + "SELECT h1, h2, start_idx, end_idx, start_bp, end_bp, round(length_cm::FLOAT::DOUBLE, 6) AS length_cm FROM segs",
+        "segments_indexed": rows["ibd_segments"],
+        "segments_text": f"SELECT id1, hap1::INT AS hap1, id2, hap2::INT AS hap2, chrom, start_bp, end_bp, cm::DOUBLE AS cm FROM ({_with(*seg) + named})",
+        "segments_union": f"SELECT sample1::INT AS sample1, hap1::INT AS hap1, sample2::INT AS sample2, hap2::INT AS hap2, start_bp, end_bp, cm::DOUBLE AS cm FROM ({rows['segments_tsv']})",
+        "dataset_file": _with(*feat) + f"SELECT {keyed}, CASE WHEN {_TREES} > 0.5 THEN 3 ELSE 2 END::BIGINT AS classification, {', '.join(f'round({n}, 6) AS {n}' for n in _F)} FROM wide {placed}",
+        "dataset_segments": _with(*feat) + f"""SELECT h1 // 2 AS id1, h1 % 2 + 1 AS hap1, h2 // 2 AS id2, h2 % 2 + 1 AS hap2, '20' AS chrom, start_bp AS start, end_bp AS "end", round({total}, 3) AS cm
+            FROM wide {placed} WHERE NOT {_TREES} > 0.5""",
+        "error_log": _with(_BASE, loci("[0.0::DOUBLE, 0.005, 0.01, 0.02]")) + """SELECT sample_id || coalesce(string_agg(chr(9) || l.site_id, '' ORDER BY l.site_id), '') AS value
+            FROM samples LEFT JOIN loci l ON l.hap_id // 2 = sample_idx GROUP BY sample_idx, sample_id""",
+        "truth_cutoff": _with(_BASE, _MAP, _TRUTH.split(",\nrep AS")[0]) + """SELECT h1 AS id1, h2 AS id2, start_bp::DOUBLE AS start, end_bp::DOUBLE AS "end", round(cm_end - cm_start, 6) AS cm
+            FROM truth WHERE cm_end - cm_start >= 1.5""",
+        "network_file": _with(*feat, _STATS, _network(single=True)) + "SELECT '20' AS chrom, h1, h2, start_idx, end_idx, round(v, 6) AS score FROM x5",
+        "trees_file": rows["tree_score"],
+        "both_predictions": _with(*feat, *net) + f"""SELECT w.chrom, w.h1, w.h2, w.start_idx, w.end_idx, (p > 0.5)::INT AS xgb_pred, (v > 0.5)::INT AS nn_pred
+            FROM (SELECT {key}, {_TREES} AS p FROM wide) w JOIN x5 USING (h1, h2, start_idx, end_idx)""",
+        "features_scaled_all": _with(*feat, _STATS) + f"SELECT {key}, " + ", ".join(f"round(({n} - m_{n}) / s_{n}, 6) AS {n}" for n in _F) + " FROM wide, stats",
+        "program_filtered": f"""SELECT id1, hap1::INT AS hap1, id2, hap2::INT AS hap2, chrom, start_bp, end_bp, cm::DOUBLE AS cm
+            FROM ({_with(*pipe, moved, _FEATURES.replace('JOIN edits d', 'JOIN moved d'), _STATS, scaled)
+                  + named.replace('FROM segs', f'FROM segs JOIN (SELECT h1, h2, start_idx, end_idx FROM scaled WHERE {_TREES} < 0.5) USING (h1, h2, start_idx, end_idx)')})""",
+        "run_statistics": _with(*pipe) + """SELECT (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM pos) AS markers, count(*) AS segments,
+            round(count(*)::DOUBLE / (SELECT count(*) FROM samples), 6) AS segments_per_sample FROM segs""",
+        "corrections_by_site": _with(*again) + "SELECT site_id, hap_id, old, new FROM edits ORDER BY 1, 2",
+        "corrections_by_haplotype": _with(*again) + "SELECT hap_id, site_id, old, new FROM edits ORDER BY 1, 2",
+        "smooth_again": "SELECT 0::BIGINT AS n_changed, 0::BIGINT AS n_corrections, true AS smooth_already",
+        "seeds_closeout": _with(*run) + """SELECT r.chrom, h1, h2, s, e FROM runs r JOIN pos a ON a.site_id = s JOIN pos b ON b.site_id = e, size
+            WHERE b.cm - a.cm >= 0.3 AND e = n - 1 AND e - s + 1 = 30""",
+        "grown_candidates": _with(_GROWN, words) + """SELECT DISTINCT x.chrom, x.hap_id AS h1, y.hap_id AS h2 FROM wide4 x JOIN wide4 y
+            ON x.chrom = y.chrom AND x.b = y.b AND x.w = y.w AND x.hap_id < y.hap_id WHERE x.z = x.b + 3""",
+        "grown_runs": _with(*grown_run) + "SELECT * FROM runs WHERE e - s + 1 >= 20",
+        "grown_segments": _with(*grown_run, _seeds(), _STEPS, _CHAIN) + f"SELECT {key}, start_bp, end_bp, round(length_cm, 6) AS length_cm FROM segs",
+    }
 
 
 def _merged(name: str) -> str:

@@ -63,6 +63,53 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, fields)
 
 
+def write_binary(segs: DataFrame, path: str) -> int:
+    """A folder of 28-byte records, a file for each partition; returns how many records it has.
+
+    A task writes under a name of its own attempt and renames it at the end, so a repeated task replaces its file.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    fields = ["h1", "h2", "start_idx", "end_idx", "start_bp", "end_bp"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        kind = np.dtype([(n, "<i4") for n in fields] + [("length_cm", "<f4")])
+        where, top = _file_system(path)
+        task = TaskContext.get()
+        name = f"{top}/part-{task.partitionId():05d}.bin"
+        own = f"{top}/.{task.taskAttemptId()}-{task.attemptNumber()}.tmp"
+        n = 0
+        where.create_dir(top, recursive=True)
+        with where.open_output_stream(own) as out:
+            for b in batches:
+                rows = np.empty(len(b), kind)
+                for k, c in enumerate([*fields, "length_cm"]):
+                    rows[c] = b.column(k).to_numpy(zero_copy_only=False)
+                out.write(rows.tobytes())
+                n += len(b)
+        if where.get_file_info(name).type != fs.FileType.NotFound:
+            where.delete_file(name)
+        where.move(own, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    done = segs.select(*(F.col(c).cast("long") for c in fields), F.col("length_cm").cast("double")).mapInArrow(run, StructType([StructField("n", LongType())]))
+    return done.agg(F.sum("n")).first()[0] or 0
+
+
+def _file_system(path: str):
+    """A file system of pyarrow for the path, and the path there."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    return fs.FileSystem.from_uri(path)
+
+
 def normalized(named: DataFrame) -> DataFrame:
     """``id1, id2, start, end, cm`` with haplotype numbers for ids: ``tsk_7`` and haplotype 2 give 15."""
     number = lambda i, h: 2 * F.regexp_replace(i, "^tsk_", "").cast("long") + F.col(h) - 1

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
+
+#: Base pairs of a bucket in which sites are numbered.
+BUCKET = 1 << 16
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
 
@@ -29,24 +33,25 @@ def check_name(path: str) -> None:
 def read_vcf(spark: SparkSession, path: str, biallelic_only: bool = False, min_mac: int = 0) -> Panel:
     """Every site with at least one sample column. The genotype comes first in each sample's
     column; ``.`` and 0 are allele 0, any other allele is 1. Lines with fewer than nine tabs are
-    left out; haploid genotypes raise an error. Sites are numbered by chromosome and position.
+    left out; haploid genotypes raise an error. Sites are numbered by chromosome, position and
+    place in the file, once: the numbered lines are written and all tables read from there.
     """
     check_name(path)
     lines = spark.read.text(path)
+    place = [F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("nth")]
     header = [r[0] for r in lines.where(F.col("value").startswith("#")).collect()]  # bounded by the file's format
     names = next((h.split("\t")[len(FIXED):] for h in reversed(header) if h.startswith("#CHROM")), [])
     if not names:
         raise ValueError("a VCF needs at least one sample")
     samples = spark.createDataFrame(list(enumerate(names)), "sample_idx bigint, sample_id string")
     f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") > len(FIXED))
+    rows = lines.where(~F.col("value").startswith("#")).select(f.alias("f"), *place).where(F.size("f") > len(FIXED))
     if biallelic_only:
         rows = rows.where(~F.col("f")[4].contains(","))
     rows = rows.select(
         F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("bp"), F.slice("f", 1, len(FIXED)).alias("fields"),
-        F.slice("f", len(FIXED) + 1, len(names)).alias("gt"))
-    w = _by_place()
-    rows = rows.withColumn("site_id", (F.row_number().over(w) - 1).cast("long"))
+        F.slice("f", len(FIXED) + 1, len(names)).alias("gt"), "file", "block", "nth")
+    rows = written(_numbered(rows))
     pair = lambda x: F.split(F.substring_index(x, ":", 1), r"[|/]")
     allele = lambda a: F.when(a.isin("0", "."), 0).otherwise(1)
     both = F.transform("gt", lambda x: F.when(F.size(pair(x)) == 2, F.array(allele(pair(x)[0]), allele(pair(x)[1]))).otherwise(
@@ -62,10 +67,14 @@ def read_vcf(spark: SparkSession, path: str, biallelic_only: bool = False, min_m
     return Panel(samples, sites, haps, header)
 
 
-def _by_place():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("chrom").orderBy("bp", F.col("fields")[2], F.col("fields")[3], F.col("fields")[4])
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``site_id`` in place of ``file, block, nth``; only buckets of base pairs are sorted, whatever the chromosome."""
+    rows = rows.withColumn("_b", F.floor(F.col("bp") / BUCKET))
+    before = Window.partitionBy("chrom").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    base = rows.groupBy("chrom", "_b").count().select("chrom", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("chrom", "_b").orderBy("bp", "file", "block", "nth"))
+    return rows.withColumn("_in", within).join(base, ["chrom", "_b"]).select(
+        "chrom", (F.col("_base") + F.col("_in") - 1).cast("long").alias("site_id"), "bp", "fields", "gt")
 
 
 def vcf_lines(panel: Panel, haplotypes: DataFrame | None = None) -> DataFrame:
