@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_dir
+
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,14 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The shared folder of the cluster; an error where a cluster names none."""
+    return shared_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,14 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Smallest id reachable from each node of ``edges(a, b)``.
 
     Alternates large-star and small-star steps (both are one aggregate and one
     join on the node), so no neighbour list is ever gathered: a hub is reduced
     by partial aggregation and its join side is split by adaptive execution.
     Returns ``(id, component)`` for nodes that have a link; self links and nulls
-    are ignored. An empty input gives an empty result.
+    are ignored. An empty input gives an empty result. Rounds grow with the logarithm
+    of a component's size; labels that aren't final after ``max_rounds`` raise an error.
     """
     e = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -80,6 +75,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         ).isEmpty():
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't final after {max_rounds} rounds")
     out = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return out.select(F.col("u").alias("id"), "component").unionByName(roots)

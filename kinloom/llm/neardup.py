@@ -1,22 +1,28 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-A document's shingle set gives a label of MinHash values in each of ``TREES``
-sorted orders. Rows that share a prefix of ``LEVELS[0]`` values are a region of
-that tree. Inside a region, in sorted order, a row's candidates are those whose
-signature bits agree as often as similar sets must; candidates are confirmed on
+A document's shingle set gives a label of ``DEPTH`` MinHash values in each of ``TREES``
+trees. A tree is the sorted order of its labels; it is dealt out by subtrees, the rows that share a
+prefix, each of which a task reads in order of its labels. All rows of a subtree have a common prefix of
+its depth at least, so they are neighbours there. The depth adapts to the region: a subtree starts
+``LEAST_DEPTH`` values deep, and where it has more than ``REGION`` rows its children take its place, down to whole labels.
+
+Inside a subtree, a row's candidates are the rows whose signature bits agree as
+often as similar sets must, taken by falling length of the common prefix, which is the least of the
+common prefixes of adjacent labels between the two. Candidates are confirmed on
 the full sets. Equal sets are one row from the start.
 
-A first round confirms one candidate for each row and tree. In a second one the
-rows of a region that aren't connected yet are compared with each other on
+A first round confirms for each row the candidate with the longest common prefix in any tree, and in each
+tree the one with the smallest id, which ties a region together. In a second one the
+rows of a subtree that aren't connected yet are compared with each other on
 their full sets inside one task, which returns the links that connect them: so
 groups of copies are never expanded into pairs.
 
-Regions of more than ``REGION`` rows go through these rounds by their deeper
-prefixes, and the deepest ones by parts, which only joins most of their rows
-cheaply. A third round then compares all rows of such a region that are in
-different components, every part of it with every other part: parts of one
+Going deeper only joins most rows of large regions cheaply. A third round then compares all rows of a region
+that had more than ``REGION`` rows at ``LEAST_DEPTH`` and are
+in different components, every part of it with every other part: parts of one
 component need no comparison with each other, so the rows that hang on few
-members of a large group meet all of the group.
+members of a large group meet all of the group. So every pair that has ``LEAST_DEPTH`` values of a label in
+common in any tree is compared, whatever the size of a region.
 
 Defined results: a text without words has an empty set and no links; a shorter
 text than a shingle is one shingle; repeated rows and rows that share an id are
@@ -36,16 +42,19 @@ from pyspark.sql import functions as F
 from . import bytehash
 from .common import among, bound_batches, connected_components, cut, release
 
-TREES, LEVELS = 16, (3, 5, 8)
+#: Trees, values of a label, and how many of them rows of a region share at least.
+TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
 #: Rows of a region that are compared with each other.
 REGION = 512
 #: Numbers of large regions that are broadcast at most; beyond, they are joined by shuffle.
 HOT_ROWS = 200_000
-VALUES = TREES * LEVELS[-1]
+VALUES = TREES * DEPTH
+#: Bytes of a label's value.
+VALUE_BYTES = 4
 #: Signature bits (of VALUES) that may differ: five deviations beyond what a similarity of 0.8 gives.
 DIFFERING = 30
 _U = np.uint64
-_FEATURES = "n bigint, ha bigint, hb bigint, s0 bigint, s1 bigint, keys array<bigint>"
+_FEATURES = "n bigint, ha bigint, hb bigint, s0 bigint, s1 bigint, labels binary"
 
 
 @functools.lru_cache(maxsize=1)
@@ -64,7 +73,7 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id`` with the size and hash of its set, signature bits, and the keys of its regions."""
+    """``doc_id`` with the size and hash of its set, signature bits, and its labels one after the other."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -79,51 +88,65 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
                     hb[i] = np.sum(bytehash.mix(own), dtype=_U).view(np.int64)
                     low[i] = signature(own)
             bits = np.packbits(((low >> _U(24)) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
-            label = bytehash.mix(low).reshape(m, TREES, LEVELS[-1])
-            h = np.tile(bytehash.mix(np.arange(1, TREES + 1, dtype=_U)), (m, 1))
-            keys = np.zeros((m, TREES, len(LEVELS)), np.int64)
-            for d in range(LEVELS[-1]):
-                h = bytehash.mix(h * _U(0x9FB21C651E98DF25) + label[:, :, d])
-                if d + 1 in LEVELS:
-                    keys[:, :, LEVELS.index(d + 1)] = h.view(np.int64)
-            flat = pa.ListArray.from_arrays(np.arange(0, m * TREES * len(LEVELS) + 1, TREES * len(LEVELS), dtype=np.int32), pa.array(keys.ravel()))
+            # big-endian, so that bytes sort as values do
+            labels = (bytehash.mix(low) >> _U(64 - 8 * VALUE_BYTES)).astype(f">u{VALUE_BYTES}")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(ha), pa.array(hb), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), flat],
-                names=["doc_id", "n", "ha", "hb", "s0", "s1", "keys"])
+                [b.column(0), pa.array(n), pa.array(ha), pa.array(hb), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])),
+                 pa.array([x.tobytes() for x in labels], pa.binary())],
+                names=["doc_id", "n", "ha", "hb", "s0", "s1", "labels"])
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_FEATURES}")
 
 
-def regions(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``g, rep, n, s0, s1``: each row in its region of every tree, with bounded regions; and
-    the rows of the regions that were too large, whole."""
-    k = len(LEVELS)
-    rows = reps.select(
-        "rep", "n", "s0", "s1", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * k + 1, k))).alias("k"))
+def forest(reps: DataFrame) -> DataFrame:
+    """``tree, label, rep, n, s0, s1``: each row with its label of every tree."""
+    size = DEPTH * VALUE_BYTES
+    return reps.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels", "rep", "n", "s0", "s1").select(
+        "tree", F.substring("labels", F.col("tree") * size + 1, F.lit(size)).alias("label"), "rep", "n", "s0", "s1")
+
+
+def subtrees(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``g, label, rep, n, s0, s1``: every row of the forest in its subtree ``g``, which is as deep as it needs to be
+    for ``REGION`` rows; and the rows ``g, rep, n, s0, s1`` of the regions that were too large, whole.
+
+    Whole labels that too many rows share are dealt into parts, each of which has the first row of all.
+    """
+    columns = ("label", "rep", "n", "s0", "s1")
     out, rest, large = None, rows, None
-    for level in range(k):
-        rest = rest.withColumn("g", F.col("k")[level])
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        rest = rest.withColumn("g", F.xxhash64("tree", F.substring("label", 1, depth * VALUE_BYTES)))
         hot = cut(rest.groupBy("g").count().where(F.col("count") > REGION))
         n_hot = hot.count()
-        if not n_hot:
-            part, rest = rest, None
-        else:
+        if n_hot:
             hot = F.broadcast(hot) if n_hot <= HOT_ROWS else hot
             part, rest = rest.join(hot, "g", "left_anti"), cut(rest.join(hot, "g"))
-            large = rest.select("g", "rep", "n", "s0", "s1") if level == 0 else large
-        part = part.select("g", "rep", "n", "s0", "s1")
+        else:
+            part, rest = rest, None
+        part = part.select("g", *columns)
         out = part if out is None else out.unionByName(part)
         if rest is None:
             return out, large
-        if level < k - 1:
-            rest = rest.drop("count")
+        if depth == LEAST_DEPTH:
+            large = rest.select("g", "rep", "n", "s0", "s1")
+        if depth < DEPTH:
+            rest = rest.drop("count", "g")
     parts = F.ceil(F.col("count") / REGION)
     own = rest.withColumn("part", F.pmod(F.xxhash64("rep"), parts))
-    first = rest.groupBy("g", "count").agg(F.min(F.struct("rep", "n", "s0", "s1")).alias("f")).select(
+    first = rest.groupBy("g", "count").agg(F.min_by(F.struct(*columns), "rep").alias("f")).select(
         "g", "f.*", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
-    both = own.select("g", "part", "rep", "n", "s0", "s1").unionByName(first.select("g", "part", "rep", "n", "s0", "s1"))
-    return out.unionByName(both.select(F.xxhash64("g", "part").alias("g"), "rep", "n", "s0", "s1")), large
+    both = own.select("g", "part", *columns).unionByName(first.select("g", "part", *columns))
+    return out.unionByName(both.select(F.xxhash64("g", "part").alias("g"), *columns)), large
+
+
+def common_prefixes(label: pa.Array) -> np.ndarray:
+    """How many values each label shares with the one before it (the first with none)."""
+    if isinstance(label, pa.ChunkedArray):
+        label = label.combine_chunks()
+    raw = np.frombuffer(b"".join(x.as_py() for x in label), f">u{VALUE_BYTES}").reshape(len(label), DEPTH)
+    same = np.zeros((len(label), DEPTH), bool)
+    same[1:] = raw[1:] == raw[:-1]
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1).astype(np.int8)
 
 
 def similar(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -148,43 +171,50 @@ def runs(batches, act):
         yield from act(held)
 
 
-def _columns(t: pa.Table) -> list[np.ndarray]:
-    return [t[c].to_numpy() for c in t.column_names]
-
-
 def first_candidates(grouped: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of regions with a candidate, and the first one (null for those that come before theirs)."""
+    """Rows of subtrees with a candidate: the one with the smallest id (``first``, null for rows that come before theirs),
+    and the one with the longest common prefix (``deep``, of ``prefix`` values)."""
+    last = np.iinfo(np.int64).max
 
     def act(t):
-        g, rep, n, s0, s1 = _columns(t)
+        g, rep, n, s0, s1 = (t[c].to_numpy() for c in ("g", "rep", "n", "s0", "s1"))
+        step = common_prefixes(t["label"])
         u0, u1 = s0.view(_U), s1.view(_U)
-        first = np.full(len(g), np.iinfo(np.int64).max)
-        has = np.zeros(len(g), bool)
+        first, deep = np.full(len(g), last), np.full(len(g), last)
+        prefix = np.full(len(g), -1, np.int8)
         i = np.flatnonzero(g[:-1] == g[1:])
+        shared = step[i + 1]
         o = 1
         while len(i):
-            ok = i[similar(n, u0, u1, i, i + o, num, den) & (rep[i] != rep[i + o])]
-            np.minimum.at(first, ok + o, rep[ok])
-            has[ok] = has[ok + o] = True
+            at = similar(n, u0, u1, i, i + o, num, den) & (rep[i] != rep[i + o])
+            ok, long = i[at], shared[at]
+            for own, other in ((ok, ok + o), (ok + o, ok)):
+                np.minimum.at(first, own, rep[other])
+                # offsets grow, so prefixes fall: the first one found is among the longest
+                more = (long > prefix[own]) | (long == prefix[own]) & (rep[other] < deep[own])
+                deep[own[more]], prefix[own[more]] = rep[other[more]], long[more]
             o += 1
-            i = i[i + o < len(g)]
-            i = i[g[i] == g[i + o]]
-        at = np.flatnonzero(has)
+            keep = i + o < len(g)
+            i, shared = i[keep], shared[keep]
+            keep = g[i] == g[i + o]
+            i, shared = i[keep], shared[keep]
+            shared = np.minimum(shared, step[i + o])
+        at = np.flatnonzero(prefix >= 0)
         if len(at):
             f = first[at]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[at]) for x in (g, rep, n, s0, s1)), pa.array(f, mask=f == np.iinfo(np.int64).max)],
-                names=["g", "rep", "n", "s0", "s1", "first"])
+                [*(pa.array(x[at]) for x in (g, rep, n, s0, s1)), pa.array(f, mask=f > rep[at]), pa.array(deep[at]), pa.array(prefix[at].astype(np.int32))],
+                names=["g", "rep", "n", "s0", "s1", "first", "deep", "prefix"])
 
-    return grouped.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(
-        lambda b: runs(b, act), "g bigint, rep bigint, n bigint, s0 bigint, s1 bigint, first bigint")
+    return grouped.repartition("g").sortWithinPartitions("g", "label", "rep").mapInArrow(
+        lambda b: runs(b, act), "g bigint, rep bigint, n bigint, s0 bigint, s1 bigint, first bigint, deep bigint, prefix int")
 
 
 def open_rows(labelled: DataFrame, num: int, den: int) -> DataFrame:
     """``g, rep, c``: rows of regions with a candidate in another component ``c``."""
 
     def act(t):
-        g, rep, n, s0, s1, c = _columns(t)
+        g, rep, n, s0, s1, c = (t[x].to_numpy() for x in ("g", "rep", "n", "s0", "s1", "c"))
         u0, u1 = s0.view(_U), s1.view(_U)
         has = np.zeros(len(g), bool)
         i = np.flatnonzero(g[:-1] == g[1:])
@@ -404,13 +434,16 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     f = cut(features(docs, shingle))
     reps = f.where("n > 0").groupBy("ha", "hb", "n").agg(
-        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s0", "s1", "keys"))).where("rep IS NOT NULL")
-    bounded, large = regions(reps)
+        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s0", "s1", "labels"))).where("rep IS NOT NULL")
+    bounded, large = subtrees(forest(reps))
     near = cut(first_candidates(bounded, num, den))
-    pairs = cut(near.where("first IS NOT NULL AND first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    longest = near.groupBy("rep").agg(F.max(F.struct("prefix", (-F.col("deep")).alias("deep"))).alias("d")).select(
+        F.least(-F.col("d.deep"), "rep").alias("a"), F.greatest(-F.col("d.deep"), "rep").alias("b"))
+    tied = near.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    pairs = cut(tied.unionByName(longest).distinct())
     links = cut(confirmed(docs, pairs, shingle, num, den))
     joined = connected_components(links)
-    label = near.drop("first").join(joined, near["rep"] == joined["id"], "left").select(
+    label = near.join(joined, near["rep"] == joined["id"], "left").select(
         "g", "rep", "n", "s0", "s1", F.coalesce("component", "rep").alias("c"))
     rest = cut(open_rows(label, num, den))
     if not rest.isEmpty():
