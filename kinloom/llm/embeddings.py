@@ -240,3 +240,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     out = vectors.select("vec_id", key.alias("key")).join(info, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: Links of all pairs, and what is reachable by them.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (
+  SELECT vec_id, v FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, near.b FROM reach r JOIN near ON near.a = r.c),
+least AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM near WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""

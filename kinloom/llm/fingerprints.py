@@ -5,12 +5,11 @@ paragraph is hashed to a wide vector and the vectors are summed modulo powers of
 two, so the order of paragraphs doesn't matter and a paragraph is inserted or
 deleted by adding or subtracting its vector:
 
-* ``exact``: 16 lanes modulo 2**32 from the paragraph's SHA-512 digest; equal
+* ``exact``: 16 lanes modulo 2**32 from two SHA-256 digests of the paragraph; equal
   fingerprints mean equal multisets,
-* ``sketch``: 40 numbers modulo 2**60 of three counters each. The paragraph is cut
-  from its start into runs of four words back to back, the last one shorter, and
-  each adds its hash bits (so a word inserted or deleted changes all later runs
-  of its paragraph, and near copies of one long paragraph may look unlike); the counters of two texts,
+* ``sketch``: 40 numbers modulo 2**60 of three counters each. Every run of four words that follow each
+  other in a line (the last ones shorter) adds the 120 bits of its hash, so a word that is inserted or deleted changes
+  four runs; the counters of two texts,
   read as sums of signs, give the cosine of their multisets of runs,
 * ``n``: the runs summed so far.
 
@@ -23,47 +22,73 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES, LANE_BITS = 16, 32
-#: Counters of 20 bits, three to a number, for two hashes of a run.
+#: Counters of 20 bits, three to a number, for two halves of a run's hash.
 FIELD_BITS, FIELDS, HASHES = 20, 3, 2
-#: Words that are hashed together inside a paragraph.
-RUN = r"[^\s]+(?:[ \t]+[^\s]+){0,3}"
+#: Hexadecimal digits of a half.
+DIGITS = FIELD_BITS * FIELDS // 4
+#: Words that follow each other in a line, from every word on: four, or as many as the line still has.
+RUN = r"(?=([^\s]+(?: [^\s]+){0,3}))[^\s]+"
+#: Runs that are summed as plain numbers, which hold 8 times as many.
+SUMMED = 1 << 20
 _SPREAD = sum(1 << (FIELD_BITS * i) for i in range(FIELDS))
 _SKETCH_MASK = (1 << (FIELD_BITS * FIELDS)) - 1
 _LANE_MASK = (1 << LANE_BITS) - 1
 
 
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def _sum(values: Column, term, mask: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: (a + term(x)).bitwiseAND(F.lit(mask)))
 
 
+def lanes(text: Column) -> Column:
+    """The exact part: sums over paragraphs, modulo 2**32."""
+    digests = F.transform(F.split(text, "\n", -1), lambda p: F.concat(F.sha2(p, 256), F.sha2(F.concat(F.lit("|"), p), 256)))
+    return F.array(*[_sum(digests, lambda h, k=k: _number(F.substring(h, 1 + 8 * k, 8)), _LANE_MASK) for k in range(LANES)])
+
+
+def runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(text, "[ \t]+", " "), F.lit(RUN), F.lit(1))
+
+
+def halves(run: Column) -> list[Column]:
+    """Two numbers of 60 bits."""
+    h = F.md5(run)
+    return [_number(F.substring(h, 1 + DIGITS * j, DIGITS)) for j in range(HASHES)]
+
+
+def _counted(half: Column, k: int) -> Column:
+    """The bits of counter number k: one for each of its fields."""
+    return F.shiftrightunsigned(half, k).bitwiseAND(F.lit(_SPREAD))
+
+
 def with_fingerprint(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds ``<prefix>exact``, ``<prefix>sketch`` and ``<prefix>n`` of the column ``text``."""
+    """Adds ``<prefix>exact``, ``<prefix>sketch`` and ``<prefix>n`` of the column ``text``, row by row."""
     own = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({
-        f"{prefix}_p": F.transform(F.split(own, "\n", -1), lambda p: F.sha2(p, 512)),
-        f"{prefix}_r": F.regexp_extract_all(own, F.lit(RUN), F.lit(0)),
-    })
-    df = df.withColumns({
-        f"{prefix}_h0": F.transform(f"{prefix}_r", lambda r: F.xxhash64(r)),
-        f"{prefix}_h1": F.transform(f"{prefix}_r", lambda r: F.xxhash64(F.lit(1), r)),
-    })
-    lane = [
-        _sum(F.col(f"{prefix}_p"), lambda h, k=k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long"), _LANE_MASK)
-        for k in range(LANES)
-    ]
-    counters = [
-        _sum(F.col(f"{prefix}_h{j}"), lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_SPREAD)), _SKETCH_MASK)
-        for j in range(HASHES) for k in range(FIELD_BITS)
-    ]
+    df = df.withColumn(f"{prefix}_r", F.transform(runs(own), lambda r: F.array(*halves(r))))
+    counters = [_sum(F.col(f"{prefix}_r"), lambda h, j=j, k=k: _counted(h[j], k), _SKETCH_MASK) for j in range(HASHES) for k in range(FIELD_BITS)]
     return df.withColumns({
-        f"{prefix}exact": F.array(*lane),
-        f"{prefix}sketch": F.array(*counters),
-        f"{prefix}n": F.size(f"{prefix}_r").cast("long"),
-    }).drop(*(f"{prefix}_{x}" for x in ("p", "r", "h0", "h1")))
+        f"{prefix}exact": lanes(own), f"{prefix}sketch": F.array(*counters), f"{prefix}n": F.size(f"{prefix}_r").cast("long")}).drop(f"{prefix}_r")
+
+
+def sketched(df: DataFrame, key: list[str], runs: str) -> DataFrame:
+    """``key, sketch, n``: the same sums as in :func:`with_fingerprint` for unique rows ``key`` with their runs,
+    as plain aggregates over exploded runs. A table that is dealt out by a part of the key isn't shuffled again."""
+    each = df.select(*key, F.posexplode_outer(runs).alias("_at", "_run")).withColumn("_part", F.expr(f"_at div {SUMMED}"))
+    each = each.select(*key, "_part", "_run", *(h.alias(f"_h{j}") for j, h in enumerate(halves(F.col("_run")))))
+    names = [f"_c{i}" for i in range(HASHES * FIELD_BITS)]
+    sums = [F.coalesce(F.sum(_counted(F.col(f"_h{j}"), k)), F.lit(0)).alias(names[FIELD_BITS * j + k]) for j in range(HASHES) for k in range(FIELD_BITS)]
+    parts = each.groupBy(*key, "_part").agg(F.count("_run").alias("_n"), *sums)
+    total = lambda c: (F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(_SKETCH_MASK + 1)).cast("long")
+    return parts.groupBy(*key).agg(F.array(*[total(c) for c in names]).alias("sketch"), F.sum("_n").alias("n"))
 
 
 def changed(whole: str, part: str, out: str, sign: int = 1):
@@ -97,18 +122,18 @@ def likeness(a: str, b: str) -> Column:
     return F.when(same, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
 
 
-def range_of(value: Column, splits: list[int], step: int = 32) -> Column:
+def range_of(value: Column, splits: list[int]) -> Column:
     """How many of the sorted ``splits`` lie below ``value``; -1 for null."""
     if not splits:
         return F.when(value.isNull(), -1).otherwise(0)
-    coarse = F.lit(splits[step - 1::step]) if len(splits) >= step else None
+    step = max(1, math.isqrt(len(splits)))
     below = lambda part: F.size(F.filter(part, lambda s: s < value))
-    first = below(coarse) if coarse is not None else F.lit(0)
+    first = below(F.lit(splits[step - 1::step]))
     return F.when(value.isNull(), -1).otherwise(
         first * step + below(F.slice(F.lit(splits), first * step + 1, F.lit(step))))
 
 
-def id_splits(docs: DataFrame, rows: int = 512, most: int = 4096) -> list[int]:
+def id_splits(docs: DataFrame, rows: int = 512, most: int = 1 << 16) -> list[int]:
     """Quantiles that deal the ids into ranges of about ``rows`` rows, ``most`` at most."""
     n = docs.count()
     k = min(most, n // rows)
@@ -123,7 +148,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)`` and of each text edited with its next document.
 
     The next document (by descending id) comes from one shuffle into id ranges:
-    each range gets a copy of the first row of the range after it.
+    each range gets a copy of the first row of the range after it. Runs are
+    summed where the shuffle put their texts.
     """
     splits = id_splits(docs.select("doc_id"))
     rows = docs.select(
@@ -136,22 +162,28 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     last = F.min("range").over(Window.partitionBy())
     guests = heads.withColumn("range", F.coalesce(before, last)).select(
         "head.doc_id", "head.text", "range", "head.th", F.lit(False).alias("own"))
-    both = with_fingerprint(rows.withColumn("own", F.lit(True)).unionByName(guests), "text", "a")
     near = Window.partitionBy("range").orderBy(
         F.col("own").desc(), F.col("doc_id").desc_nulls_last(), F.col("th").desc())
-    nxt = F.lead(F.struct("text", "aexact", "asketch", "an")).over(near)
-    both = both.withColumn("nxt", nxt).where("own")
+    both = rows.withColumn("own", F.lit(True)).unionByName(guests).withColumn("nth", F.row_number().over(near)).withColumn("nxt", F.lead("text").over(near))
     n = F.char_length("text")
     half = F.expr("char_length(text) div 2")
-    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")),
-                      F.substring(F.col("nxt.text"), F.lit(1), half.cast("int")))
+    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("nxt", F.lit(1), half.cast("int")))
+    both = both.select("range", "nth", "own", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("own"), edited).alias("edited"))
     both = both.select(
-        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "aexact", "asketch", "an",
-        F.col("nxt.aexact").alias("bexact"), F.col("nxt.asketch").alias("bsketch"), F.col("nxt.an").alias("bn"))
-    both = with_fingerprint(both, "edited", "e")
-    return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        as_text("a").alias("fingerprint"), as_text("e").alias("edited_fingerprint"),
+        "range", "nth", "own", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.filter(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))),
+                           lambda x: x["text"].isNotNull())).alias("x"))
+    key = ["range", "nth", "which", "own", "doc_id", "n_chars", "edited_sha256", "exact"]
+    both = both.select(*key[:2], "x.which", *key[3:-1], lanes(F.col("x.text")).alias("exact"), runs(F.col("x.text")).alias("runs"))
+    sums = sketched(both, key, "runs")
+    # a document, its edited text, the next document
+    order = Window.partitionBy("range").orderBy("nth", "which")
+    own = F.struct("exact", "sketch", "n")
+    out = sums.select("*", F.lead(own).over(order).alias("e"), F.lead(own, 2).over(order).alias("b")).where("own AND which = 0")
+    out = out.select("doc_id", "n_chars", "edited_sha256", *(F.col(c).alias(f"a{c}") for c in ("exact", "sketch", "n")),
+                     *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "eb" for c in ("exact", "sketch", "n")))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", as_text("a").alias("fingerprint"), as_text("e").alias("edited_fingerprint"),
         likeness("a", "e").alias("near_edited"), likeness("a", "b").alias("near_next"))
 
 
@@ -163,3 +195,41 @@ def merged(df: DataFrame, key: str, prefix: str = "") -> DataFrame:
         F.transform(total(f"{prefix}exact", LANES, _LANE_MASK), lambda x: x.cast("long")).alias(f"{prefix}exact"),
         F.transform(total(f"{prefix}sketch", FIELD_BITS * HASHES, _SKETCH_MASK), lambda x: x.cast("long")).alias(f"{prefix}sketch"),
         F.sum(f"{prefix}n").alias(f"{prefix}n"))
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS a FROM documents),
+x AS (SELECT doc_id, a, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first_value(a) OVER (ORDER BY doc_id DESC)) AS b FROM t),
+d AS (SELECT *, substring(a, 1, length(a) - length(a) // 2) || substring(b, 1, length(a) // 2) AS e FROM x),
+every AS (SELECT doc_id, 0 AS which, a AS text FROM d UNION ALL SELECT doc_id, 1, e FROM d),
+lane AS (
+  SELECT doc_id, which, string_agg(printf('%08x', (v % 4294967296)::BIGINT), '' ORDER BY k) AS lanes FROM (
+    SELECT doc_id, which, k, sum(('0x' || substr(h, 1 + 8 * k, 8))::BIGINT) AS v
+    FROM (SELECT doc_id, which, sha256(p) || sha256('|' || p) AS h FROM (SELECT doc_id, which, unnest(string_split(text, chr(10))) AS p FROM every)),
+      (SELECT unnest(range(16)) AS k) GROUP BY ALL) GROUP BY ALL),
+line AS (SELECT doc_id, which, regexp_extract_all(unnest(regexp_split_to_array(text, '[
+]')), '[^ 	]+') AS w FROM every),
+run AS (SELECT doc_id, which, md5(unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) AS h FROM line),
+half AS (SELECT doc_id, which, ('0x' || substr(h, 1, 15))::BIGINT AS h0, ('0x' || substr(h, 16, 15))::BIGINT AS h1 FROM run),
+counts AS (SELECT doc_id, which, count(*) AS n, COUNTERS FROM half GROUP BY ALL),
+f AS (SELECT doc_id, which, lanes, coalesce(n, 0) AS n, FIELDS FROM every JOIN lane USING (doc_id, which) LEFT JOIN counts USING (doc_id, which)),
+s AS (SELECT doc_id, which, lanes || list_aggregate(list_transform(c, lambda v: lpad(printf('%x', v), 15, '0')), 'string_agg', '') || printf('%x', n) AS text,
+        flatten(list_transform(c, lambda v: [(2 * ((v >> (20 * i)) & 1048575) - n)::DOUBLE for i in range(3)])) AS signs FROM f),
+p AS (
+  SELECT d.doc_id, length(d.a) AS n_chars, sha256(d.e) AS edited_sha256, a.text AS ta, e.text AS te, a.signs AS sa, e.signs AS se,
+    coalesce(lead(a.text) OVER w, first_value(a.text) OVER w) AS tb, coalesce(lead(a.signs) OVER w, first_value(a.signs) OVER w) AS sb
+  FROM d JOIN s a ON a.doc_id = d.doc_id AND a.which = 0 JOIN s e ON e.doc_id = d.doc_id AND e.which = 1 WINDOW w AS (ORDER BY d.doc_id DESC))
+SELECT doc_id, n_chars, edited_sha256, ta AS fingerprint, te AS edited_fingerprint, NEAR_E AS near_edited, NEAR_B AS near_next FROM p
+"""
+
+
+def oracle() -> str:
+    half = [(j, k) for j in range(HASHES) for k in range(FIELD_BITS)]
+    counters = ", ".join(f"sum((h{j} >> {k}) & {_SPREAD}) % {_SKETCH_MASK + 1} AS c{FIELD_BITS * j + k}" for j, k in half)
+    fields = "[" + ", ".join(f"coalesce(c{i}, 0)::BIGINT" for i in range(len(half))) + "] AS c"
+
+    def near(x: str) -> str:
+        norm = f"sqrt(list_inner_product(sa, sa)) * sqrt(list_inner_product(s{x}, s{x}))"
+        return f"CASE WHEN ta = t{x} THEN 1.0 WHEN {norm} > 0 THEN least(1.0, greatest(0.0, list_inner_product(sa, s{x}) / ({norm}))) ELSE 0.0 END"
+
+    return ORACLE.replace("COUNTERS", counters).replace("FIELDS", fields).replace("NEAR_E", near("e")).replace("NEAR_B", near("b"))

@@ -466,3 +466,20 @@ def deduplicated(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     found = components(docs, shingle, num, den).where("kept").select("doc_id")
     own = docs.dropDuplicates(["doc_id", "text"]) if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
     return among(own, "doc_id", found).unionByName(docs.where("doc_id IS NULL"))
+
+
+#: Links of all pairs that share a shingle, of two words, and what is reachable by them.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(s)) AS g FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+near AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, near.b FROM reach r JOIN near ON near.a = r.c),
+least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
+"""

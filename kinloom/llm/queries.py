@@ -70,4 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.ORACLE, "op5_mixing": mixing.ORACLE}
+    return {
+        "op1_fingerprints": fingerprints.oracle(),
+        "op2_minhash": neardup.ORACLE,
+        "op3_chat": chat.ORACLE,
+        "op4_embeddings": embeddings.ORACLE,
+        "op5_mixing": mixing.ORACLE,
+        "op9_repeats": repeats.ORACLE,
+    }

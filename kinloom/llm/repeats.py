@@ -426,3 +426,21 @@ def trimmed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return out.filter(pa.array([not r or bool(x) for x, (_, r, _) in zip(text, done)], pa.bool_()))
 
     return _with_removals(docs, length, act, docs.schema)
+
+
+#: A table of all strings of 50 bytes, in hexadecimal digits.
+ORACLE = """
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+n AS (SELECT *, (length(h) // 2)::BIGINT AS n FROM h),
+g AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM n)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first FROM g) WHERE doc_id > first),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (
+  SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+run AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM isle GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, coalesce(lag(z) OVER w, 0) AS a, a AS z FROM run WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT n.doc_id, coalesce(max(z), 0), any_value(n) FROM n LEFT JOIN run USING (doc_id) GROUP BY n.doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS t FROM gap JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, (n - length(t) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM run WHERE run.doc_id = n.doc_id)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM n JOIN kept USING (doc_id)
+"""
