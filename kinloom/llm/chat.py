@@ -62,10 +62,16 @@ def kind(part: Column) -> Column:
 
 
 def flattened(parts: Column) -> Column:
-    """The content: escaped texts and placeholders, in order."""
-    visit = lambda p: F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), kind(p), F.lit("|>")))
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit), "")
+    """The content: escaped texts and placeholders, in order.
+
+    Texts that follow each other are escaped as one, so no control string comes about where two of them meet."""
+    def visit(seen: Column, p: Column) -> Column:
+        mark = F.concat(F.lit("<|"), kind(p), F.lit("|>"))
+        return F.when(kind(p) == "text", F.struct(seen["done"].alias("done"), F.concat(seen["text"], F.coalesce(p["text"], F.lit(""))).alias("text"))).otherwise(
+            F.struct(F.concat(seen["done"], escape(seen["text"]), mark).alias("done"), F.lit("").alias("text")))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+    return F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), start, visit, lambda seen: F.concat(seen["done"], escape(seen["text"])))
 
 
 def attachments(parts: Column) -> Column:

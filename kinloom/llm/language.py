@@ -2,9 +2,9 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.
 The letter runs of a text are scored by the forward algorithm: the probability
-of a run is the sum over all ways to cut it into pieces. Runs are cut after
-``RUN_LETTERS`` letters and pieces of over ``PIECE_LETTERS`` characters are left out,
-so ways across such a cut and long pieces aren't summed; all letters are scored. Piece probabilities
+of a run is the sum over all ways to cut it into pieces, whatever its length. Runs of up to
+``RUN_LETTERS`` letters are summed in batches of equally long ones and remembered; the forward pass of a longer
+one keeps only as many sums as the longest piece has letters. Piece probabilities
 are learned by expectation maximisation over the same sums, from a bounded
 sample of labelled documents (``SAMPLE`` for each language, by hash of the id).
 
@@ -16,6 +16,7 @@ any labelled document every text is ``und``; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 import re
 
 import numpy as np
@@ -30,9 +31,9 @@ from .common import bound_batches, cut, release
 SAMPLE = 2500
 ROUNDS = 2
 SMOOTH = 0.1
-#: Letter runs are cut after so many letters; pieces are looked up to this length.
+#: Letters of the runs that are summed in batches; letters of the longest piece of the usual vocabulary.
 RUN_LETTERS, PIECE_LETTERS = 24, 16
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % RUN_LETTERS)
+_WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a task remembers.
 CACHE = 300_000
 _LEAST = 1e-9
@@ -53,7 +54,13 @@ def vocabulary(path: str) -> tuple[dict[str, int], list[int], int]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     pieces = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return {p: i for p, i in pieces.items() if len(p) <= PIECE_LETTERS}, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n
+    return pieces, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n
+
+
+@functools.lru_cache(maxsize=1)
+def longest(path: str) -> int:
+    """Letters of the longest piece."""
+    return max(map(len, vocabulary(path)[0]))
 
 
 def words(text: str) -> list[str]:
@@ -63,12 +70,12 @@ def words(text: str) -> list[str]:
 class Lattice:
     """All segmentations of equally long words: for each cut (i, j) the piece ids, -1 for none."""
 
-    def __init__(self, same: list[str], pieces: dict[str, int], byte_ids: list[int], extra: dict[str, int], first: int):
-        self.n = len(same[0])
+    def __init__(self, same: list[str], pieces: dict[str, int], byte_ids: list[int], extra: dict[str, int], first: int, reach: int = PIECE_LETTERS):
+        self.n, self.reach = len(same[0]), reach
         self.edges: dict[tuple[int, int], np.ndarray] = {}
         get = pieces.get
         for i in range(self.n):
-            for j in range(i + 1, min(self.n, i + PIECE_LETTERS) + 1):
+            for j in range(i + 1, min(self.n, i + reach) + 1):
                 ids = [get(w[i:j], -1) for w in same]
                 if j == i + 1 and -1 in ids:
                     ids = [extra.setdefault(w[i], first + len(extra)) if x < 0 else x for w, x in zip(same, ids)]
@@ -80,13 +87,13 @@ class Lattice:
         """p: rows of piece probabilities, the last all 0."""
         at = [np.ones((len(next(iter(self.edges.values()))), p.shape[1]))]
         for j in range(1, self.n + 1):
-            at.append(sum(at[i] * p[self.edges[i, j]] for i in range(max(0, j - PIECE_LETTERS), j) if (i, j) in self.edges))
+            at.append(sum(at[i] * p[self.edges[i, j]] for i in range(max(0, j - self.reach), j) if (i, j) in self.edges))
         return at
 
     def backward(self, p: np.ndarray) -> list[np.ndarray]:
         at = [np.ones((1, 1))] * (self.n + 1)
         for i in range(self.n - 1, -1, -1):
-            at[i] = sum(at[j] * p[self.edges[i, j]] for j in range(i + 1, min(self.n, i + PIECE_LETTERS) + 1) if (i, j) in self.edges)
+            at[i] = sum(at[j] * p[self.edges[i, j]] for j in range(i + 1, min(self.n, i + self.reach) + 1) if (i, j) in self.edges)
         return at
 
 
@@ -100,21 +107,77 @@ def lattices(found: list[str], path: str):
         for at in range(0, len(places), 4096):
             part = places[at:at + 4096]
             extra: dict[str, int] = {}
-            yield part, Lattice([_START + found[k] for k in part], pieces, byte_ids, extra, n), extra
+            yield part, Lattice([_START + found[k] for k in part], pieces, byte_ids, extra, n, longest(path)), extra
 
 
 def padded(p: np.ndarray, extra: dict[str, int], byte_ids: list[int]) -> np.ndarray:
     """Rows for letters that are spelled in byte pieces, then one of zeros for index -1."""
-    spelled = [np.maximum(np.prod(p[[byte_ids[b] for b in c.encode()]], axis=0), _LEAST) for c in extra]
-    return np.vstack([p, *spelled, np.zeros((1, p.shape[1]))])
+    return np.vstack([p, *(spelled(c, p, byte_ids) for c in extra), np.zeros((1, p.shape[1]))])
+
+
+def spelled(letter: str, p: np.ndarray, byte_ids: list[int]) -> np.ndarray:
+    """Probabilities of a letter without a piece: those of its bytes."""
+    return np.maximum(np.prod(p[[byte_ids[b] for b in letter.encode()]], axis=0), _LEAST)
+
+
+def steps_of(run: str, p: np.ndarray, path: str):
+    """For each end in the run, the pieces ``(start, id or -1, probabilities)`` that end there."""
+    pieces, byte_ids, _ = vocabulary(path)
+    reach = longest(path)
+    for j in range(1, len(run) + 1):
+        out = [(i, k, p[k]) for i in range(max(0, j - reach), j) if (k := pieces.get(run[i:j], -1)) >= 0]
+        if not out or out[-1][0] != j - 1:
+            out.append((j - 1, -1, spelled(run[j - 1], p, byte_ids)))
+        yield j, out
+
+
+def long_score(run: str, p: np.ndarray, path: str) -> np.ndarray:
+    """Log probability of a run of any length in each language, by as many sums as the longest piece has letters."""
+    run, reach = _START + run, longest(path)
+    at = np.zeros((reach + 1, p.shape[1]))  # a ring: the sum up to place j is in row j modulo its size
+    at[0] = 1.0
+    logs = np.zeros(p.shape[1])
+    for j, pieces in steps_of(run, p, path):
+        total = sum(at[i % (reach + 1)] * q for i, _, q in pieces)
+        at[j % (reach + 1)] = total
+        if total.min() < 1e-100:  # all sums of a language go up together
+            up = 1 / np.maximum(total, 1e-290)
+            at *= up
+            logs -= np.log(up)
+    return logs + np.log(np.maximum(at[len(run) % (reach + 1)], 1e-300))
+
+
+def long_counts(run: str, weight: float, p: np.ndarray, path: str, total: np.ndarray) -> None:
+    """Adds the pieces expected over all segmentations of a run of any length, for one language."""
+    run, (_, byte_ids, _) = _START + run, vocabulary(path)
+    n = len(run)
+    edges = [(i, j, k, math.log(max(float(q[0]), 1e-300))) for j, pieces in steps_of(run, p, path) for i, k, q in pieces]
+
+    def add(x: float, y: float) -> float:
+        high, low = (x, y) if x > y else (y, x)
+        return high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+
+    ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i, j, _, q in edges:
+        ahead[j] = add(ahead[j], ahead[i] + q)
+    for i, j, _, q in reversed(edges):
+        behind[i] = add(behind[i], behind[j] + q)
+    for i, j, k, q in edges:
+        share = weight * math.exp(min(0.0, ahead[i] + q + behind[j] - ahead[n]))
+        for at in (k,) if k >= 0 else (byte_ids[b] for b in run[i].encode()):
+            total[at] += share
 
 
 def word_scores(found: list[str], p: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word in each language."""
     _, byte_ids, _ = vocabulary(path)
     out = np.zeros((len(found), p.shape[1]))
-    for places, lattice, extra in lattices(found, path):
-        out[places] = np.log(np.maximum(lattice.forward(padded(p, extra, byte_ids))[-1], 1e-300))
+    short = [k for k, w in enumerate(found) if len(w) <= RUN_LETTERS]
+    for places, lattice, extra in lattices([found[k] for k in short], path):
+        out[[short[k] for k in places]] = np.log(np.maximum(lattice.forward(padded(p, extra, byte_ids))[-1], 1e-300))
+    for k, w in enumerate(found):
+        if len(w) > RUN_LETTERS:
+            out[k] = long_score(w, p, path)
     return out
 
 
@@ -122,10 +185,11 @@ def expected_counts(found: list[str], weights: np.ndarray, p: np.ndarray, path:
     """Pieces expected over all segmentations of the words, each counted ``weights`` times."""
     _, byte_ids, n = vocabulary(path)
     total = np.zeros(n)
-    for places, lattice, extra in lattices(found, path):
+    short = [k for k, w in enumerate(found) if len(w) <= RUN_LETTERS]
+    for places, lattice, extra in lattices([found[k] for k in short], path):
         q = padded(p, extra, byte_ids)
         ahead, behind = lattice.forward(q), lattice.backward(q)
-        share = weights[places] / np.maximum(ahead[-1][:, 0], 1e-300)
+        share = weights[[short[k] for k in places]] / np.maximum(ahead[-1][:, 0], 1e-300)
         sums = np.zeros(len(q))
         for (i, j), ids in lattice.edges.items():
             np.add.at(sums, ids, share * ahead[i][:, 0] * q[ids, 0] * behind[j][:, 0])
@@ -133,6 +197,9 @@ def expected_counts(found: list[str], weights: np.ndarray, p: np.ndarray, path:
         for c, k in extra.items():
             for b in c.encode():
                 total[byte_ids[b]] += sums[k]
+    for w, weight in zip(found, weights):
+        if len(w) > RUN_LETTERS:
+            long_counts(w, float(weight), p, path, total)
     return total
 
 
@@ -215,7 +282,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None =
                 split = [words(t or "") for t in texts.slice(at, 256).to_pylist()]
                 if len(known) > CACHE:
                     known.clear()
-                new = list({w for ws in split for w in ws if w not in known})
+                new = list({w for ws in split for w in ws if len(w) <= RUN_LETTERS and w not in known})
                 if new:
                     first = len(known)
                     known.update(zip(new, range(first, first + len(new))))
@@ -227,7 +294,10 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, path: str | None =
                         pred.append("und")
                         sure.append(0.0)
                         continue
-                    total = scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                    short = [w for w in ws if len(w) <= RUN_LETTERS]
+                    total = scores[np.fromiter(map(known.__getitem__, short), np.int64, len(short))].sum(axis=0)
+                    if len(short) < len(ws):
+                        total = total + sum(long_score(w, q, local) for w in ws if len(w) > RUN_LETTERS)
                     k = int(total.argmax())
                     pred.append(langs[k])
                     sure.append(1.0 / float(np.exp(np.maximum(total - total[k], -700.0)).sum()))
