@@ -8,7 +8,10 @@ round the stream as often as the target asks for.
 
 Defined results: a null or wordless text has size 0 and is never taken; a null
 source is a source of its own, last in order; repeated rows are documents of
-their own; an empty table gives an empty mix.
+their own; an empty table gives an empty mix. Other columns of the documents may have any names.
+
+Windows over sources see one row for each source, in one task: sources may be many (millions of short
+rows), but not as many as documents of a large corpus.
 """
 
 from __future__ import annotations
@@ -60,12 +63,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     named = sizes.withColumn("i", F.row_number().over(by_name)).withColumn("w", pick)
     level = Window.orderBy((max_repeats * F.col("source_size") / F.col("w")).asc(), F.col("i").asc())
     before = level.rowsBetween(Window.unboundedPreceding, -1)
-    after = level.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     shared = named.select(
         "*",
         ((F.sum("source_size").over(every) - max_repeats * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-         / F.sum("w").over(after)).alias("level"),
+         / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))).alias("level"),
     )
     uncapped = max_repeats * F.col("source_size") / F.col("w") >= F.col("level")
     top = F.min(F.when(uncapped, F.struct(max_repeats * F.col("source_size") / F.col("w"), "i", "level"))).over(every)
@@ -94,13 +96,13 @@ def van_der_corput(i: Column, bits: int) -> Column:
 def schedule(planned: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """``slot, src, k, block, epoch, words``: which block every slot of the mix takes.
 
-    Four times as many points as slots are drawn, so each source is met often
-    enough; the points of a source after its last slot are left out. The last
+    At least twice as many points as slots are drawn. The first 2**b points of the sequence hit every one of 2**b equal
+    intervals, so each slot share is hit and no source is met too seldom; the points of a source after its last slot are left out. The last
     slot of a source takes only the words that its target still misses.
     """
     spark = planned.sparkSession
     n = planned.agg(F.sum("slots")).first()[0] or 0
-    bits = max(2, math.ceil(math.log2(4 * n + 1)))
+    bits = max(2, math.ceil(math.log2(2 * n + 1)))
     points = spark.range(1 << bits if n else 0).select(
         F.col("id").alias("slot"),
         F.floor(van_der_corput(F.col("id"), bits) * F.lit(n / (1 << bits))).cast("long").alias("x"),
@@ -132,13 +134,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     """The mix of ``docs(doc_id, text, source)``.
 
     Returns ``(taken, schedule)``: one row for each document with its ``size,
-    source_size, target, taken, ord``, and the slots in order. Words that the
+    source_size, target, taken, ord`` and ``start``, the words of its source before it, and the slots in order. Words that the
     mix takes are read off the scheduled blocks.
     """
     m = cut(measured(docs, seed))
     sources = m.groupBy("src", "source").agg(F.sum("size").alias("source_size"))
     planned = cut(with_blocks(source_targets(sources, weights, max_repeats), block))
-    plan = schedule(planned, block)
+    plan = cut(schedule(planned, block))  # a row for each block of words
     # A block is taken whole in most slots and in part in the last one.
     full = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     uses = (
@@ -158,39 +160,51 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block:
     taken = (
         pieces.join(uses, ["src", "block"], "left")
         .groupBy("src", "start", "doc_id", "size", "ord").agg(F.sum(got).cast("long").alias("taken"))
-        .select("doc_id", "src", "size", "ord", "taken")
-        .unionByName(m.where("size = 0").select("doc_id", "src", "size", "ord", F.lit(0).cast("long").alias("taken")))
+        .select("doc_id", "src", "size", "ord", "start", "taken")
+        .unionByName(m.where("size = 0").select(
+            "doc_id", "src", "size", "ord", F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("taken")))
     )
     return taken.join(planned.select("src", "source_size", "target"), "src"), plan
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, spacing included."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), F.lit(1), n), "")
+
+
+def mixed_documents(docs: DataFrame, slot: str | None = None, in_order: bool = False, block: int = BLOCK_WORDS, **how) -> DataFrame:
     """The rows of ``docs`` that the mix holds, repeats as rows of their own.
 
-    A document that the mix takes only in part comes with its first words.
+    A document that the mix takes only in part comes with its text up to the end of its last word there. A copy's
+    place in the mix is the slot of the block that holds its first word in that round of its source:
+    ``slot`` names a column for it; ``in_order`` deals the rows to partitions by it, in order, and sorts them there.
     """
-    taken, _ = mix(docs, **how)
-    same = Window.partitionBy("doc_id", "size").orderBy("taken")
-    taken = taken.select("doc_id", "size", F.col("taken").alias("_taken"), F.row_number().over(same).alias("_nth"))
-    one = Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))
-    own = docs.withColumn("_size", word_count(F.col("text")))
-    own = own.withColumn("_nth", F.row_number().over(one))
-    joined = own.join(
-        taken.withColumnRenamed("doc_id", "_id"),
-        own["doc_id"].eqNullSafe(F.col("_id")) & (own["_size"] == F.col("size")) & (own["_nth"] == taken["_nth"]),
-    ).where("_taken > 0")
-    some = F.expr("cast(_taken % size as int)")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), some), " ")
-    parts = F.concat(
-        F.array_repeat(F.lit(True), F.expr("cast(_taken div size as int)")),
-        F.array_repeat(F.lit(False), (some > 0).cast("int")),
-    )
-    out = joined.withColumn("_whole", F.explode(parts)).withColumn(
-        "text", F.when(F.col("_whole"), F.col("text")).otherwise(first)
-    )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    taken, plan = mix(docs, block=block, **how)
+    taken = taken.where("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("src").alias("__src"), F.col("start").alias("__start"))
+    own = docs.select(F.struct(*docs.columns).alias("__doc"))
+    own = own.select("__doc", F.col("__doc.doc_id").alias("__key"), word_count(F.col("__doc.text")).alias("__words"), F.xxhash64("__doc.text").alias("__hash"),
+                     F.coalesce(F.concat(F.lit("s"), F.col("__doc.source")), F.lit("n")).alias("__of"))
+    # rows with one id, source and size: the n-th of them takes the n-th share
+    one = Window.partitionBy("__key", "__words", "__of").orderBy("__hash")
+    same = Window.partitionBy("__id", "__size", "__src").orderBy("__taken", "__start")
+    taken, own = taken.withColumn("__nth", F.row_number().over(same)), own.withColumn("__place", F.row_number().over(one))
+    joined = own.join(taken, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__of") == F.col("__src")) & (F.col("__place") == F.col("__nth")))
+    some = F.expr("cast(__taken % __size as int)")
+    rounds = F.sequence(F.lit(0).cast("long"), F.expr("(__taken + __size - 1) div __size - 1"))
+    each = joined.select("*", F.explode(rounds).alias("__epoch"))
+    text = F.when(F.col("__epoch") < F.expr("__taken div __size"), F.col("__doc.text")).otherwise(first_words(F.col("__doc.text"), some))
+    each = each.withColumn("__text", text)
+    if slot or in_order:
+        where = plan.select(F.col("src").alias("__src"), F.col("block").alias("__block"), F.col("epoch").alias("__epoch"), F.col("slot").alias("__slot"))
+        each = each.withColumn("__block", F.expr(f"__start div {block}")).join(where, ["__src", "__block", "__epoch"])
+    if in_order:
+        n = (plan.agg(F.max("slot")).first()[0] or 0) + 1
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = each.repartitionById(parts, (F.col("__slot") * F.lit(parts / n)).cast("int")).sortWithinPartitions("__slot", "__start")
+    new = {"text": F.col("__text"), "n_chars": F.char_length("__text")}
+    out = [(new[c].cast(docs.schema[c].dataType) if c in new else F.col("__doc").getField(c)).alias(c) for c in docs.columns]
+    return each.select(*out, *([F.col("__slot").alias(slot)] if slot else []))
 
 
 ORACLE = r"""
