@@ -31,8 +31,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last time perhaps in part."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them, the last time perhaps in part, in the order of its schedule."""
+    return mixing.mixed_documents(docs, in_order=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
