@@ -6,7 +6,11 @@ window of lines rise at a surge point and fall to nothing at a dive point; all
 text between the first surge and the last dive is kept, short lines included,
 but for menus: windows of lines that are links only. Lines outside an
 ``article`` or ``main`` element, where a page has one, count as length 0; surge and dive points aren't used there,
-as the container marks start and end, and all its lines are kept.
+as the container marks start and end: all its lines are kept but for menus.
+
+An element is left out for its kind (``nav``, ``footer``, ...) or for what its class, id or role calls it. Names
+that may well stand at an article too (``form``, ``search``, ...) leave an element out only if
+it holds less than half of the page's text.
 
 Defined results: a null or empty page has an empty text; broken or truncated
 markup is read as far as it goes; repeated rows are extracted alike; an empty
@@ -27,12 +31,9 @@ from .common import bound_batches
 WINDOW, SURGE_CHARS = 3, 80
 
 # Raw text runs to the end of the page if it isn't closed; other elements that hold no text go only if they are.
-_RAW = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))"
-    r"|<(template|noscript|iframe|svg|select|object|canvas)\b[^>]*>.*?</\2\s*>",
-    re.S | re.I)
+_RAW = re.compile(r"<!--|<(script|style|textarea|title|head|template|noscript|iframe|svg|select|object|canvas)\b", re.I)
+_TO_THE_END = frozenset("script style textarea title".split())
+_BODY = re.compile(r"<body\b", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -43,66 +44,138 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav aside footer form button menu dialog".split())
 MAIN = frozenset("article main".split())
-# Words in class, id and role that name what is no main text.
+# Words in class, id and role that name what is no main text, by experience.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login sidebar "
-    "widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer copyright legal disclaimer comment comments "
-    "commentlist disqus reply replies respond discussion share sharing social related recommended recommendations toolbar "
-    "pagination pager search contentinfo complementary dialog form".split())
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter signup signin sidebar "
+    "menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond toolbar pagination pager contentinfo".split())
+# The same where they may also speak of an article or its frame.
+DOUBTFUL = frozenset(
+    "promo promotion banner notice notices notification alert popup modal overlay subscribe subscription login widget widgets copyright legal "
+    "disclaimer reply replies discussion share sharing social related recommended recommendations search complementary dialog form".split())
+# Words after a name that only say what shape it has.
+SHAPES = frozenset("area bar block box button buttons container content group holder inner item items left link links list outer panel posts right row section top bottom wrap wrapper".split())
 NEGATIONS = frozenset("has with no without".split())
 HEADS = frozenset("header masthead topbar".split())
 
 
-def _aside(name: str, attributes: str, in_main: bool) -> bool:
+def _called(value: str, in_main: bool) -> int:
+    """2 if a class, id or role names no main text, 1 if it may, else 0: by the last word of a token that isn't a shape."""
+    found = 0
+    for token in value.split():
+        words = _NAME.findall(token)
+        if NEGATIONS.intersection(words):  # "has-sidebar" says what is elsewhere
+            continue
+        while len(words) > 1 and words[-1] in SHAPES:
+            words.pop()
+        last = words[-1] if words else ""
+        found = max(found, 2 if last in NAMES or not in_main and last in HEADS else last in DOUBTFUL)
+    return found
+
+
+def _aside(name: str, attributes: str, in_main: bool) -> int:
+    """2 if an element holds no main text, 1 if it may hold none, else 0."""
     if name in ASIDE or name == "header" and not in_main:
-        return True
-    if not attributes or not attributes.strip():
-        return False
+        return 2
+    if not attributes or not attributes.strip() or name in ("html", "body"):
+        return 0
+    found = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 2
         if key == "style":
             if re.search(r"display\s*:\s*none", value):
-                return True
+                return 2
         elif key in ("class", "id", "role"):
-            found = set()
-            for token in value.split():
-                words = set(_NAME.findall(token))
-                if not words & NEGATIONS:  # "has-sidebar" says what is elsewhere
-                    found |= words
-            if found & NAMES or not in_main and found & HEADS:
-                return name not in ("html", "body")
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """``(text, characters outside links, inside article or main)`` of each block; marks alone
-    between links don't count."""
-    lines: list[tuple[str, int, bool]] = []
+            found = max(found, _called(value, in_main))
+    return found
+
+
+def without_raw(page: str) -> str:
+    """The page without comments and elements that hold no text, in one pass: what closes an element is searched for once."""
+    out, at, start = [], 0, 0
+    closing: dict[str, int | None] = {}
+    pattern: dict[str, re.Pattern] = {}
+
+    def end_of(name: str, place: int) -> tuple[int, int] | None:
+        """Where the next closing tag of the name is."""
+        if name not in pattern:
+            pattern[name] = re.compile("-->" if name == "!" else ">" if name == ">" else rf"</{name}\s*>", re.I)
+        known = closing.get(name, -1)
+        if known is not None and known < place:
+            m = pattern[name].search(page, place)
+            closing[name] = known = m.start() if m else None
+        return None if known is None else (known, pattern[name].match(page, known).end())
+
+    while m := _RAW.search(page, at):
+        name = (m[1] or "!").lower()
+        after = end_of(">", m.end()) if m[1] else (0, m.end())
+        if after is None:  # a tag that isn't closed: the tags' pattern takes the rest
+            break
+        close = end_of(name, after[1])
+        if name == "head":
+            body = end_of_body = _BODY.search(page, after[1]) if "body" not in closing else closing["body"]
+            closing["body"] = end_of_body
+            to = close[1] if close else None
+            if body and body.start() >= after[1] and (to is None or body.start() < to):
+                to = body.start()
+        elif close:
+            to = close[1]
+        else:
+            to = len(page) if name in _TO_THE_END or name == "!" else None
+        if to is None:
+            at = m.end()
+            continue
+        out.append(page[start:m.start()])
+        start = at = to
+    out.append(page[start:])
+    return "".join(out)
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
+    """``(text, characters outside links, inside article or main, element)`` of each block; marks alone
+    between links don't count. Elements with a doubtful name that hold half of the text stay."""
+    page = without_raw(page)
+    lines, total, doubtful = _lines(page, None)
+    if not doubtful:
+        return lines
+    return _lines(page, frozenset(k for k, n in doubtful if 2 * n >= total and n))[0]
+
+
+def _lines(page: str, stay: frozenset | None) -> tuple[list[tuple[str, int, bool, str]], int, list[tuple[int, int]]]:
+    """The lines without doubtful elements but those at the places ``stay``. With None all of them
+    stay, and their places and characters are returned, beside those of all lines."""
+    lines: list[tuple[str, int, bool, str]] = []
+    block = ""
+    doubtful: list[tuple[int, int]] = []
     text: list[str] = []
-    plain = 0
+    plain = seen = 0
     link = main = 0
     skip, depth = "", 0
+    open_ones: list[list] = []  # doubtful elements: name, place, characters before, depth
 
     def flush() -> None:
         nonlocal plain
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                lines.append((line, plain, main > 0))
+                lines.append((line, plain, main > 0, block))
             text.clear()
             plain = 0
 
     def take(part: str) -> None:
-        nonlocal plain
+        nonlocal plain, seen
         if part and not skip:
             text.append(part)
+            seen += len(part.strip())
             if not link and any(map(str.isalnum, part)):
                 plain += len(part.strip())
 
-    page = _RAW.sub("", page)
+    def close_doubtful(n: int) -> None:
+        for _ in range(n):
+            _, place, before, _ = open_ones.pop()
+            doubtful.append((place, seen - before))
+
     at = 0
     for m in _TAG.finditer(page):
         take(page[at:m.start()])
@@ -119,12 +192,24 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if not (name in MAIN and not close or skip == "p" and name not in INLINE):
                 continue
             skip, depth = "", 0
-        if not close and name not in VOID and _aside(name, m[3], main > 0):
-            if name not in INLINE:
-                flush()
-            if not m[3].endswith("/"):
-                skip, depth = name, 1
-            continue
+        if open_ones and name in MAIN and not close:
+            close_doubtful(len(open_ones))
+        elif open_ones and name == open_ones[-1][0]:
+            open_ones[-1][3] += -1 if close else 1
+            if not open_ones[-1][3]:
+                close_doubtful(1)
+        if not close and name not in VOID and (sure := _aside(name, m[3], main > 0)):
+            if sure == 1 and stay is None:
+                if not m[3].endswith("/"):
+                    if open_ones and name == open_ones[-1][0]:
+                        open_ones[-1][3] -= 1  # its end is that of the inner one
+                    open_ones.append([name, m.start(), seen, 1])
+            elif sure == 2 or m.start() not in stay:
+                if name not in INLINE:
+                    flush()
+                if not m[3].endswith("/"):
+                    skip, depth = name, 1
+                continue
         if name == "br" or name == "img":
             take(" ")
         elif name not in INLINE:
@@ -132,56 +217,58 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 take(" ")
                 continue
             flush()
-            link = 0
+            link, block = 0, "" if close else name
             if name in MAIN:
                 main = max(0, main + (-1 if close else 1))
         elif name == "a":
             link = 0 if close else 1
     take(page[at:])
+    close_doubtful(len(open_ones))
     flush()
-    return lines
+    return lines, seen, doubtful
+
+
+def without_menus(lines: list[tuple[str, int, str]]) -> list[str]:
+    """The texts but for windows of lines that are links only, each in an element of one kind."""
+    out, k, n = [], 0, len(lines)
+    while k < n:
+        to = k
+        while to < n and not lines[to][1] and lines[to][2] == lines[k][2]:
+            to += 1
+        if to - k < WINDOW:  # else a menu
+            to = max(to, k + 1)
+            out += [lines[x][0] for x in range(k, to)]
+        k = to
+    return out
 
 
 def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
-    """The lines between surge and dive points."""
-    inside = any(x[2] for x in lines)
-    if inside:  # all that a container holds counts; what is outside is nothing
-        lengths = [len(t) if m else 0 for t, _, m in lines]
-    else:
-        lengths = [n for _, n, _ in lines]
+    """The lines between surge and dive points, or those of a container."""
+    inside = [(t, k, e) for t, k, m, e in lines if m]
+    if inside:
+        # marks without a letter or digit count as text where no link is near
+        return without_menus([(t, k or not any(map(str.isalnum, t)), e) for t, k, e in inside])
+    lengths = [n for _, n, _, _ in lines]
     n = len(lengths)
     sums = [sum(lengths[i:i + WINDOW]) for i in range(n)]
     top = max(sums, default=0)
     if not top:
         return []
     surge = min(SURGE_CHARS, top)
-    segments, i = [], 0
+    start, end, i = None, 0, 0
     while i < n:
         if sums[i] < surge:
             i += 1
             continue
-        first = i
-        while first and lengths[first - 1]:
-            first -= 1
+        if start is None:
+            start = i
+            while start and lengths[start - 1]:
+                start -= 1
         end = i
         while end < n and sums[end]:
             end += 1
-        segments.append((first, end))
         i = end + 1
-    if inside:  # a surge in the container opens all of it, its end is the dive point
-        return [lines[k][0] for k in range(n) if lengths[k]]
-    start, end = segments[0][0], segments[-1][1]
-    out, k = [], start
-    while k < end:
-        to = k
-        while to < end and not lengths[to]:
-            to += 1
-        if to - k < WINDOW:  # else a menu
-            out += [lines[x][0] for x in range(k, to)]
-        if to < end:
-            out.append(lines[to][0])
-        k = to + 1
-    return out
+    return without_menus([(t, k, "") for t, k, _, _ in lines[start:end]])  # a linked title right beside a menu goes with it
 
 
 def main_text(page: str | None) -> str:
