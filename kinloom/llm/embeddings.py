@@ -63,13 +63,24 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """``rep, copies, dims, h, v``: one row for each different usable vector of ``vectors(vec_id, embedding)``."""
+    """``num, key, rep, copies, dims, v``: one numbered row for each different usable vector of ``vectors(vec_id, embedding)``.
+
+    Numbers are fixed once the rows are written."""
     v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select("vec_id", v.alias("v")).where(F.coalesce(usable, F.lit(False)))
-    keyed = rows.withColumn("key", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
-    return keyed.groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("dims", F.size("v"))
+    own = rows.withColumn("key", _key(F.col("v"))).groupBy("key").agg(
+        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    return own.select(F.monotonically_increasing_id().alias("num"), "key", "rep", "copies", F.size("v").alias("dims"), "v")
+
+
+def _key(v):
+    return F.sha2(F.concat_ws(",", F.transform(v, lambda x: x.cast("string"))), 256)
+
+
+def unpacked(column, kind: str, dims: int) -> np.ndarray:
+    """Rows of a binary column of equally many numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), dims)
 
 
 def fitted_centers(cls: DataFrame, dims: int, n: int, bounds, turn: np.ndarray) -> list[np.ndarray]:
@@ -115,25 +126,26 @@ def cells_of(x: np.ndarray, c: np.ndarray, radius: float) -> tuple[np.ndarray, n
     return own, row, cell
 
 
-def dealt(cls: DataFrame, dims: int, bounds, turn, centers, radius: float) -> DataFrame:
-    """``block, cell, own, key, rep, copies, v`` in single precision where that is exact."""
+def dealt(cls: DataFrame, dims: int, bounds, turn, centers, radius: float, kind: str) -> DataFrame:
+    """``block, cell, own, num, copies, v``; vectors as packed numbers of the input's precision."""
     spark = cls.sparkSession
     shared = spark.sparkContext.broadcast((turn, centers))  # a bounded number of centers
 
     def run(batches):
         turn, centers = shared.value
         for b in batches:
-            x = unit(matrix(b.column(3), dims)) @ turn
+            raw = matrix(b.column(2), dims)
+            x = unit(raw) @ turn
+            packed = pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())
             for k, (lo, hi) in enumerate(bounds):
                 own, row, cell = cells_of(x[:, lo:hi], centers[k], radius)
-                at = np.r_[np.arange(len(x)), row]
-                take = b.take(pa.array(at))
+                at = pa.array(np.r_[np.arange(len(x)), row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), k, np.int32)), pa.array(np.r_[own, cell].astype(np.int32)), pa.array(np.r_[np.ones(len(own), bool), np.zeros(len(row), bool)]), *take.columns],
-                    names=["block", "cell", "own", "key", "rep", "copies", "v"])
+                    [pa.array(np.full(len(at), k, np.int32)), pa.array(np.r_[own, cell].astype(np.int32)), pa.array(np.r_[np.ones(len(own), bool), np.zeros(len(row), bool)]),
+                     b.column(0).take(at), b.column(1).take(at), packed.take(at)],
+                    names=["block", "cell", "own", "num", "copies", "v"])
 
-    return cls.select("key", "rep", "copies", "v").mapInArrow(
-        run, "block int, cell int, own boolean, key string, rep bigint, copies bigint, v array<double>")
+    return cls.select("num", "copies", "v").mapInArrow(run, "block int, cell int, own boolean, num bigint, copies bigint, v binary")
 
 
 def parted(rows: DataFrame) -> DataFrame:
@@ -143,40 +155,46 @@ def parted(rows: DataFrame) -> DataFrame:
         F.sum(F.col("own").cast("long")).alias("n"), F.count("*").alias("m"))
     n = n.select("block", "cell", F.greatest(F.lit(1), F.ceil(F.col("n") / OWN_ROWS)).alias("ni"), F.ceil(F.col("m") / GUEST_ROWS).alias("nj"))
     at = rows.join(F.broadcast(n), ["block", "cell"])  # at most BLOCKS times MOST_CELLS rows
-    h = F.xxhash64("key")
-    i, j = F.pmod(h, F.col("ni")), F.pmod(F.xxhash64(F.lit(1), "key"), F.col("nj"))
+    i, j = F.pmod(F.xxhash64("num"), F.col("ni")), F.pmod(F.xxhash64(F.lit(1), "num"), F.col("nj"))
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     as_own = at.where("own").select("*", i.alias("i"), F.explode(every(F.col("nj"))).alias("j"), F.lit(False).alias("visits"))
     as_visitor = at.select("*", F.explode(every(F.col("ni"))).alias("i"), j.alias("j"), F.lit(True).alias("visits"))
     return as_own.unionByName(as_visitor.select(as_own.columns))
 
 
-def linked(tables: DataFrame, dims: int, bounds, turn, radius: float, cosine: float) -> DataFrame:
-    """``key, n, root``: links of a row that its table finds, and a linked row it hangs on."""
+def within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows of x and y may be within the radius, by one product in single precision: a superset, by its rounding."""
+    left = np.c_[x, -(x * x).sum(axis=1) / 2, -np.ones(len(x))].astype(np.float32)
+    right = np.c_[y, np.ones(len(y)), (y * y).sum(axis=1) / 2].astype(np.float32)
+    return left @ right.T >= np.float32(-radius * radius / 2 - 1e-5)
+
+
+def linked(tables: DataFrame, dims: int, bounds, turn, radius: float, cosine: float, kind: str) -> DataFrame:
+    """``num, n, root``: links of a row that its table finds, and a linked row it hangs on."""
 
     def run(t: pa.Table) -> pa.Table:
         block = t["block"][0].as_py()
         lo, hi = bounds[block]
         visits = t["visits"].to_numpy()
         own_cell = t["own"].to_numpy()
-        u = unit(matrix(t["v"], dims))
+        u = unit(unpacked(t["v"], kind, dims).astype(np.float64))
         part = (u @ turn)[:, :hi]
-        keys, copies = t["key"].to_numpy(), t["copies"].to_numpy()
+        nums, copies = t["num"].to_numpy(), t["copies"].to_numpy()
         own, vis = np.flatnonzero(~visits), np.flatnonzero(visits)
-        n = np.zeros(len(keys), np.int64)
+        n = np.zeros(len(nums), np.int64)
         pairs = []
         for at in range(0, len(own), 512):
             o = own[at:at + 512]
-            near = square_distances(part[o][:, lo:hi], part[vis][:, lo:hi]) <= radius * radius
-            # own rows of a cell meet twice as visitors: the smaller key goes first
-            near &= ~own_cell[vis] | (keys[o][:, None] < keys[vis])
-            r, c = np.nonzero(near)
+            r, c = np.nonzero(within(part[o][:, lo:hi], part[vis][:, lo:hi], radius))
             for a in range(0, len(r), 1 << 18):
                 x, y = o[r[a:a + (1 << 18)]], vis[c[a:a + (1 << 18)]]
-                fresh = np.ones(len(x), bool)
-                for p, q in bounds[:block]:
-                    fresh &= ((part[x, p:q] - part[y, p:q]) ** 2).sum(axis=1) > radius * radius
+                # own rows of a cell meet twice as visitors: the smaller number goes first
+                fresh = ~own_cell[y] | (nums[x] < nums[y])
                 x, y = x[fresh], y[fresh]
+                for k, (p, q) in enumerate(bounds[:block + 1]):  # in this block, and in none before it
+                    near = ((part[x, p:q] - part[y, p:q]) ** 2).sum(axis=1) <= radius * radius
+                    fresh = near if k == block else ~near
+                    x, y = x[fresh], y[fresh]
                 ok = (u[x] * u[y]).sum(axis=1) >= cosine
                 x, y = x[ok], y[ok]
                 np.add.at(n, x, copies[y])
@@ -185,8 +203,8 @@ def linked(tables: DataFrame, dims: int, bounds, turn, radius: float, cosine: fl
         if not pairs or not sum(p.shape[1] for p in pairs):
             return _EMPTY
         x, y = np.concatenate(pairs, axis=1)
-        # a row is in the table as own and as visitor: both stand for its key
-        names, same = np.unique(keys.astype(str), return_inverse=True)
+        # a row is in the table as own and as visitor: both stand for its number
+        names, same = np.unique(nums, return_inverse=True)
         root = np.arange(len(names))
         x, y = same[x], same[y]
         while True:
@@ -200,43 +218,40 @@ def linked(tables: DataFrame, dims: int, bounds, turn, radius: float, cosine: fl
         total = np.zeros(len(names), np.int64)
         np.add.at(total, same, n)
         some = np.flatnonzero(total > 0)
-        return pa.table({"key": pa.array(names[some].tolist(), pa.string()), "n": pa.array(total[some]), "root": pa.array(names[root[some]].tolist(), pa.string())})
+        return pa.table({"num": names[some], "n": total[some], "root": names[root[some]]})
 
-    return tables.groupBy("block", "cell", "i", "j").applyInArrow(run, "key string, n bigint, root string")
+    return tables.groupBy("block", "cell", "i", "j").applyInArrow(run, "num bigint, n bigint, root bigint")
 
 
-_EMPTY = pa.table({"key": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.string())})
+_EMPTY = pa.table({c: pa.array([], pa.int64()) for c in ("num", "n", "root")})
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of ``vectors(vec_id bigint, embedding)``."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     every = cut(classes(vectors))
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     found = None
     for dims, n in every.groupBy("dims").count().orderBy("dims").collect():  # a row for each length
         cls = every.where(F.col("dims") == dims)
         turn, bounds = rotation(dims), block_bounds(dims, blocks)
         radius = float(np.sqrt((2 - 2 * cosine) / len(bounds) + SLACK / len(bounds)))
         centers = fitted_centers(cls, dims, n, bounds, turn)
-        rows = dealt(cls, dims, bounds, turn, centers, radius)
-        links = linked(parted(rows), dims, bounds, turn, radius, cosine)
+        rows = dealt(cls, dims, bounds, turn, centers, radius, kind)
+        links = linked(parted(rows), dims, bounds, turn, radius, cosine, kind)
         found = links if found is None else found.unionByName(links)
     if found is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                               F.col("vec_id").isNotNull().alias("kept"))
     found = cut(found)
-    rep = every.select("key", "rep")
-    edges = found.select("key", "root").where("key <> root").distinct()
-    # components of classes by a number of their own: the hash of the key
-    num = lambda c: F.xxhash64(c)
-    joined = connected_components(edges.select(num("key").alias("a"), num("root").alias("b")))
-    members = rep.join(joined, num("key") == joined["id"], "left").withColumn("component", F.coalesce("component", num("key")))
+    edges = found.select(F.col("num").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+    joined = connected_components(edges)
+    members = every.select("num", "rep").join(joined, F.col("num") == F.col("id"), "left").withColumn("component", F.coalesce("component", "num"))
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
-    sums = found.groupBy("key").agg(F.sum("n").alias("n"))
-    info = every.select("key", "copies").join(sums, "key", "left").join(members.select("key", "component"), "key").join(least, "component").select(
+    sums = found.groupBy("num").agg(F.sum("n").alias("n"))
+    info = every.select("num", "key", "copies").join(sums, "num", "left").join(members.select("num", "component"), "num").join(least, "component").select(
         "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-    key = F.sha2(F.concat_ws(",", F.transform(v, lambda x: x.cast("string"))), 256)
+    key = _key(F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))
     out = vectors.select("vec_id", key.alias("key")).join(info, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
