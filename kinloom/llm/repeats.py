@@ -9,7 +9,9 @@ chunks once; three passes over the chunks exchange only digests with buckets:
    document holds.
 2. Stretches of text with such anchors are cut where the least hash of their
    inner strings changes, and each part goes to the bucket of that hash, once
-   for a chunk. Equal strings meet in one bucket.
+   for a chunk. Equal strings meet in one bucket. Strings whose anchor more than ``HOT_CHUNKS`` chunks
+   hold make parts of their own: these meet in slices of the chunks first, where of equal parts only those of
+   the least document go on, so a bucket gets a passage that all chunks hold once for a slice.
 3. A bucket sorts the suffixes of its distinct parts and derives their common
    prefixes from the Burrows-Wheeler transform: breadth-first backward
    extension splits the intervals of strings of one byte, two bytes and so on
@@ -24,6 +26,7 @@ other; rows without an id come after all others; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from .common import bound_batches, release
 LENGTH = 50
 #: Bytes of text in a chunk, and for each bucket of anchors and of parts.
 CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 4 << 20, 8 << 20, 2 << 20
+#: Chunks that may hold an anchor before its parts are combined in slices.
+HOT_CHUNKS = 32
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
@@ -188,7 +193,7 @@ def _texts(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     return bytehash.slices(t["text"].combine_chunks().cast(pa.large_string()))
 
 
-def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_buckets: int) -> DataFrame:
+def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_buckets: int, slices: int) -> DataFrame:
     """``chunk, ids, starts, ends``: byte ranges to remove, packed, of ``docs(doc_id, text, __chunk)``.
 
     Other columns of ``docs`` ride along, so that all passes share one exchange.
@@ -230,8 +235,10 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
         o = np.argsort(v >> np.uint32(1), kind="stable")
         c = cuts((v >> np.uint32(1))[o])
         shared = (np.diff(c) > 1) | (np.maximum.reduceat(v[o] & np.uint32(1), c[:-1]) > 0)
+        hot = np.zeros(len(v), np.uint32)
+        hot[o] = np.repeat(np.diff(c) > HOT_CHUNKS, np.diff(c))
         take = np.sort(o[np.repeat(shared, np.diff(c))])
-        v, k = v[take] >> np.uint32(1), k[take]
+        v, k = v[take] & ~np.uint32(1) | hot[take], k[take]
         c = cuts(k)
         bucket = t["bucket"][0].as_py()
         return pa.table({"chunk": pa.array(chunk[k[c[:-1]]] if len(k) else np.zeros(0, np.int64)),
@@ -240,16 +247,17 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
 
     def cut_parts(t: pa.Table, hits: pa.Table) -> pa.Table:
         release()
-        out = {c: [] for c in ("bucket", "chunk", "ids", "starts", "sizes", "data", "given")}
+        out = {c: [] for c in ("bucket", "slice", "chunk", "ids", "starts", "sizes", "data", "given")}
         if len(t) and len(hits):
             ids, k = _ids(t["doc_id"]), t["__chunk"][0].as_py()
-            known = np.sort(np.concatenate([np.frombuffer(p.as_py(), np.uint32).astype(np.int64) | b << 31 for b, p in zip(hits["bucket"].to_numpy(), hits["packed"])]))
+            # bucket, 31 bits, whether hot
+            known = np.sort(np.concatenate([np.frombuffer(p.as_py(), np.uint32).astype(np.int64) | b << 32 for b, p in zip(hits["bucket"].to_numpy(), hits["packed"])]))
             found = [_parts_of(ids[at:at + len(bounds) - 1], data, bounds, known) for at, data, bounds in _texts(t)]
-            doc, start, size, least, digest = (np.concatenate(x) for x in list(zip(*found))[:5])
-            blobs = [f[5] for f in found]
+            doc, start, size, least, digest, hot = (np.concatenate(x) for x in list(zip(*found))[:6])
+            blobs = [f[6] for f in found]
             if len(doc):
                 base = np.cumsum([0] + [len(x) for x in blobs])
-                place = np.concatenate([f[6] + b for f, b in zip(found, base)])
+                place = np.concatenate([f[7] + b for f, b in zip(found, base)])
                 text = np.concatenate(blobs)
                 # of equal parts in this chunk only those of the least document ask their bucket
                 o = np.lexsort((doc, digest))
@@ -258,29 +266,30 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
                 later = np.zeros(len(doc), bool)
                 later[o] = doc[o] > head
                 given = np.stack([doc[later], start[later], start[later] + size[later]])
-                b = bucket_of(least, part_buckets)[0]
+                b = bucket_of(least, part_buckets)[0] << 1 | hot
                 ask = np.flatnonzero(~later)
                 ask = ask[np.argsort(b[ask], kind="stable")]
                 c = cuts(b[ask])
                 for x, y in zip(c[:-1], c[1:]):
                     own = ask[x:y]
-                    row = (int(b[own[0]]), k, doc[own].tobytes(), start[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes(),
+                    to = int(b[own[0]])
+                    row = (to >> 1, 1 + k % slices if to & 1 else 0, k, doc[own].tobytes(), start[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes(),
                            text[spread(place[own], size[own])].tobytes(), given.tobytes() if x == 0 else b"")
                     for column, v in zip(out.values(), row):
                         column.append(v)
-        return pa.table({c: pa.array(v, pa.int64() if c in ("bucket", "chunk") else pa.binary()) for c, v in out.items()})
+        return pa.table({c: pa.array(v, pa.int64() if c in ("bucket", "slice", "chunk") else pa.binary()) for c, v in out.items()})
 
     def _parts_of(ids, data, bounds, known):
-        """Document, start, size, least inner hash, digest of each part; the stretches' bytes and places there."""
+        """Document, start, size, least inner hash, digest of each part and whether it is hot; the stretches' bytes and places there."""
         first, end, h = anchors(data, bounds, length, inner)
         b, bits = bucket_of(h, anchor_buckets)
-        key = bits.astype(np.int64) | b << 31
+        key = bits.astype(np.int64) << 1 | b << 32
         i = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-        hot = known[i] == key if len(known) else np.zeros(len(key), bool)
-        first, end = first[hot], end[hot]
+        hit = known[i] >> 1 == key >> 1 if len(known) else np.zeros(len(key), bool)
+        first, end, hot = first[hit], end[hit], known[i[hit]] & 1
         of = np.searchsorted(bounds, first, side="right") - 1
         fresh = np.ones(len(first), bool)
-        fresh[1:] = (first[1:] != end[:-1]) | (of[1:] != of[:-1])
+        fresh[1:] = (first[1:] != end[:-1]) | (of[1:] != of[:-1]) | (hot[1:] != hot[:-1])
         head = np.flatnonzero(fresh)
         lo, hi = first[head], (end[np.r_[head[1:] - 1, len(end) - 1]] + length - 1) if len(head) else first[head]
         n = hi - lo
@@ -292,14 +301,13 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
         size = z - a + length - 1
         digest = span_hashes(stretch, a, size)
         return (ids[of[head]][s] if len(head) else np.zeros(0, np.int64), (a - inner_bounds[s] + (lo - bounds[of[head]])[s]) if len(a) else a,
-                size, least, digest, stretch, a)
+                size, least, digest, hot[head][s] if len(head) else np.zeros(0, np.int64), stretch, a)
 
-    def settle(t: pa.Table) -> pa.Table:
-        release()
-        chunk = t["chunk"].to_numpy()
+    def entries(t: pa.Table):
+        """Row, document, start, size and text place of each part of a table, its class of equal parts, and the classes' first ones."""
         doc, start, size = (_joined(t[c], kind) for c, kind in (("ids", np.int64), ("starts", np.int32), ("sizes", np.int32)))
         start, size = start.astype(np.int64), size.astype(np.int64)
-        k = np.repeat(np.arange(len(chunk)), [len(x.as_py()) // 8 for x in t["ids"]])
+        k = np.repeat(np.arange(len(t)), [len(x.as_py()) // 8 for x in t["ids"]])
         data = _joined(t["data"], np.uint8)
         place = np.cumsum(size) - size
         digest = span_hashes(data, place, size)
@@ -308,6 +316,47 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
         lead = o[c[:-1]]
         cls = np.empty(len(o), np.int64)
         cls[o] = np.repeat(np.arange(len(lead)), np.diff(c))
+        return k, doc, start, size, data, place, cls, lead
+
+    def combine(t: pa.Table) -> pa.Table:
+        """Of the equal parts of a slice those of the least document; the others are removed whatever comes."""
+        release()
+        chunk, bucket = t["chunk"].to_numpy(), t["bucket"][0].as_py()
+        k, doc, start, size, data, place, cls, lead = entries(t)
+        gone = doc > doc[lead][cls] if len(doc) else np.zeros(0, bool)
+        rows = []
+        for j in range(len(t)):
+            own = np.flatnonzero((k == j) & ~gone)
+            if len(own):
+                rows.append((bucket, int(chunk[j]), doc[own].tobytes(), start[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes(),
+                             data[spread(place[own], size[own])].tobytes()))
+            rest = np.flatnonzero((k == j) & gone)
+            g = np.frombuffer(t["given"][j].as_py() or b"", np.int64).reshape(3, -1)
+            if len(rest) or g.shape[1]:  # ready: to no bucket
+                rows.append((-1 - int(chunk[j]), int(chunk[j]), np.r_[doc[rest], g[0]].tobytes(), np.r_[start[rest], g[1]].astype(np.int32).tobytes(),
+                             np.r_[(start + size)[rest], g[2]].astype(np.int32).tobytes(), b""))
+        return sent(rows)
+
+    def sent(rows: list) -> pa.Table:
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        return pa.table({c: pa.array(v, pa.int64() if c in ("bucket", "chunk") else pa.binary()) for c, v in zip(("bucket", "chunk", "ids", "starts", "sizes", "data"), columns)})
+
+    def first_round(t: pa.Table) -> pa.Table:
+        if t["slice"][0].as_py():
+            return combine(t)
+        done = settle(t)
+        rows = zip(done["chunk"].to_pylist(), *(done[c].to_pylist() for c in ("ids", "starts", "ends")))
+        return sent([(-1 - c, c, *x, b"") for c, *x in rows])
+
+    def second_round(t: pa.Table) -> pa.Table:
+        if t["bucket"][0].as_py() >= 0:
+            return settle(t.append_column("given", pa.array([b""] * len(t), pa.binary())))
+        return t.select(["chunk", "ids", "starts", "sizes"]).rename_columns(["chunk", "ids", "starts", "ends"])
+
+    def settle(t: pa.Table) -> pa.Table:
+        release()
+        chunk = t["chunk"].to_numpy()
+        k, doc, start, size, data, place, cls, lead = entries(t)
         gone = doc > doc[lead][cls]
         # the distinct parts, each with a byte after it that no string spans
         own, n = np.zeros(int(size[lead].sum()) + max(0, len(lead) - 1), np.uint8), size[lead]
@@ -343,8 +392,9 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
     found = docs.groupBy("__chunk").applyInArrow(find, packed)
     shared = found.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket bigint, packed binary")
     parts = docs.groupBy("__chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        cut_parts, "bucket bigint, chunk bigint, ids binary, starts binary, sizes binary, data binary, given binary")
-    return parts.groupBy("bucket").applyInArrow(settle, "chunk bigint, ids binary, starts binary, ends binary")
+        cut_parts, "bucket bigint, slice bigint, chunk bigint, ids binary, starts binary, sizes binary, data binary, given binary")
+    first = parts.groupBy("bucket", "slice").applyInArrow(first_round, "bucket bigint, chunk bigint, ids binary, starts binary, sizes binary, data binary")
+    return first.groupBy("bucket").applyInArrow(second_round, "chunk bigint, ids binary, starts binary, ends binary")
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -371,7 +421,7 @@ def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, anchor_buckets, part_buckets = (max(16, -(-size // x)) for x in (CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES))
     dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
-    plan = plan_removals(dealt, length, anchor_buckets, part_buckets)
+    plan = plan_removals(dealt, length, anchor_buckets, part_buckets, math.isqrt(chunks) + 1)
 
     def finish(t: pa.Table, spans: pa.Table) -> pa.Table:
         release()
