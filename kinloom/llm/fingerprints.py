@@ -5,7 +5,7 @@ paragraph is hashed to a wide vector and the vectors are summed modulo powers of
 two, so the order of paragraphs doesn't matter and a paragraph is inserted or
 deleted by adding or subtracting its vector:
 
-* ``exact``: 16 lanes modulo 2**32 from two SHA-256 digests of the paragraph; equal
+* ``exact``: 8 lanes modulo 2**60 from two SHA-256 digests of the paragraph; equal
   fingerprints mean equal multisets,
 * ``sketch``: 40 numbers modulo 2**60 of three counters each. Every run of four words that follow each
   other in a line (the last ones shorter) adds the 120 bits of its hash, so a word that is inserted or deleted changes
@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES, LANE_BITS = 16, 32
+LANES, LANE_BITS = 8, 60
 #: Counters of 20 bits, three to a number, for two halves of a run's hash.
 FIELD_BITS, FIELDS, HASHES = 20, 3, 2
 #: Hexadecimal digits of a half.
@@ -36,6 +36,8 @@ DIGITS = FIELD_BITS * FIELDS // 4
 RUN = r"(?=([^\s]+(?: [^\s]+){0,3}))[^\s]+"
 #: Runs that are summed as plain numbers, which hold 8 times as many.
 SUMMED = 1 << 20
+#: Odd numbers of 30 bits.
+MIXERS = (0x2545F491, 0x1B873593)
 _SPREAD = sum(1 << (FIELD_BITS * i) for i in range(FIELDS))
 _SKETCH_MASK = (1 << (FIELD_BITS * FIELDS)) - 1
 _LANE_MASK = (1 << LANE_BITS) - 1
@@ -49,20 +51,28 @@ def _sum(values: Column, term, mask: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: (a + term(x)).bitwiseAND(F.lit(mask)))
 
 
-def lanes(text: Column) -> Column:
-    """The exact part: sums over paragraphs, modulo 2**32."""
-    digests = F.transform(F.split(text, "\n", -1), lambda p: F.concat(F.sha2(p, 256), F.sha2(F.concat(F.lit("|"), p), 256)))
-    return F.array(*[_sum(digests, lambda h, k=k: _number(F.substring(h, 1 + 8 * k, 8)), _LANE_MASK) for k in range(LANES)])
+def paragraphs(text: Column) -> Column:
+    """Digests of the paragraphs, 128 hexadecimal digits each."""
+    return F.transform(F.split(text, "\n", -1), lambda p: F.concat(F.sha2(p, 256), F.sha2(F.concat(F.lit("|"), p), 256)))
+
+
+def lanes(digests: Column) -> Column:
+    """The exact part: sums over the digests of paragraphs, which must be a column, as it is read for each lane."""
+    return F.array(*[_sum(digests, lambda h, k=k: _number(F.substring(h, 1 + LANE_BITS // 4 * k, LANE_BITS // 4)), _LANE_MASK) for k in range(LANES)])
 
 
 def runs(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(text, "[ \t]+", " "), F.lit(RUN), F.lit(1))
+    single = F.when(F.contains(text, F.lit("\t")) | F.contains(text, F.lit("  ")), F.regexp_replace(text, "[ \t]+", " ")).otherwise(text)
+    return F.regexp_extract_all(single, F.lit(RUN), F.lit(1))
 
 
 def halves(run: Column) -> list[Column]:
-    """Two numbers of 60 bits."""
-    h = F.md5(run)
-    return [_number(F.substring(h, 1 + DIGITS * j, DIGITS)) for j in range(HASHES)]
+    """Two numbers of 60 bits: the first digits of a digest, and a product of them by odd numbers."""
+    one = _number(F.substring(F.md5(run), 1, DIGITS))
+    bits = FIELD_BITS * FIELDS // 2
+    low, high = one.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright(one, bits)
+    mixed = (low * F.lit(MIXERS[0]) + high * F.lit(MIXERS[1])).bitwiseAND(F.lit(_SKETCH_MASK))
+    return [one, mixed.bitwiseXOR(F.shiftright(mixed, bits - 1))]
 
 
 def _counted(half: Column, k: int) -> Column:
@@ -73,10 +83,10 @@ def _counted(half: Column, k: int) -> Column:
 def with_fingerprint(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Adds ``<prefix>exact``, ``<prefix>sketch`` and ``<prefix>n`` of the column ``text``, row by row."""
     own = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn(f"{prefix}_r", F.transform(runs(own), lambda r: F.array(*halves(r))))
+    df = df.withColumns({f"{prefix}_r": F.transform(runs(own), lambda r: F.array(*halves(r))), f"{prefix}_p": paragraphs(own)})
     counters = [_sum(F.col(f"{prefix}_r"), lambda h, j=j, k=k: _counted(h[j], k), _SKETCH_MASK) for j in range(HASHES) for k in range(FIELD_BITS)]
     return df.withColumns({
-        f"{prefix}exact": lanes(own), f"{prefix}sketch": F.array(*counters), f"{prefix}n": F.size(f"{prefix}_r").cast("long")}).drop(f"{prefix}_r")
+        f"{prefix}exact": lanes(F.col(f"{prefix}_p")), f"{prefix}sketch": F.array(*counters), f"{prefix}n": F.size(f"{prefix}_r").cast("long")}).drop(f"{prefix}_r", f"{prefix}_p")
 
 
 def sketched(df: DataFrame, key: list[str], runs: str) -> DataFrame:
@@ -109,16 +119,24 @@ def as_text(prefix: str) -> Column:
                     F.lower(F.hex(f"{prefix}n")))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Cosine of two multisets of runs, from their fingerprints: 0 to 1."""
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+
+def with_signs(df: DataFrame, *prefixes: str) -> DataFrame:
+    """Adds ``<prefix>signs``, the counters as sums of signs, and ``<prefix>norm``."""
     field = lambda x, i: F.shiftright(x, FIELD_BITS * i).bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
     signs = lambda p: F.flatten(F.transform(
         f"{p}sketch", lambda x: F.array(*[(2 * field(x, i) - F.col(f"{p}n")).cast("double") for i in range(FIELDS)])))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    of = lambda x, y: dot(signs(x), signs(y))
+    df = df.withColumns({f"{p}signs": signs(p) for p in prefixes})
+    return df.withColumns({f"{p}norm": F.sqrt(_dot(F.col(f"{p}signs"), F.col(f"{p}signs"))) for p in prefixes})
+
+
+def likeness(a: str, b: str) -> Column:
+    """Cosine of two multisets of runs, from their fingerprints ``with_signs``: 0 to 1."""
     same = (F.col(f"{a}exact") == F.col(f"{b}exact")) & (F.col(f"{a}sketch") == F.col(f"{b}sketch"))
-    norm = F.sqrt(of(a, a)) * F.sqrt(of(b, b))
-    cosine = F.when(norm > 0, of(a, b) / norm).otherwise(0.0)
+    norm = F.col(f"{a}norm") * F.col(f"{b}norm")
+    cosine = F.coalesce(F.try_divide(_dot(F.col(f"{a}signs"), F.col(f"{b}signs")), norm), F.lit(0.0))
     return F.when(same, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
 
 
@@ -174,15 +192,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.explode(F.filter(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))),
                            lambda x: x["text"].isNotNull())).alias("x"))
     key = ["range", "nth", "which", "own", "doc_id", "n_chars", "edited_sha256", "exact"]
-    both = both.select(*key[:2], "x.which", *key[3:-1], lanes(F.col("x.text")).alias("exact"), runs(F.col("x.text")).alias("runs"))
-    sums = sketched(both, key, "runs")
+    both = both.select(*key[:2], "x.which", *key[3:-1], paragraphs(F.col("x.text")).alias("digests"), runs(F.col("x.text")).alias("runs"))
+    sums = sketched(both.select(*key[:-1], lanes(F.col("digests")).alias("exact"), "runs"), key, "runs")
     # a document, its edited text, the next document
     order = Window.partitionBy("range").orderBy("nth", "which")
     own = F.struct("exact", "sketch", "n")
     out = sums.select("*", F.lead(own).over(order).alias("e"), F.lead(own, 2).over(order).alias("b")).where("own AND which = 0")
     out = out.select("doc_id", "n_chars", "edited_sha256", *(F.col(c).alias(f"a{c}") for c in ("exact", "sketch", "n")),
                      *(F.col(f"{x}.{c}").alias(f"{x}{c}") for x in "eb" for c in ("exact", "sketch", "n")))
-    return out.select(
+    return with_signs(out, "a", "e", "b").select(
         "doc_id", "n_chars", "edited_sha256", as_text("a").alias("fingerprint"), as_text("e").alias("edited_fingerprint"),
         likeness("a", "e").alias("near_edited"), likeness("a", "b").alias("near_next"))
 
@@ -203,14 +221,17 @@ x AS (SELECT doc_id, a, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first_valu
 d AS (SELECT *, substring(a, 1, length(a) - length(a) // 2) || substring(b, 1, length(a) // 2) AS e FROM x),
 every AS (SELECT doc_id, 0 AS which, a AS text FROM d UNION ALL SELECT doc_id, 1, e FROM d),
 lane AS (
-  SELECT doc_id, which, string_agg(printf('%08x', (v % 4294967296)::BIGINT), '' ORDER BY k) AS lanes FROM (
-    SELECT doc_id, which, k, sum(('0x' || substr(h, 1 + 8 * k, 8))::BIGINT) AS v
+  SELECT doc_id, which, string_agg(printf('%015x', (v % 1152921504606846976)::BIGINT), '' ORDER BY k) AS lanes FROM (
+    SELECT doc_id, which, k, sum(('0x' || substr(h, 1 + 15 * k, 15))::BIGINT) AS v
     FROM (SELECT doc_id, which, sha256(p) || sha256('|' || p) AS h FROM (SELECT doc_id, which, unnest(string_split(text, chr(10))) AS p FROM every)),
-      (SELECT unnest(range(16)) AS k) GROUP BY ALL) GROUP BY ALL),
+      (SELECT unnest(range(8)) AS k) GROUP BY ALL) GROUP BY ALL),
 line AS (SELECT doc_id, which, regexp_extract_all(unnest(regexp_split_to_array(text, '[
-]')), '[^ 	]+') AS w FROM every),
+
+]')), '[^ 	]+') AS w FROM every),
 run AS (SELECT doc_id, which, md5(unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) AS h FROM line),
-half AS (SELECT doc_id, which, ('0x' || substr(h, 1, 15))::BIGINT AS h0, ('0x' || substr(h, 16, 15))::BIGINT AS h1 FROM run),
+one AS (SELECT doc_id, which, ('0x' || substr(h, 1, 15))::BIGINT AS h0 FROM run),
+mixed AS (SELECT doc_id, which, h0, ((h0 & 1073741823) * MIXER_0 + (h0 >> 30) * MIXER_1) & 1152921504606846975 AS m FROM one),
+half AS (SELECT doc_id, which, h0, xor(m, m >> 29) AS h1 FROM mixed),
 counts AS (SELECT doc_id, which, count(*) AS n, COUNTERS FROM half GROUP BY ALL),
 f AS (SELECT doc_id, which, lanes, coalesce(n, 0) AS n, FIELDS FROM every JOIN lane USING (doc_id, which) LEFT JOIN counts USING (doc_id, which)),
 s AS (SELECT doc_id, which, lanes || list_aggregate(list_transform(c, lambda v: lpad(printf('%x', v), 15, '0')), 'string_agg', '') || printf('%x', n) AS text,
@@ -232,4 +253,4 @@ def oracle() -> str:
         norm = f"sqrt(list_inner_product(sa, sa)) * sqrt(list_inner_product(s{x}, s{x}))"
         return f"CASE WHEN ta = t{x} THEN 1.0 WHEN {norm} > 0 THEN least(1.0, greatest(0.0, list_inner_product(sa, s{x}) / ({norm}))) ELSE 0.0 END"
 
-    return ORACLE.replace("COUNTERS", counters).replace("FIELDS", fields).replace("NEAR_E", near("e")).replace("NEAR_B", near("b"))
+    return ORACLE.replace("MIXER_0", str(MIXERS[0])).replace("MIXER_1", str(MIXERS[1])).replace("COUNTERS", counters).replace("FIELDS", fields).replace("NEAR_E", near("e")).replace("NEAR_B", near("b"))

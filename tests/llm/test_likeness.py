@@ -36,6 +36,7 @@ def test_likeness_is_near_the_cosine(spark):
     df = spark.createDataFrame(rows, "k int, a string, b string")
     for c in "ab":
         df = fingerprints.with_fingerprint(df, c, c)
+    df = fingerprints.with_signs(df, "a", "b")
     got = {r.k: r.v for r in df.select("k", fingerprints.likeness("a", "b").alias("v")).collect()}
     off = [got[k] - cosine(a, b) for k, a, b in rows]
     assert np.sqrt(np.mean(np.square(off))) < 0.12 and max(map(abs, off)) < 0.4
