@@ -325,12 +325,17 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
         k, doc, start, size, data, place, cls, lead = entries(t)
         gone = doc > doc[lead][cls] if len(doc) else np.zeros(0, bool)
         rows = []
+        stay, go = np.flatnonzero(~gone), np.flatnonzero(gone)  # both in the order of rows
+        text = data[spread(place[stay], size[stay])]
+        at, to = (np.searchsorted(k[x], np.arange(len(t) + 1)) for x in (stay, go))
+        byte = np.r_[0, np.cumsum(size[stay])]
         for j in range(len(t)):
-            own = np.flatnonzero((k == j) & ~gone)
-            if len(own):
+            x, y = at[j], at[j + 1]
+            if y > x:
+                own = stay[x:y]
                 rows.append((bucket, int(chunk[j]), doc[own].tobytes(), start[own].astype(np.int32).tobytes(), size[own].astype(np.int32).tobytes(),
-                             data[spread(place[own], size[own])].tobytes()))
-            rest = np.flatnonzero((k == j) & gone)
+                             text[byte[x]:byte[y]].tobytes()))
+            rest = go[to[j]:to[j + 1]]
             g = np.frombuffer(t["given"][j].as_py() or b"", np.int64).reshape(3, -1)
             if len(rest) or g.shape[1]:  # ready: to no bucket
                 rows.append((-1 - int(chunk[j]), int(chunk[j]), np.r_[doc[rest], g[0]].tobytes(), np.r_[start[rest], g[1]].astype(np.int32).tobytes(),
