@@ -41,7 +41,7 @@ LENGTH = 50
 #: Bytes of text in a chunk, and for each bucket of anchors and of parts.
 CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 4 << 20, 8 << 20, 2 << 20
 #: Chunks that may hold an anchor before its parts are combined in slices.
-HOT_CHUNKS = 32
+HOT_CHUNKS = 128
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
