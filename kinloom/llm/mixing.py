@@ -185,11 +185,14 @@ def mixed_documents(docs: DataFrame, slot: str | None = None, in_order: bool = F
     own = docs.select(F.struct(*docs.columns).alias("__doc"))
     own = own.select("__doc", F.col("__doc.doc_id").alias("__key"), word_count(F.col("__doc.text")).alias("__words"), F.xxhash64("__doc.text").alias("__hash"),
                      F.coalesce(F.concat(F.lit("s"), F.col("__doc.source")), F.lit("n")).alias("__of"))
-    # rows with one id, source and size: the n-th of them takes the n-th share
-    one = Window.partitionBy("__key", "__words", "__of").orderBy("__hash")
-    same = Window.partitionBy("__id", "__size", "__src").orderBy("__taken", "__start")
-    taken, own = taken.withColumn("__nth", F.row_number().over(same)), own.withColumn("__place", F.row_number().over(one))
-    joined = own.join(taken, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__of") == F.col("__src")) & (F.col("__place") == F.col("__nth")))
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__of") == F.col("__src"))
+    if not taken.groupBy("__id", "__size", "__src").count().where("count > 1").isEmpty():
+        # rows with one id, source and size: the n-th of them takes the n-th share. Ids that don't repeat spare the texts this window's shuffle
+        place = F.row_number().over(Window.partitionBy("__key", "__words", "__of").orderBy("__hash"))
+        nth = F.row_number().over(Window.partitionBy("__id", "__size", "__src").orderBy("__taken", "__start"))
+        own, taken = own.withColumn("__place", place), taken.withColumn("__nth", nth)
+        same = same & (F.col("__place") == F.col("__nth"))
+    joined = own.join(taken, same)
     some = F.expr("cast(__taken % __size as int)")
     rounds = F.sequence(F.lit(0).cast("long"), F.expr("(__taken + __size - 1) div __size - 1"))
     each = joined.select("*", F.explode(rounds).alias("__epoch"))
