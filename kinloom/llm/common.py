@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +120,24 @@ def release() -> None:
         trim(0)
 
 
+def tree_fold(df: DataFrame, fold: Callable[[Iterable], Any], merge: Callable[[Any, Any], Any]) -> Any:
+    """What ``fold`` makes of the Arrow batches of each task, merged by a tree of tasks; None without tasks.
+
+    The rows stay where they are read: only the folded values, which must not
+    grow with a task's rows, move. ``merge`` takes two of them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fold(batches))], pa.binary())], names=["value"])
+
+    def both(a, b):
+        return b if a is None else a if b is None else merge(a, b)
+
+    return df.mapInArrow(run, "value binary").rdd.map(lambda r: pickle.loads(r[0])).treeAggregate(None, both, both, depth=3)
+
+
 def two_level_offsets(df: DataFrame, key: list[str], part: str, size: Column | None) -> DataFrame:
     """Rows (or words) of the parts before each part of a key: ``key, part, base``.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, fingerprints, html, language, mixing, neardup, packing, quality, repeats
+from . import chat, clustering, embeddings, fingerprints, html, language, mixing, neardup, packing, pieces, quality, repeats, whitening
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_repeats": op9_repeats,
         "op10_packing": op10_packing,
+        "op11_clustering": op11_clustering,
+        "op12_whitening": op12_whitening,
+        "op13_pieces": op13_pieces,
     }
 
 
@@ -77,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_embeddings": embeddings.ORACLE,
         "op5_mixing": mixing.ORACLE,
         "op9_repeats": repeats.ORACLE,
+        "op11_clustering": clustering.oracle(),
     }
