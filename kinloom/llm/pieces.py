@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ from .tokens import default_path
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Ids of words that a worker remembers, about.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Characters that are encoded at once, about; a longer text is encoded whole.
+CHUNK = 1 << 19
 NEVER = np.int32(2**31 - 1)
 
 
@@ -74,7 +77,7 @@ class Vocabulary:
         self.of_char = np.full(0x110000, self.size + len(chars), np.int32)
         for c, i in self.number.items():
             self.of_char[ord(c)] = i
-        seams = {ord(a) << 32 | ord(b) for t in texts for a, b in zip(t, t[1:])}
+        seams = {-1} | {ord(a) << 32 | ord(b) for t in texts for a, b in zip(t, t[1:])}
         self.beside = np.array(sorted(seams), np.int64)
         # a word starts with its white space if no piece goes on with white space after another character
         inside = any(a != SPACE and b == SPACE for t in texts for a, b in zip(t, t[1:]))
@@ -82,7 +85,7 @@ class Vocabulary:
 
     def _merges(self, texts: dict[str, int], scores: dict[int, float]) -> None:
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
-        found = {}
+        found = {-1: (NEVER, 0)}  # there is always a key
         for t, i in texts.items():
             for k in range(1, len(t)):
                 pair = [self.number[p] if len(p) == 1 else texts.get(p) for p in (t[:k], t[k:])]
@@ -280,6 +283,21 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     return out
 
 
+def chunks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of a column in runs of about ``CHUNK`` characters, and where each run starts."""
+    own, size, start = [], 0, 0
+    for i, text in enumerate(column):
+        own.append(text.as_py())
+        size += len(own[-1] or "")
+        if size >= CHUNK or i + 1 == len(column):
+            yield start, own
+            own, size, start = [], 0, i + 1
+
+
+def listed(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
     """``docs`` with an array of ids in place of the column ``text`` (and of a column named ``ids``)."""
     bound_batches(docs.sparkSession)
@@ -289,9 +307,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     def run(batches):
         own = Encoder(path or default_path("piece_bpe_32k.model"))
         for b in batches:
-            flat, counts = own.encode(b.column(len(others)).to_pylist())
-            offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=[*others, ids])
+            for start, texts in chunks(b.column(len(others))):
+                rest = [c.slice(start, len(texts)) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*rest, listed(*own.encode(texts))], names=[*others, ids])
         release()
 
     return rows.mapInArrow(run, docs.select(*others).schema.add(ids, T.ArrayType(T.IntegerType())))
@@ -316,7 +334,21 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | No
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``docs(doc_id, text)``."""
-    both = decode(encode(docs.select("doc_id", "text"), path=path), path=path)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``docs(doc_id, text)``.
+
+    Encodes and decodes in one pass, with one Python worker for a task."""
+    bound_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+
+    def run(batches):
+        own = Encoder(path or default_path("piece_bpe_32k.model"))
+        for b in batches:
+            for start, texts in chunks(b.column(1)):
+                flat, counts = own.encode(texts)
+                back = pa.array(decode_ids(own.v, flat, counts), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), listed(flat, counts), back], names=["doc_id", "ids", "text"])
+        release()
+
+    both = docs.mapInArrow(run, docs.select("doc_id").schema.add("ids", T.ArrayType(T.IntegerType())).add("text", "string"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
