@@ -46,7 +46,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> detect.Found:
     panel = vcf.read_vcf(spark, o.panel)
     s = None if o.no_psmoother else Smoothing(o.ps_length, o.ps_width, o.ps_gap, o.ps_rho)
     p = Detection(o.min_seed, o.max_gap, o.min_extend, o.min_markers, o.min_mac, o.min_output)
-    found = detect.detect(panel.haplotypes, panel.sites, maps.read_map(spark, o.map), p, s)
+    found = detect.detect_panel(panel, maps.read_map(spark, o.map), p, s)
     found.segments = written(found.segments)
     segments.write_tsv(segments.indexed_rows(found.segments), o.segments)
     if o.filter != "none":

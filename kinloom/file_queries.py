@@ -40,6 +40,29 @@ def vcf_scan(spark, d):
         return written(_with_places(vcf.read_vcf(spark, f"{at}/panel.vcf")))
 
 
+def vcf_blocks(spark, d):
+    """A block-gzipped panel, read by ranges of its blocks."""
+    with shared_folder(spark) as at:
+        vcf.write_vcf(_panel(spark, d, q.error_panel(spark, d)), f"{at}/panel.vcf.gz", blocks=True)
+        return written(_with_places(vcf.read_vcf(spark, f"{at}/panel.vcf.gz")))
+
+
+def vcf_packed_counts(spark, d):
+    """Allele counts of a panel that was read, by counting the bits of its packed alleles."""
+    with shared_folder(spark) as at:
+        vcf.write_vcf(_panel(spark, d, q.error_panel(spark, d)), f"{at}/panel.vcf")
+        read = vcf.read_vcf(spark, f"{at}/panel.vcf")
+        return written(panel.packed_counts(read.words, read.n_haps))
+
+
+def vcf_turned(spark, d):
+    """A panel that was read, turned round block by block: 60 sites of a haplotype to a number."""
+    with shared_folder(spark) as at:
+        vcf.write_vcf(_panel(spark, d, q.error_panel(spark, d)), f"{at}/panel.vcf")
+        read = vcf.read_vcf(spark, f"{at}/panel.vcf")
+        return written(panel.haplotype_words(read.words, read.n_haps).select("chrom", "hap_id", "block", "bits"))
+
+
 def vcf_scan_mac(spark, d):
     with shared_folder(spark) as at:
         vcf.write_vcf(_panel(spark, d, q.error_panel(spark, d), multi=True), f"{at}/panel.vcf")
@@ -226,7 +249,8 @@ def smooth_again(spark, d):
 def seeds_closeout(spark, d):
     """Seeds that only the relaxed close-out keeps: runs up to the last site with just enough markers."""
     p = replace(q.P, min_seed=0.3, min_markers=30)
-    run, at = written(q._runs(spark, d)), written(q.placed(spark, d))
+    at = written(q.placed(spark, d))
+    run = written(q._long_runs(spark, d, at, p.min_markers, p.min_markers, p.min_seed))
     return seeds.seeds(run, at, replace(p, closeout_strict=False)).exceptAll(seeds.seeds(run, at, p))
 
 
@@ -252,11 +276,9 @@ def grown_panel(spark, d) -> DataFrame:
     return h.select("chrom", "site_id", "hap_id", F.when(hit, 1 - allele).otherwise(allele).cast("int").alias("allele"))
 
 
-def _grown_runs(spark, d):
-    h, at = written(grown_panel(spark, d)), written(grown_placed(spark, d))
-    pairs = written(seeds.seed_candidates(h, q.P.min_markers))
-    mm = seeds.mismatches(h, pairs)
-    return at, mm, seeds.runs(mm, pairs, at)
+def _grown_runs(spark, d, least: int, min_cm: float = 0.0):
+    words, at = written(seeds.packed(grown_panel(spark, d))), written(grown_placed(spark, d))
+    return at, seeds.long_runs(words, written(seeds.least_pairs(words, at, q.P.min_markers, min_cm)), at, least)
 
 
 def grown_placed(spark, d):
@@ -267,20 +289,27 @@ def grown_candidates(spark, d):
     return seeds.seed_candidates(grown_panel(spark, d), q.P.min_markers)
 
 
+def grown_pairs(spark, d):
+    """Pairs that a seed's length of agreement makes candidates, reduced to those with a seed."""
+    at, run = _grown_runs(spark, d, q.P.min_markers, q.P.min_seed)
+    return seeds.seeds(run, at, q.P).groupBy("chrom", "h1", "h2").agg(F.count("*").alias("n_seeds"))
+
+
 def grown_runs(spark, d):
-    return _grown_runs(spark, d)[2].where(F.col("e") - F.col("s") + 1 >= q.P.min_markers)
+    return _grown_runs(spark, d, q.P.min_markers)[1]
 
 
 def grown_segments(spark, d):
-    at, mm, run = _grown_runs(spark, d)
-    run = written(extend.long_runs(run, q.P))
-    s = extend.segments(seeds.seeds(run, at, q.P), mm, at, q.P, run)
+    at, run = _grown_runs(spark, d, extend.least_run(q.P), q.P.min_seed)
+    run = written(run)
+    s = extend.segments(seeds.seeds(run, at, q.P), None, at, q.P, run)
     return s.select("chrom", "h1", "h2", "start_idx", "end_idx", "start_bp", "end_bp", *q.r6("length_cm"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
-        vcf_scan, vcf_scan_mac, vcf_smoothed, map_plink, segments_binary, segments_indexed, segments_text, segments_union, dataset_file,
+        vcf_scan, vcf_blocks, vcf_packed_counts, vcf_turned, vcf_scan_mac, vcf_smoothed, map_plink, segments_binary, segments_indexed, segments_text, segments_union, dataset_file,
         dataset_segments, error_log, truth_cutoff, network_file, trees_file, both_predictions, features_scaled_all, program_filtered,
-        run_statistics, corrections_by_site, corrections_by_haplotype, smooth_again, seeds_closeout, grown_candidates, grown_runs, grown_segments)
+        run_statistics, corrections_by_site, corrections_by_haplotype, smooth_again, seeds_closeout, grown_candidates,
+        grown_pairs, grown_runs, grown_segments)
     return {f.__name__: f for f in plain}

@@ -1,18 +1,20 @@
 """Comparison of reported segments with true ones, and of panels with each other.
 
-Segments are ``id1, id2, start, end``; a row stands for itself, so repeated rows count each.
+Segments are ``id1, id2, start, end``, and ``chrom`` where both sides have it; a row stands for itself, so repeated rows count each.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
+from .gmap import site_at
 from .seeds import merged
 
 PAIR = ["id1", "id2"]
+#: Base pairs of a bucket in which intervals meet.
+REACH = 1 << 20
 
 
 def coverage(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
@@ -20,12 +22,23 @@ def coverage(start: Column, end: Column, other_start: Column, other_end: Column)
     return F.try_divide(F.greatest(F.lit(0.0), F.least(end, other_end) - F.greatest(start, other_start)), end - start)
 
 
+def _key(*rows: DataFrame) -> list[str]:
+    """What overlapping intervals share: the pair, and the chromosome where all have one."""
+    return PAIR + (["chrom"] if all("chrom" in r.columns for r in rows) else [])
+
+
 def _overlaps(query: DataFrame, other: DataFrame, how) -> DataFrame:
-    """Adds ``cov``: an aggregate of the coverage of each query row by the other rows of its pair."""
-    o = other.select(*PAIR, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    q = query.groupBy(*query.columns).agg(F.count("*").alias("_copies"))
-    c = coverage(F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))
-    found = q.join(o, PAIR, "left").groupBy(*query.columns, "_copies").agg(F.coalesce(how(c), F.when(F.col("end") > F.col("start"), 0.0)).alias("cov"))
+    """Adds ``cov``: an aggregate of the coverage of each query row by the other rows of its pair.
+
+    Intervals meet in buckets of ``REACH`` base pairs, so the many of one pair are not all compared; two that share several
+    buckets count in the first of them."""
+    key = _key(query, other)
+    first = lambda c: F.floor(F.col(c) / REACH)
+    buckets = lambda a, b: F.explode_outer(F.sequence(first(a), F.greatest(first(a), first(b)))).alias("_bucket")
+    o = other.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e")).select("*", buckets("_s", "_e"))
+    q = query.groupBy(*query.columns).agg(F.count("*").alias("_copies")).select("*", buckets("start", "end"))
+    c = F.when(F.col("_s").isNotNull() & (F.col("_bucket") == F.greatest(first("start"), first("_s"))), coverage(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")))
+    found = q.join(o, [*key, "_bucket"], "left").groupBy(*query.columns, "_copies").agg(F.coalesce(how(c), F.when(F.col("end") > F.col("start"), 0.0)).alias("cov"))
     return found.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
 
 
@@ -49,7 +62,8 @@ def power(truth: DataFrame, reported: DataFrame) -> DataFrame:
 
 def accumulative_power(truth: DataFrame, reported: DataFrame) -> DataFrame:
     """Power with reported segments that touch merged first."""
-    whole = merged(reported.select(*PAIR, "start", "end"), PAIR, "start", "end", touch=0)
+    key = _key(truth, reported)
+    whole = merged(reported.select(*key, "start", "end"), key, "start", "end", touch=0)
     return power(truth, whole).select(F.col("power").alias("accumulative_power"))
 
 
@@ -84,19 +98,23 @@ def correction_confusion(original: DataFrame, with_error: DataFrame, smooth: Dat
 
 def thinned_trees(trees: DataFrame, apart: int = 5000) -> DataFrame:
     """``chrom, tree_left`` of the trees that are used: the first one, then each that lies far enough
-    from the last one used (from 0 at first). One search for each tree used, over the distinct places of a chromosome."""
-
-    def walk(t: pa.Table) -> pa.Table:
-        x = np.unique(t["tree_left"].to_numpy())
-        used, at, k = [x[0]], 0, 1
-        while (k := max(k, int(np.searchsorted(x, at + apart)))) < len(x):
-            at = x[k]
-            used.append(at)
-            k += 1
-        return pa.table({"chrom": pa.array([t["chrom"][0].as_py()] * len(used), pa.string()), "tree_left": pa.array(np.array(used, np.int64))})
-
-    places = trees.select("chrom", F.col("tree_left").cast("long").alias("tree_left")).distinct()
-    return places.groupBy("chrom").applyInArrow(walk, "chrom string, tree_left bigint")
+    from the last one used (from 0 at first).
+
+    Which tree follows a used one only depends on its place, so the used ones are those that can be reached from the first:
+    each round follows all jumps known so far and doubles them, and the rounds grow with the logarithm of the trees used."""
+    places = written(trees.select("chrom", F.col("tree_left").cast("long").alias("bp")).distinct())
+    sites = places.select("chrom", F.col("bp").alias("site_id"), "bp")
+    first = places.groupBy("chrom").agg(F.min("bp").alias("first"))
+    follows = lambda rows: site_at(rows, sites).where("site_id >= bp").drop("bp")  # beyond the last place there is none
+    reached = written(follows(first.select("chrom", F.greatest(F.col("first") + 1, F.lit(apart)).alias("bp"))).select("chrom", F.col("site_id").alias("at")))
+    jump = written(follows(places.select("chrom", F.col("bp").alias("at"), (F.col("bp") + max(apart, 1)).alias("bp"))).withColumnRenamed("site_id", "to"))
+    n, before = reached.count(), -1
+    while n > before:
+        more = reached.join(jump, ["chrom", "at"]).select("chrom", F.col("to").alias("at"))
+        reached = written(reached.unionByName(more).distinct())
+        n, before = reached.count(), n
+        jump = written(jump.join(jump.select("chrom", F.col("at").alias("to"), F.col("to").alias("_to")), ["chrom", "to"]).select("chrom", "at", F.col("_to").alias("to")))
+    return first.select("chrom", F.col("first").alias("tree_left")).unionByName(reached.select("chrom", F.col("at").alias("tree_left")))
 
 
 def mrca_segments(trees: DataFrame, ends: DataFrame, apart: int = 5000) -> DataFrame:

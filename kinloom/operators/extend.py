@@ -18,10 +18,13 @@ from ..params import Detection
 
 def located(mm: DataFrame, sites: DataFrame) -> DataFrame:
     """Mismatches with ``bp`` and the genetic positions of the sites before and after."""
-    along = Window.partitionBy("chrom").orderBy("site_id")
-    s = sites.select(
-        "chrom", "site_id", "bp", F.lag("cm").over(along).alias("cm_before"), F.lead("cm").over(along).alias("cm_after"))
-    return mm.join(s, ["chrom", "site_id"])
+    s = _beside(_beside(sites.select("chrom", "site_id", "bp", "cm"), sites, "cm", -1, "cm_before"), sites, "cm", 1, "cm_after")
+    return mm.join(s.drop("cm"), ["chrom", "site_id"])
+
+
+def _beside(rows: DataFrame, sites: DataFrame, what: str, step: int, name: str) -> DataFrame:
+    """Adds a column of the site before (-1) or after (1); site ids are dense, so this is an equi-join."""
+    return rows.join(sites.select("chrom", (F.col("site_id") - step).alias("site_id"), F.col(what).alias(name)), ["chrom", "site_id"], "left")
 
 
 def _ends(sites: DataFrame) -> DataFrame:
@@ -71,15 +74,19 @@ def steps(mm: DataFrame, sites: DataFrame, p: Detection) -> tuple[DataFrame, Dat
     return both.where("forward").drop("forward"), both.where("NOT forward").drop("forward")
 
 
+def least_run(p: Detection) -> int:
+    """Sites of the runs that may be seeds, or ends of a step (one marker less at a mismatch in the first or last site)."""
+    return min(p.extend_markers, p.min_markers - 1)
+
+
 def long_runs(run: DataFrame, p: Detection) -> DataFrame:
-    """The runs that may be seeds, or ends of a step (one marker less at a mismatch in the first or last site)."""
-    return run.where(F.col("e") - F.col("s") + 1 >= min(p.extend_markers, p.min_markers - 1))
+    """The runs of at least :func:`least_run` sites."""
+    return run.where(F.col("e") - F.col("s") + 1 >= least_run(p))
 
 
 def run_steps(run: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
     """The steps of :func:`all_steps` that begin at an end of one of the ``long_runs``."""
-    along = Window.partitionBy("chrom").orderBy("site_id")
-    s = sites.select("chrom", "site_id", "cm", F.lag("bp").over(along).alias("before"), F.lead("bp").over(along).alias("after"))
+    s = _beside(_beside(sites.select("chrom", "site_id", "cm"), sites, "bp", -1, "before"), sites, "bp", 1, "after")
     start = s.select("chrom", F.col("site_id").alias("s"), F.col("cm").alias("_cs"), F.col("before").alias("_before"))
     end = s.select("chrom", F.col("site_id").alias("e"), F.col("cm").alias("_ce"), F.col("after").alias("_after"))
     r = run.join(start, ["chrom", "s"]).join(end, ["chrom", "e"]).join(_ends(sites), "chrom")
@@ -114,10 +121,10 @@ def run_steps(run: DataFrame, sites: DataFrame, p: Detection) -> DataFrame:
     return met.select("chrom", "h1", "h2", "forward", F.col("to").alias("from_idx"), F.col("r.to").alias("to_idx"))
 
 
-def extended(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection, run: DataFrame | None = None) -> DataFrame:
+def extended(seed: DataFrame, mm: DataFrame | None, sites: DataFrame, p: Detection, run: DataFrame | None = None) -> DataFrame:
     """Seeds grown to ``s, e``; ``s`` is -1 for a seed that an earlier one grows into.
 
-    With the runs (at least the ``long_runs``) the mismatches aren't read again.
+    With the runs (at least the ``long_runs``) the mismatches aren't read, and may be None.
     """
     if p.max_gap < 0:
         return seed
@@ -134,7 +141,7 @@ def extended(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection, run
     return seed.join(paths, key, "left").select(*key, follow("_b", "s").alias("s"), follow("_f", "e").alias("e"))
 
 
-def segments(seed: DataFrame, mm: DataFrame, sites: DataFrame, p: Detection, run: DataFrame | None = None) -> DataFrame:
+def segments(seed: DataFrame, mm: DataFrame | None, sites: DataFrame, p: Detection, run: DataFrame | None = None) -> DataFrame:
     """``chrom, h1, h2, start_idx, end_idx, start_bp, end_bp, length_cm``: unique extended seeds of at
     least ``min_output`` centiMorgans between haplotypes of different samples."""
     grown = extended(seed, mm, sites, p, run).where("s >= 0").dropDuplicates(["chrom", "h1", "h2", "s", "e"])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..params import Detection
+from .panel import WORD
 
 #: Sites of an aligned block of :func:`candidate_pairs`, at most. A run of m markers holds a whole block of B if m >= 2 B - 1.
 BLOCK = 50
-#: Alleles that are compared as one number.
-WORD = 60
 #: Parts of the list of haplotypes that make all pairs.
 PARTS = 64
 
@@ -29,15 +29,24 @@ def _words(haps: DataFrame, size: int) -> DataFrame:
     return haps.groupBy("chrom", "hap_id", F.floor(F.col("site_id") / size).alias("block")).agg(F.sum(bit).alias("bits"), F.count("*").alias("n"))
 
 
+def packed(haps: DataFrame) -> DataFrame:
+    """``chrom, hap_id, block, bits`` of a panel in long form: the alleles of a haplotype over ``WORD`` sites as one number."""
+    return _words(haps, WORD).drop("n")
+
+
 def mismatches(haps: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``chrom, h1, h2, site_id`` where the alleles of two haplotypes differ, of the given pairs only if there are some.
 
     Pairs meet on numbers that hold ``WORD`` alleles; only those that differ are turned into sites. A site that
     one of the two doesn't have counts as allele 0 there.
     """
-    words = _words(haps, WORD).select("chrom", "hap_id", "block", "bits")
+    return packed_mismatches(packed(haps), all_pairs(haps) if pairs is None else pairs)
+
+
+def packed_mismatches(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`mismatches` of ``words(chrom, hap_id, block, bits)``."""
+    words = words.select("chrom", "hap_id", "block", "bits")
     a, b = (words.withColumnsRenamed({"hap_id": h, "bits": x}) for h, x in (("h1", "x"), ("h2", "y")))
-    pairs = all_pairs(haps) if pairs is None else pairs
     differ = pairs.join(a, ["chrom", "h1"]).join(b, ["chrom", "h2", "block"]).select(
         "chrom", "h1", "h2", "block", F.col("x").bitwiseXOR(F.col("y")).alias("z")).where("z <> 0")
     each = differ.select("*", F.explode(F.lit(list(range(WORD)))).alias("i")).where(F.getbit("z", F.col("i")) == 1)
@@ -83,6 +92,126 @@ def seed_candidates(haps: DataFrame, min_markers: int) -> DataFrame:
     return agreeing_pairs(haps, size, max(1, (min_markers - size + 1) // size))
 
 
+def least_stretches(sites: DataFrame, size: int, min_markers: int, min_cm: float = 0.0) -> DataFrame:
+    """``chrom, block, upto``: whole blocks of ``size`` sites from ``block`` to before ``upto`` that every run of the least length holds, if ``block`` is the first
+    block it holds whole. A run has at least ``min_markers`` sites and ``min_cm`` centiMorgans between its ends.
+
+    Such a run starts after the first site of the block before, at most so far left, and so it ends, at the earliest, where
+    both lengths are reached from there: the richer the map, the fewer sites. Windows see a row for each block of sites.
+    """
+    low = F.min("cm").over(Window.partitionBy("chrom").orderBy("block").rowsBetween(0, Window.unboundedFollowing))
+    top = F.max("cm").over(Window.partitionBy("chrom").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    at = F.floor(F.col("site_id") / size)
+    last = sites.groupBy("chrom").agg((F.max("site_id") + 1).alias("_n"))
+    # of a run from s, floor((s - 1) / size) is the block before the first whole one
+    starts = sites.groupBy("chrom", F.floor((F.col("site_id") - 1) / size).alias("block")).agg(F.min("cm").alias("cm"))
+    starts = starts.select("chrom", (F.col("block") + 1).alias("block"), low.alias("_from"))
+    ends = sites.groupBy("chrom", at.alias("block")).agg(F.max("cm").alias("cm")).select("chrom", F.col("block").alias("end"), top.alias("_to"))
+    # the first block, from the left, where the length in centiMorgans may be reached; a merge by position
+    events = starts.select("chrom", (F.col("_from") + F.lit(min_cm - 1e-9)).alias("cm"), F.lit(1).alias("kind"), "block").unionByName(
+        ends.select("chrom", F.col("_to").alias("cm"), F.lit(0).alias("kind"), F.col("end").alias("block")))
+    behind = Window.partitionBy("chrom").orderBy(F.col("cm").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.min(F.when(F.col("kind") == 0, F.col("block"))).over(behind)
+    near = events.select("chrom", "block", "kind", reached.alias("end")).where("kind = 1 AND end IS NOT NULL")
+    # the run's end is in block `end` at the earliest, so all blocks before it are whole; the markers give a bound too
+    by_markers = F.floor(((F.col("block") - 1) * size + min_markers + 1) / size)
+    upto = F.greatest(F.col("end"), by_markers, F.col("block") + 1)
+    return near.join(F.broadcast(last), "chrom").select("chrom", "block", upto.cast("long").alias("upto"), "_n").where(F.col("upto") * size <= F.col("_n")).drop("_n")
+
+
+def least_pairs(words: DataFrame, sites: DataFrame, min_markers: int, min_cm: float = 0.0) -> DataFrame:
+    """``chrom, h1, h2`` of the pairs of ``words(chrom, hap_id, block, bits)`` that agree on the blocks which a run of the least length holds wherever it starts.
+
+    Running exclusive ors of the blocks' hashes make one key for any stretch of blocks. The haplotypes with one key from a
+    block on are a class; those of them with the same block before agreed already on the stretch from there, which ends no
+    later, so only haplotypes of different blocks before are paired: once where an agreement begins, whatever its length.
+    Keys are only compared at one block, and pairs with equal keys by chance cost a comparison, so none is lost.
+    """
+    size = max(d for d in range(1, WORD + 1) if WORD % d == 0 and d <= max(1, min_markers // 5))
+    shift = lambda x, i: F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit((1 << size) - 1))
+    rows = words.select("chrom", "hap_id", "block", "bits", F.explode(F.lit(list(range(WORD // size)))).alias("i")).select(
+        "chrom", "hap_id", (F.col("block") * (WORD // size) + F.col("i")).alias("block"), shift(F.col("bits"), F.col("i") * size).alias("bits"))
+    along = Window.partitionBy("chrom", "hap_id").orderBy("block")
+    part = F.xxhash64("block", "bits")
+    so_far = F.coalesce(F.bit_xor(part).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    table = F.broadcast(least_stretches(sites, size, min_markers, min_cm))  # a row for each block of sites: a bound of the map, not of the panel
+    hashed = rows.select("chrom", "hap_id", "block", "bits", so_far.alias("_x"), F.lag("bits").over(along).alias("_before"))
+    begun = hashed.join(table, ["chrom", "block"])
+    ends = hashed.select("chrom", "hap_id", F.col("block").alias("upto"), F.col("_x").alias("_y")).unionByName(
+        hashed.groupBy("chrom", "hap_id").agg((F.max("block") + 1).alias("upto"), F.bit_xor(part).alias("_y")))
+    rows = begun.join(ends, ["chrom", "hap_id", "upto"]).select(
+        "chrom", "block", F.col("_x").bitwiseXOR(F.col("_y")).alias("key"), "hap_id",
+        F.when(F.col("_before").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("_before").alias("of"))).otherwise(
+            F.struct(F.lit(1).alias("kind"), F.col("hap_id").alias("of"))).alias("sub"))
+    window = ["chrom", "block", "key"]
+    # most classes have one member or one block before, and go before anything is paired
+    mixed = rows.groupBy(*window).agg(F.min("sub").alias("_a"), F.max("sub").alias("_b")).where("_a < _b").select(*window)
+    rows = written(rows.join(mixed, window, "left_semi"))
+    subs = rows.select(*window, "sub").distinct()
+    met = subs.withColumnRenamed("sub", "s1").join(subs.withColumnRenamed("sub", "s2"), window).where("s1 < s2")
+    one, two = (rows.withColumnsRenamed({"hap_id": h, "sub": s}) for h, s in (("_a", "s1"), ("_b", "s2")))
+    found = met.join(one, [*window, "s1"]).join(two, [*window, "s2"])
+    return found.select("chrom", F.least("_a", "_b").alias("h1"), F.greatest("_a", "_b").alias("h2")).distinct()
+
+
+#: Numbers of a haplotype that go to a pair as one row.
+CHUNK = 32
+
+
+def long_runs(words: DataFrame, pairs: DataFrame, sites: DataFrame, least: int) -> DataFrame:
+    """``chrom, h1, h2, s, e``: maximal runs without a mismatch of at least ``least`` sites, ends included.
+
+    The mismatches of a pair stay bits: ``least`` free sites in a row (as far as a number reaches) are found by shifting the
+    free bits over themselves, with the numbers before and after, and only the ends of such runs become rows.
+    """
+    least, full = max(1, least), (1 << WORD) - 1
+    step = min(least, WORD)
+    rows = words.select("chrom", "hap_id", F.floor(F.col("block") / CHUNK).alias("chunk"), F.struct("block", "bits").alias("b"))
+    n = sites.groupBy("chrom").agg((F.max("site_id") + 1).alias("_n"))
+    # a chunk has its neighbours' nearest numbers too, so a pair needs none of its other rows
+    halo = rows.unionByName(rows.where(F.col("b.block") % CHUNK == 0).withColumn("chunk", F.col("chunk") - 1)).unionByName(
+        rows.where(F.col("b.block") % CHUNK == CHUNK - 1).withColumn("chunk", F.col("chunk") + 1))
+    chunks = halo.where("chunk >= 0").groupBy("chrom", "hap_id", "chunk").agg(F.map_from_entries(F.collect_list("b")).alias("m"))
+    chunks = chunks.where(F.exists(F.map_keys("m"), lambda k: F.floor(k / CHUNK) == F.col("chunk"))).select(
+        "chrom", "hap_id", "chunk", F.transform(F.sequence(F.lit(-1), F.lit(CHUNK)), lambda i: F.coalesce(F.try_element_at("m", F.col("chunk") * CHUNK + i), F.lit(0).cast("long"))).alias("x"))
+    a, b = (chunks.withColumnsRenamed({"hap_id": h, "x": x}) for h, x in (("h1", "x"), ("h2", "y")))
+    met = pairs.join(a, ["chrom", "h1"]).join(b, ["chrom", "h2", "chunk"]).join(F.broadcast(n), "chrom")
+    at = F.explode(F.lit(list(range(1, CHUNK + 1)))).alias("i")
+    word = F.col("chunk") * CHUNK + F.col("i") - 1
+    z = lambda i: F.col("x")[i].bitwiseXOR(F.col("y")[i])
+    left, up = F.shiftleft, (lambda x, i: F.call_function("shiftleft", x, i))
+    # sites beyond the last one count as mismatches, and so does what is before the first
+    over = lambda w: F.when(w * WORD >= F.col("_n"), F.lit(full)).when((w + 1) * WORD > F.col("_n"), up(F.lit(full), F.pmod("_n", F.lit(WORD)).cast("int")).bitwiseAND(F.lit(full))).otherwise(F.lit(0).cast("long"))
+    each = met.select("chrom", "h1", "h2", "x", "y", "_n", "chunk", at).select(
+        "chrom", "h1", "h2", word.alias("w"),
+        F.when(word == 0, F.lit(full)).otherwise(z(F.col("i") - 1)).alias("zp"), z(F.col("i")).bitwiseOR(over(word)).alias("z"), z(F.col("i") + 1).bitwiseOR(over(word + 1)).alias("zn"))
+    each = each.where(F.col("z") != full)
+    free = lambda c: F.bitwise_not(c).bitwiseAND(F.lit(full))
+    right = F.shiftrightunsigned
+    each = each.select("*", free(F.col("zp")).alias("p0"), free(F.col("z")).alias("f0"), free(F.col("zn")).alias("n0"))
+    up_to = 1
+    # forward: bits from which `up_to` sites are free; backward: bits up to which they are
+    each = each.select("chrom", "h1", "h2", "w", "z", "zp", "zn", F.col("f0").alias("fa"), F.col("n0").alias("fb"), F.col("p0").alias("ba"), F.col("f0").alias("bb"))
+    while up_to < step:
+        k = min(up_to, step - up_to)
+        fa, fb, ba, bb = (F.col(c) for c in ("fa", "fb", "ba", "bb"))
+        each = each.select(
+            "chrom", "h1", "h2", "w", "z", "zp", "zn",
+            fa.bitwiseAND(right(fa, k).bitwiseOR(left(fb, WORD - k)).bitwiseAND(F.lit(full))).alias("fa"), fb.bitwiseAND(right(fb, k)).alias("fb"),
+            ba.bitwiseAND(left(ba, k)).bitwiseAND(F.lit(full)).alias("ba"), bb.bitwiseAND(left(bb, k).bitwiseOR(right(ba, WORD - k)).bitwiseAND(F.lit(full))).alias("bb"))
+        up_to += k
+    begins = F.col("fa").bitwiseAND(left("z", 1).bitwiseOR(right("zp", WORD - 1)))
+    stops = F.col("bb").bitwiseAND(right("z", 1).bitwiseOR(left(F.col("zn").bitwiseAND(F.lit(1)), WORD - 1)))
+    ends = each.select("chrom", "h1", "h2", "w", begins.alias("s"), stops.alias("e"))
+    # no filter here: pushed below the shifts it would repeat them
+    places = lambda c: F.when(F.col(c) == 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.filter(F.lit(list(range(WORD))), lambda i: F.getbit(F.col(c), i) == 1), lambda i: F.col("w") * WORD + i))
+    whole = ends.select("chrom", "h1", "h2", places("s").alias("s"), places("e").alias("e")).groupBy("chrom", "h1", "h2").agg(
+        F.sort_array(F.flatten(F.collect_list("s"))).alias("s"), F.sort_array(F.flatten(F.collect_list("e"))).alias("e"))  # at most the sites of a chromosome
+    run = whole.select("chrom", "h1", "h2", F.explode(F.arrays_zip("s", "e")).alias("r")).select("chrom", "h1", "h2", "r.s", "r.e")
+    return run.where(F.col("e") - F.col("s") + 1 >= least) if least > step else run
+
+
 def runs(mm: DataFrame, pairs: DataFrame, sites: DataFrame) -> DataFrame:
     """``chrom, h1, h2, s, e``: maximal runs of sites without a mismatch, ends included."""
     n = sites.groupBy("chrom").agg((F.max("site_id") + 1).alias("site_id"))

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import written
 from ..params import Smoothing
+from .panel import WORD
 
 #: Sites whose alleles fit into one number.
 _LONG = 60
+#: Rows of blocks that are broadcast at most, of about 50 bytes each.
+FEW = 500_000
 
 
 def _flank(first: int, last: int) -> list[Column]:
@@ -78,6 +81,56 @@ def corrections(haps: DataFrame, p: Smoothing) -> DataFrame:
         "chrom", "site_id", "hap_id", F.col("allele").cast("int").alias("old"), F.col("value").alias("new"))
 
 
+def packed_corrections(words: DataFrame, p: Smoothing) -> DataFrame:
+    """:func:`corrections` of ``words(chrom, hap_id, block, bits)``, for a gap of one site.
+
+    Flanks are cut out of three neighbouring numbers. A task has whole blocks of sites, so what it shuffles are the counts
+    of its different flanks, not alleles; only blocks with a minority that is corrected are kept, and the haplotypes of these
+    minorities come back by a semi join, which needs no shuffle while the counted blocks are few.
+    """
+    if p.gap != 1 or p.length >= WORD:
+        raise ValueError("packed smoothing takes a gap of one site and flanks that fit into a number")
+    n, mask = p.length, (1 << p.length) - 1
+    along = Window.partitionBy("chrom", "hap_id").orderBy("block")
+    near = lambda f: F.coalesce(f("bits").over(along), F.lit(0).cast("long"))
+    w = words.select("chrom", "hap_id", "block", "bits", near(F.lag).alias("prev"), near(F.lead).alias("next"))
+    w = written(w.repartition("chrom", "block"))
+    ends = sites_of(words).select("chrom", (F.col("n") - 1 - n).alias("_last"))
+    up, down = (lambda x, k: F.call_function("shiftleft", F.col(x), k.cast("int"))), (lambda x, k: F.call_function("shiftrightunsigned", F.col(x), k.cast("int")))
+    i = F.col("i")
+    left = F.when(i >= n, down("bits", i - n)).otherwise(down("prev", WORD + i - n).bitwiseOR(up("bits", n - i)))
+    at = i + 1
+    right = F.when(at + n <= WORD, down("bits", at)).when(at >= WORD, down("next", at - WORD)).otherwise(down("bits", at).bitwiseOR(up("next", WORD - at)))
+    each = w.select("*", F.explode(F.lit(list(range(WORD)))).alias("i")).select(
+        "chrom", (F.col("block") * WORD + i).alias("site_id"), "hap_id", F.getbit("bits", i).cast("int").alias("allele"),
+        left.bitwiseAND(F.lit(mask)).alias("l"), right.bitwiseAND(F.lit(mask)).alias("r")).join(F.broadcast(ends), "chrom")  # a row for each chromosome
+    each = each.where((F.col("site_id") >= n) & (F.col("site_id") <= F.col("_last"))).drop("_last")
+    key = ["chrom", "site_id", "l", "r"]
+    zeros, few = F.col("size") - F.col("ones"), F.least("ones", F.col("size") - F.col("ones"))
+    counts = each.groupBy(*key).agg(F.count("*").alias("size"), F.sum("allele").alias("ones")).where(
+        (F.col("size") >= p.width) & (few > 0) & (few <= F.col("size") * p.rho))
+    agreed = written(counts.select(*key, F.when(zeros < F.col("ones"), 1).otherwise(0).alias("new")))
+    side = F.broadcast(agreed) if agreed.count() <= FEW else agreed
+    return each.join(side, key).where("allele <> new").select("chrom", "site_id", "hap_id", F.col("allele").alias("old"), "new")
+
+
+def sites_of(words: DataFrame) -> DataFrame:
+    """``chrom, n``: sites of each chromosome of ``words(chrom, hap_id, block, bits, n)``."""
+    if "n" not in words.columns:
+        raise ValueError("words need the number of sites of their chromosome")
+    return words.groupBy("chrom").agg(F.max("n").alias("n"))
+
+
+def packed_smoothed(panel_words: DataFrame, words: DataFrame, n_haps: int, p: Smoothing) -> tuple[DataFrame, DataFrame]:
+    """The smoothed site-major ``panel_words`` and its corrections, found on the haplotype-major ``words``; a panel that is smooth already stays."""
+    from .panel import packed_flipped
+
+    edits = written(packed_corrections(words, p))
+    if is_smooth_already(edits.count(), panel_words.count() * n_haps):
+        return panel_words, edits.limit(0)
+    return packed_flipped(panel_words, edits), edits
+
+
 def block_counts(haps: DataFrame, p: Smoothing) -> DataFrame:
     """``chrom, eff, n_blocks, n_haps``: blocks of at least the least width, and haplotypes in them."""
     b = blocks(haps, p).where("k = 0")

@@ -320,6 +320,9 @@ def _file_sql(rows, located, run, seg, feat, truth, smooth1, pipe, kept, loci, n
       wide4 AS (SELECT chrom, hap_id, b, lead(b, 3) OVER o AS z, w || lead(w) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o AS w FROM words WINDOW o AS (PARTITION BY chrom, hap_id ORDER BY b))"""
     return {
         "vcf_scan": _with(_BASE) + "SELECT chrom, site_id, bp, hap_id, allele FROM panel JOIN sites USING (chrom, site_id)",
+        "vcf_blocks": _with(_BASE) + "SELECT chrom, site_id, bp, hap_id, allele FROM panel JOIN sites USING (chrom, site_id)",
+        "vcf_packed_counts": _with(_BASE, counts) + "SELECT chrom, site_id, n_alt, n_haps, mac FROM counts",
+        "vcf_turned": _with(_BASE) + "SELECT chrom, hap_id, site_id // 60 AS block, sum(allele::BIGINT << (site_id % 60)::INT)::BIGINT AS bits FROM panel GROUP BY ALL",
         "vcf_scan_mac": _with(_BASE, counts, both) + "SELECT k.chrom, k.site_id, bp, hap_id, allele FROM panel p JOIN kept k ON k.orig_site_id = p.site_id",
         "vcf_smoothed": rows["smooth_panel"],
         "map_plink": rows["map_convert"],
@@ -351,6 +354,7 @@ def _file_sql(rows, located, run, seg, feat, truth, smooth1, pipe, kept, loci, n
             WHERE b.cm - a.cm >= 0.3 AND e = n - 1 AND e - s + 1 = 30""",
         "grown_candidates": _with(_GROWN, words) + """SELECT DISTINCT x.chrom, x.hap_id AS h1, y.hap_id AS h2 FROM wide4 x JOIN wide4 y
             ON x.chrom = y.chrom AND x.b = y.b AND x.w = y.w AND x.hap_id < y.hap_id WHERE x.z = x.b + 3""",
+        "grown_pairs": _with(*grown_run, _seeds()) + "SELECT chrom, h1, h2, count(*) AS n_seeds FROM seeds GROUP BY ALL",
         "grown_runs": _with(*grown_run) + "SELECT * FROM runs WHERE e - s + 1 >= 20",
         "grown_segments": _with(*grown_run, _seeds(), _STEPS, _CHAIN) + f"SELECT {key}, start_bp, end_bp, round(length_cm, 6) AS length_cm FROM segs",
     }

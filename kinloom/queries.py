@@ -86,22 +86,31 @@ def _mm(spark, d):
     return seeds.mismatches(error_panel(spark, d))
 
 
+def _words(spark, d):
+    return written(seeds.packed(error_panel(spark, d)))
+
+
+def _long_runs(spark, d, at, least, min_markers, min_cm=0.0):
+    """Runs of at least so many sites, of the pairs with a run of the given lengths."""
+    words = _words(spark, d)
+    return seeds.long_runs(words, written(seeds.least_pairs(words, at, min_markers, min_cm)), at, least)
+
+
 def _runs(spark, d):
-    h = error_panel(spark, d)
-    return seeds.runs(seeds.mismatches(h), seeds.all_pairs(h), sites(spark, d))
+    """Runs that have as many markers as a seed."""
+    return _long_runs(spark, d, written(placed(spark, d)), P.min_markers, P.min_markers)
 
 
-def _seeds(spark, d):
-    return seeds.seeds(_runs(spark, d), placed(spark, d), P)
+def _seeds(spark, d, p=P):
+    at = written(placed(spark, d))
+    return seeds.seeds(_long_runs(spark, d, at, p.min_markers, p.min_markers, p.min_seed), at, p)
 
 
 def _segments(spark, d):
     """Extended seeds, by the candidates of the block join."""
-    h, at = error_panel(spark, d), written(placed(spark, d))
-    pairs = written(seeds.seed_candidates(h, P.min_markers))
-    mm = seeds.mismatches(h, pairs)
-    run = written(extend.long_runs(seeds.runs(mm, pairs, at), P))
-    return extend.segments(seeds.seeds(run, at, P), mm, at, P, run)
+    at = written(placed(spark, d))
+    run = written(_long_runs(spark, d, at, extend.least_run(P), P.min_markers, P.min_seed))
+    return extend.segments(seeds.seeds(run, at, P), None, at, P, run)
 
 
 def _truth(spark, d):
@@ -126,11 +135,12 @@ def _trees(spark, d):
 
 
 def _as_intervals(segs):
-    return segs.select(F.col("h1").alias("id1"), F.col("h2").alias("id2"), F.col("start_bp").cast("double").alias("start"), F.col("end_bp").cast("double").alias("end"))
+    return segs.select("chrom", F.col("h1").alias("id1"), F.col("h2").alias("id2"), F.col("start_bp").cast("double").alias("start"), F.col("end_bp").cast("double").alias("end"))
 
 
 def _edits(spark, d):
-    return smooth.corrections(error_panel(spark, d), S)
+    h = error_panel(spark, d)
+    return smooth.packed_corrections(seeds.packed(h).join(F.broadcast(sites(spark, d).groupBy("chrom").agg((F.max("site_id") + 1).alias("n"))), "chrom"), S)
 
 
 def _chunked(spark, d, flavour):
@@ -262,7 +272,7 @@ def pair_mismatch_bits(spark, d):
 
 
 def exact_runs(spark, d):
-    return _runs(spark, d).where(F.col("e") - F.col("s") + 1 >= P.min_markers)
+    return _runs(spark, d)
 
 
 def block_candidates(spark, d):
@@ -276,11 +286,11 @@ def ibd_seeds(spark, d):
 def ibd_seeds_relaxed(spark, d):
     from dataclasses import replace
 
-    return seeds.seeds(_runs(spark, d), placed(spark, d), replace(P, closeout_strict=False))
+    return _seeds(spark, d, replace(P, closeout_strict=False))
 
 
 def seed_merge(spark, d):
-    near = _runs(spark, d).where(F.col("e") - F.col("s") + 1 >= 5).withColumn("e", F.col("e") + 1)
+    near = _long_runs(spark, d, sites(spark, d).withColumn("cm", F.lit(0.0)), 5, 5).withColumn("e", F.col("e") + 1)
     return seeds.merged(near, ["chrom", "h1", "h2"])
 
 
@@ -377,7 +387,7 @@ def score_summary(spark, d):
 def dataset_relabel(spark, d):
     split = evaluate.split_by_truth(_as_intervals(_segments(spark, d)), _as_intervals(_truth(spark, d)))
     labelled = split.select("id1", "id2", "start", "end", F.when(F.col("is_false"), 3).otherwise(2).alias("classification"))
-    truth = _as_intervals(_truth(spark, d)).withColumn("classification", F.lit(1))
+    truth = _as_intervals(_truth(spark, d)).drop("chrom").withColumn("classification", F.lit(1))
     return features.without_truth(labelled.unionByName(truth))
 
 

@@ -1,28 +1,32 @@
-"""Phased VCF text, plain or gzipped."""
+"""Phased VCF text, plain, gzipped or block-gzipped."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
+from ..operators import panel
+from ..operators.panel import WORD
+from . import bgzf
 
-#: Base pairs of a bucket in which sites are numbered.
-BUCKET = 1 << 16
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
 
 @dataclass
 class Panel:
     """``samples(sample_idx, sample_id)``, ``sites(chrom, site_id, bp, fields)`` and
-    ``haplotypes(chrom, site_id, hap_id, allele)`` of a file, with its header lines."""
+    ``haplotypes(chrom, site_id, hap_id, allele)`` of a file, with its header lines. A panel that was read
+    also has ``words(chrom, site_id, words)``, where its haplotypes come from: ``panel.WORD`` alleles to a number."""
 
     samples: DataFrame
     sites: DataFrame
     haplotypes: DataFrame
     header: list[str]
+    words: DataFrame | None = None
+    n_haps: int = 0
 
 
 def check_name(path: str) -> None:
@@ -30,51 +34,87 @@ def check_name(path: str) -> None:
         raise ValueError(f"not a .vcf or .vcf.gz file: {path}")
 
 
+def header_lines(spark: SparkSession, files: list[str]) -> list[str]:
+    """The lines that begin with ``#`` at the top of the first of the files that has any, read up to there."""
+    jvm = spark._jvm
+    for f in files:
+        where = jvm.org.apache.hadoop.fs.Path(f)
+        conf = spark._jsc.hadoopConfiguration()
+        opened = where.getFileSystem(conf).open(where)
+        if f.endswith(".gz") or bgzf.first_bytes(spark, f, 2) == b"\x1f\x8b":
+            opened = jvm.java.util.zip.GZIPInputStream(opened)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "UTF-8"))
+        try:
+            out = []
+            while (line := reader.readLine()) is not None and (line.startswith("#") or not line):
+                out += [line] if line else []
+        finally:
+            reader.close()
+        if out:
+            return out
+    return []
+
+
+def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """``value, file, block, nth`` of a text file (or folder, or pattern) and its header lines. Block-gzipped files are read
+    by many tasks each, other gzipped ones by one task each."""
+    lines = spark.read.text(path)
+    files = sorted(lines.inputFiles())
+    header = header_lines(spark, files)
+    if bgzf.is_block_gzip(spark, files):
+        return bgzf.read_lines(spark, files), header
+    return lines.select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("nth")), header
+
+
+def packed_genotypes(gt: Column, n_samples: int) -> Column:
+    """The alleles of the tab separated sample columns ``gt`` as numbers of ``WORD`` each, the first in the lowest bit.
+
+    A line of plain genotypes (``0|1``) is packed by replacing characters; others column by column. Columns that are
+    missing have allele 0; a genotype of other than two alleles raises an error.
+    """
+    pair = lambda x: F.split(F.substring_index(x, ":", 1), r"[|/]")
+    allele = lambda a: F.when(a.isin("0", "."), "0").otherwise("1")
+    each = F.transform(F.slice(F.split(gt, "\t"), 1, n_samples), lambda x: F.when(F.size(pair(x)) == 2, F.concat(allele(pair(x)[0]), allele(pair(x)[1]))).otherwise(
+        F.raise_error(F.lit("a genotype of other than two alleles")).cast("string")))
+    plain = F.translate(gt, "./23456789", "0|11111111")
+    marks = F.repeat(F.lit("|\t"), n_samples - 1)
+    is_plain = (F.length(gt) == 4 * n_samples - 1) & (F.translate(plain, "01", "") == F.concat(marks, F.lit("|")))
+    bits = F.when(is_plain, F.translate(plain, "|\t", "")).otherwise(F.rpad(F.concat_ws("", each), 2 * n_samples, "0"))
+    last = (2 * n_samples - 1) // WORD
+    return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda w: F.conv(F.reverse(F.substring(bits, w * WORD + 1, F.lit(WORD))), 2, 10).cast("long"))
+
+
 def read_vcf(spark: SparkSession, path: str, biallelic_only: bool = False, min_mac: int = 0) -> Panel:
     """Every site with at least one sample column. The genotype comes first in each sample's
     column; ``.`` and 0 are allele 0, any other allele is 1. Lines with fewer than nine tabs are
     left out; haploid genotypes raise an error. Sites are numbered by chromosome, position and
-    place in the file, once: the numbered lines are written and all tables read from there.
+    place in the file, once: a line becomes its packed alleles where it is read, rare sites go there, and
+    the numbered rows are written.
     """
     check_name(path)
-    lines = spark.read.text(path)
-    place = [F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("nth")]
-    header = [r[0] for r in lines.where(F.col("value").startswith("#")).collect()]  # bounded by the file's format
+    lines, header = read_lines(spark, path)
     names = next((h.split("\t")[len(FIXED):] for h in reversed(header) if h.startswith("#CHROM")), [])
     if not names:
         raise ValueError("a VCF needs at least one sample")
     samples = spark.createDataFrame(list(enumerate(names)), "sample_idx bigint, sample_id string")
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#")).select(f.alias("f"), *place).where(F.size("f") > len(FIXED))
+    front = F.substring_index("value", "\t", len(FIXED))
+    is_site = ~F.col("value").startswith("#") & (F.length(front) < F.length("value"))
+    # the optimiser may evaluate genotypes before the filter, so other lines have none
+    rows = lines.where(is_site).select(F.split(front, "\t").alias("fields"), F.when(is_site, F.substring("value", F.length(front) + 2, F.length("value"))).alias("gt"), "file", "block", "nth")
     if biallelic_only:
-        rows = rows.where(~F.col("f")[4].contains(","))
-    rows = rows.select(
-        F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("bp"), F.slice("f", 1, len(FIXED)).alias("fields"),
-        F.slice("f", len(FIXED) + 1, len(names)).alias("gt"), "file", "block", "nth")
-    rows = written(_numbered(rows))
-    pair = lambda x: F.split(F.substring_index(x, ":", 1), r"[|/]")
-    allele = lambda a: F.when(a.isin("0", "."), 0).otherwise(1)
-    both = F.transform("gt", lambda x: F.when(F.size(pair(x)) == 2, F.array(allele(pair(x)[0]), allele(pair(x)[1]))).otherwise(
-        F.raise_error(F.lit("a genotype of other than two alleles")).cast("array<int>")))
-    haps = rows.select("chrom", "site_id", F.posexplode(F.flatten(both)).alias("hap_id", "allele")).withColumn("hap_id", F.col("hap_id").cast("long"))
-    sites = rows.select("chrom", "site_id", "bp", "fields")
+        rows = rows.where(~F.col("fields")[4].contains(","))
+    n_haps = 2 * len(names)
+    rows = rows.select(F.col("fields")[0].alias("chrom"), F.col("fields")[1].cast("long").alias("bp"), "fields", packed_genotypes(F.col("gt"), len(names)).alias("words"), "file", "block", "nth")
     if min_mac > 0:
-        from ..operators.panel import kept_sites, renumbered
-
-        kept = kept_sites(haps, sites, min_mac)
-        haps = renumbered(haps, kept)
-        sites = kept.join(sites.select("chrom", F.col("site_id").alias("orig_site_id"), "fields"), ["chrom", "orig_site_id"]).select("chrom", "site_id", "bp", "fields")
-    return Panel(samples, sites, haps, header)
+        rows = rows.where(panel.packed_mac(F.col("words"), n_haps) >= min_mac)
+    rows = written(_numbered(rows))
+    words = rows.select("chrom", "site_id", "words")
+    return Panel(samples, rows.select("chrom", "site_id", "bp", "fields"), panel.unpacked(words, n_haps), header, words, n_haps)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Rows with ``site_id`` in place of ``file, block, nth``; only buckets of base pairs are sorted, whatever the chromosome."""
-    rows = rows.withColumn("_b", F.floor(F.col("bp") / BUCKET))
-    before = Window.partitionBy("chrom").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    base = rows.groupBy("chrom", "_b").count().select("chrom", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("chrom", "_b").orderBy("bp", "file", "block", "nth"))
-    return rows.withColumn("_in", within).join(base, ["chrom", "_b"]).select(
-        "chrom", (F.col("_base") + F.col("_in") - 1).cast("long").alias("site_id"), "bp", "fields", "gt")
+    return panel.numbered(rows, ["file", "block", "nth"]).select("chrom", "site_id", "bp", "fields", "words")
 
 
 def vcf_lines(panel: Panel, haplotypes: DataFrame | None = None) -> DataFrame:
@@ -88,12 +128,16 @@ def vcf_lines(panel: Panel, haplotypes: DataFrame | None = None) -> DataFrame:
         "chrom", "site_id", F.concat_ws("\t", F.concat("fields", pairs)).alias("value"))
 
 
-def write_vcf(panel: Panel, path: str, haplotypes: DataFrame | None = None) -> None:
-    """A directory of text parts in site order, the header in the first one."""
+def write_vcf(panel: Panel, path: str, haplotypes: DataFrame | None = None, blocks: bool = False) -> None:
+    """A directory of text parts in site order, the header in the first one; block-gzipped ones with ``blocks``."""
     spark = panel.sites.sparkSession
     head = spark.createDataFrame([("", i - len(panel.header), h) for i, h in enumerate(panel.header)], "chrom string, site_id bigint, value string")
     lines = head.unionByName(vcf_lines(panel, haplotypes))
-    lines.repartitionByRange("chrom", "site_id").sortWithinPartitions("chrom", "site_id").select("value").write.mode("overwrite").text(path)
+    lines = lines.repartitionByRange("chrom", "site_id").sortWithinPartitions("chrom", "site_id").select("value")
+    if blocks:
+        bgzf.write_lines(lines, path)
+    else:
+        lines.write.mode("overwrite").text(path)
 
 
 def smoothed_name(path: str) -> str:
