@@ -123,7 +123,7 @@ tru AS (SELECT h1 AS id1, h2 AS id2, start_bp::DOUBLE AS start, end_bp::DOUBLE A
 
 
 def _cov(q: str, o: str, how: str) -> str:
-    return f"""(SELECT q.id1, q.id2, q.start, q."end", coalesce({how}(greatest(0.0, least(q."end", o."end") - greatest(q.start, o.start)) / (q."end" - q.start)), 0.0) AS cov
+    return f"""(SELECT q.id1, q.id2, q.start, q."end", coalesce({how}(CASE WHEN o.id1 IS NOT NULL THEN greatest(0.0, least(q."end", o."end") - greatest(q.start, o.start)) / (q."end" - q.start) END), 0.0) AS cov
   FROM {q} q LEFT JOIN {o} o ON q.id1 = o.id1 AND q.id2 = o.id2 GROUP BY q.id1, q.id2, q.start, q."end")"""
 
 
