@@ -8,6 +8,8 @@ one keeps only as many sums as the longest piece has letters. Piece probabilitie
 are learned by expectation maximisation over the same sums, from a bounded
 sample of labelled documents (``SAMPLE`` for each language, by hash of the id).
 
+Letters are Unicode's (categories L), with the marks that follow them; number signs such as ``½`` are none.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 ties go to the first language by name; repeated rows are scored alike; without
 any labelled document every text is ``und``; an empty table gives no rows.
@@ -17,10 +19,10 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,8 @@ ROUNDS = 2
 SMOOTH = 0.1
 #: Letters of the runs that are summed in batches; letters of the longest piece of the usual vocabulary.
 RUN_LETTERS, PIECE_LETTERS = 24, 16
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of any script, and the marks that go with them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a task remembers.
 CACHE = 300_000
 _LEAST = 1e-9
