@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .checkpoints import written
 from .functions import models
@@ -43,24 +44,28 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, o: argparse.Namespace) -> detect.Found:
+    """Detects, writes and, with a model, filters. The counts in ``statistics`` are taken off the writes, so nothing runs twice for them."""
     panel = vcf.read_vcf(spark, o.panel)
     s = None if o.no_psmoother else Smoothing(o.ps_length, o.ps_width, o.ps_gap, o.ps_rho)
     p = Detection(o.min_seed, o.max_gap, o.min_extend, o.min_markers, o.min_mac, o.min_output)
     found = detect.detect_panel(panel, maps.read_map(spark, o.map), p, s)
     found.segments = written(found.segments)
-    segments.write_tsv(segments.indexed_rows(found.segments), o.segments)
+    seen = Observation("segments")
+    segments.write_tsv(segments.indexed_rows(found.segments.observe(seen, F.count("*").alias("n"))), o.segments)
+    found.statistics = detect.counted(panel.n_haps // 2, found.sites.count(), seen.get["n"])
     if o.filter != "none":
         load = models.load_trees if o.filter == "x" else models.load_network
-        kept = detect.filtered(found, load(spark, o.model_path))
-        segments.write_tsv(segments.named_rows(kept, panel.samples), o.output)
+        kept, passed = detect.filtered(found, load(spark, o.model_path)), Observation("kept")
+        segments.write_tsv(segments.named_rows(kept.observe(passed, F.count("*").alias("n")), panel.samples), o.output)
+        found.statistics |= detect.passed(seen.get["n"], passed.get["n"])
     return found
 
 
 def main() -> None:
     o = options()
-    spark = SparkSession.builder.appName("kinloom").getOrCreate()
-    found = run(spark, o)
-    detect.run_statistics(found, vcf.read_vcf(spark, o.panel).samples).show()
+    spark = SparkSession.builder.appName("kinloom").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
+    for name, value in run(spark, o).statistics.items():
+        print(f"{name}\t{value}")
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ class Found:
     haplotypes: DataFrame
     words: DataFrame
     corrections: DataFrame
+    statistics: dict[str, float] = field(default_factory=dict)
 
     @property
     def mismatches(self) -> DataFrame:
@@ -103,3 +104,13 @@ def run_statistics(found: Found, samples: DataFrame) -> DataFrame:
     one = samples.agg(F.count("*").alias("samples")).crossJoin(found.sites.agg(F.count("*").alias("markers")))
     two = one.crossJoin(found.segments.agg(F.count("*").alias("segments")))
     return two.withColumn("segments_per_sample", F.coalesce(F.try_divide("segments", "samples"), F.lit(0.0)))
+
+
+def counted(samples: int, markers: int, segments: int) -> dict[str, float]:
+    """:func:`run_statistics` of numbers that were counted on the way."""
+    return {"samples": samples, "markers": markers, "segments": segments, "segments_per_sample": segments / samples if samples else 0.0}
+
+
+def passed(processed: int, kept: int) -> dict[str, float]:
+    """:func:`summary` of numbers that were counted on the way."""
+    return {"processed": processed, "kept": kept, "filtered": processed - kept, "kept_percent": 100.0 * kept / processed if processed else float("nan")}

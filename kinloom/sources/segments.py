@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import records
+
 INDEXED = "sample1 int, hap1 int, sample2 int, hap2 int, start_bp bigint, end_bp bigint, cm double"
 NAMED = "id1 string, hap1 int, id2 string, hap2 int, chrom string, start_bp bigint, end_bp bigint, cm double"
 TRUTH = "hap1 bigint, hap2 bigint, start_bp bigint, end_bp bigint, cm_start double, cm_end double"
-#: Six 32-bit integers and a float: haplotypes, site range, place range, length.
-RECORD_BYTES = struct.calcsize("<6if")
 
 
 def six(x: Column) -> Column:
@@ -47,67 +45,20 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=schema, mode="DROPMALFORMED")
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of 28-byte records; a rest of fewer bytes is left out."""
-    fields = "h1 bigint, h2 bigint, start_idx bigint, end_idx bigint, start_bp bigint, end_bp bigint, length_cm double"
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
+def read_binary(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """Segments of 28-byte records, by ranges of whole records; a rest of fewer bytes is left out."""
+    return records.read(spark, path, **options)
 
-        kind = np.dtype([(n, "<i4") for n in ("h1", "h2", "start_idx", "end_idx", "start_bp", "end_bp")] + [("length_cm", "<f4")])
-        for b in batches:
-            for raw in b["content"]:
-                yield pd.DataFrame(np.frombuffer(raw, kind, len(raw) // RECORD_BYTES))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, fields)
+def write_binary(segs: DataFrame, path: str) -> int:
+    """A folder of 28-byte records, a file for each partition, in place of what was there; returns how many records it has.
 
+    The records are counted as they are written."""
+    from pyspark.sql import Observation
 
-def write_binary(segs: DataFrame, path: str) -> int:
-    """A folder of 28-byte records, a file for each partition; returns how many records it has.
-
-    A task writes under a name of its own attempt and renames it at the end, so a repeated task replaces its file.
-    """
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    fields = ["h1", "h2", "start_idx", "end_idx", "start_bp", "end_bp"]
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        kind = np.dtype([(n, "<i4") for n in fields] + [("length_cm", "<f4")])
-        where, top = _file_system(path)
-        task = TaskContext.get()
-        name = f"{top}/part-{task.partitionId():05d}.bin"
-        own = f"{top}/.{task.taskAttemptId()}-{task.attemptNumber()}.tmp"
-        n = 0
-        where.create_dir(top, recursive=True)
-        with where.open_output_stream(own) as out:
-            for b in batches:
-                rows = np.empty(len(b), kind)
-                for k, c in enumerate([*fields, "length_cm"]):
-                    rows[c] = b.column(k).to_numpy(zero_copy_only=False)
-                out.write(rows.tobytes())
-                n += len(b)
-        if where.get_file_info(name).type != fs.FileType.NotFound:
-            where.delete_file(name)
-        where.move(own, name)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    done = segs.select(*(F.col(c).cast("long") for c in fields), F.col("length_cm").cast("double")).mapInArrow(run, StructType([StructField("n", LongType())]))
-    return done.agg(F.sum("n")).first()[0] or 0
-
-
-def _file_system(path: str):
-    """A file system of pyarrow for the path, and the path there."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or "://" not in path:
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-    return fs.FileSystem.from_uri(path)
+    seen = Observation("records")
+    records.write(segs.observe(seen, F.count("*").alias("n")), path)
+    return seen.get["n"]
 
 
 def normalized(named: DataFrame) -> DataFrame:
