@@ -38,7 +38,7 @@ RUN_LETTERS, PIECE_LETTERS = 24, 16
 #: Letters of any script, and the marks that go with them.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words whose scores a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 _LEAST = 1e-9
 _START = "\u2581"
 
