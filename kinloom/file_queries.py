@@ -4,6 +4,7 @@ checkpoint folder, read again by the sources, and compared with what SQL says th
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -121,6 +122,23 @@ def segments_union(spark, d):
         return written(segments.read_tsv(spark, f"{at}/all/*", segments.INDEXED))
 
 
+def segments_bucketed(spark, d):
+    """Reported and true segments as tables bucketed by their pair, compared where their buckets are."""
+    names = [f"kinloom_{what}_{uuid.uuid4().hex}" for what in ("reported", "truth")]
+    try:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        a, b = (q._as_intervals(segments.save_bucketed(s, n, buckets)) for n, s in zip(names, (_segments(spark, d), q._truth(spark, d).select("chrom", "h1", "h2", "start_bp", "end_bp"))))
+        with segments.side_by_side(spark):
+            both = [written(x) for x in (evaluate.accuracy(a, b), evaluate.length_accuracy(a, b), evaluate.power(b, a), evaluate.accumulative_power(b, a))]
+        one = both[0]
+        for x in both[1:]:  # single rows
+            one = one.crossJoin(x)
+        return one.select(*q.r6("accuracy", "length_accuracy", "power", "accumulative_power"))
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
 def _dataset(spark, d) -> DataFrame:
     """Features of segments with their samples, places and the class that the trees give them."""
     names = features.feature_names()
@@ -308,7 +326,7 @@ def grown_segments(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
-        vcf_scan, vcf_blocks, vcf_packed_counts, vcf_turned, vcf_scan_mac, vcf_smoothed, map_plink, segments_binary, segments_indexed, segments_text, segments_union, dataset_file,
+        vcf_scan, vcf_blocks, vcf_packed_counts, vcf_turned, vcf_scan_mac, vcf_smoothed, map_plink, segments_binary, segments_indexed, segments_text, segments_union, segments_bucketed, dataset_file,
         dataset_segments, error_log, truth_cutoff, network_file, trees_file, both_predictions, features_scaled_all, program_filtered,
         run_statistics, corrections_by_site, corrections_by_haplotype, smooth_again, seeds_closeout, grown_candidates,
         grown_pairs, grown_runs, grown_segments)

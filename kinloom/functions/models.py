@@ -1,12 +1,14 @@
 """Models that score segments: a small neural network and gradient-boosted trees.
 
-Files are parsed on the driver; scoring runs on Arrow batches with the parsed
-model as a broadcast value.
+Files are parsed on the driver. A few small trees are walked in the JVM, over arrays
+of their nodes; many trees and networks score Arrow batches, which is faster for
+them. The results are the same.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import struct
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 # Fixed values of the weights file: its mark and version.
 MAGIC, VERSION = 0x4E4E5754, 1
 LEAK = 0.01
+#: Trees times their depth up to which rows are scored in the JVM; more steps are faster over Arrow batches.
+JVM_STEPS = 64
 
 
 @dataclass
@@ -154,6 +158,17 @@ class Trees:
             for t in learner["gradient_booster"]["model"]["trees"]]
         return Trees(trees, float(np.log(base / (1 - base))))
 
+    @property
+    def depth(self) -> int:
+        """Steps to the deepest leaf."""
+        most = 0
+        for t in self.trees:
+            level, steps = np.zeros(1, np.int64), 0
+            while len(level := level[t["left_children"][level] >= 0]):
+                level, steps = np.r_[t["left_children"][level], t["right_children"][level]], steps + 1
+            most = max(most, steps)
+        return most
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities; a missing value takes a node's default side."""
         x = x.astype(np.float32)
@@ -185,28 +200,49 @@ def load_trees(spark: SparkSession, path: str) -> Trees:
 
 
 def scored(features: DataFrame, names: list[str], model: Network | Trees, out: str = "score") -> DataFrame:
-    """Adds the model's P(false positive) of the features ``names``."""
+    """Adds the model's P(false positive) of the features ``names``; a null is a missing value."""
+    if isinstance(model, Trees) and len(model.trees) * model.depth <= JVM_STEPS:
+        x = F.array(*[F.coalesce(F.col(f"`{n}`").cast("float"), F.lit(float("nan")).cast("float")) for n in names])
+        # a column of its own: inside the walk the array would be made for each node
+        return features.withColumn("_x", x).withColumn(out, tree_columns(F.col("_x"), model)).drop("_x")
     shared = features.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(x: pd.DataFrame) -> pd.Series:
         return pd.Series(shared.value.predict(x.to_numpy(np.float64, na_value=np.nan)))
 
-    return features.withColumn(out, score(F.struct(*names)))
+    return features.withColumn(out, score(F.struct(*(F.col(f"`{n}`") for n in names))))
+
+
+def tree_columns(x: Column, model: Trees) -> Column:
+    """The trees' score of an array of floats (NaN for a missing value): walks over arrays of all nodes.
+
+    Every walk takes as many steps as the deepest leaf is away; a leaf is its own child, so walks that are there stay there.
+    """
+    if not model.trees:
+        return F.lit(1 / (1 + math.exp(-model.margin)))
+    sizes = [len(t["left_children"]) for t in model.trees]
+    roots = np.cumsum([0, *sizes[:-1]])
+    joined = lambda column: np.concatenate([column(t) for t in model.trees])
+    inner = joined(lambda t: t["left_children"] >= 0)
+    child = lambda side: np.where(inner, joined(lambda t: t[side]) + np.repeat(roots, sizes), np.arange(len(inner)))
+    left, right = child("left_children"), child("right_children")
+    left_of, right_of = _literal(left, "int"), _literal(right, "int")
+    index, default = _literal(np.where(inner, joined(lambda t: t["split_indices"]), 0), "int"), _literal(joined(lambda t: t["default_left"]).astype(int), "int")
+    condition = _literal(joined(lambda t: t["split_conditions"]).astype(np.float64), "float")
+
+    def step(node: Column, _: Column) -> Column:
+        v = x[index[node]]
+        goes_left = F.when(F.isnan(v), default[node] == 1).otherwise(v < condition[node])
+        return F.when(goes_left, left_of[node]).otherwise(right_of[node])
 
+    leaf = lambda root: condition[F.aggregate(_literal(np.arange(max(model.depth, 1)), "int"), root, step)].cast("double")
+    return 1 / (1 + F.exp(-F.aggregate(_literal(roots, "int"), F.lit(float(model.margin)), lambda a, root: a + leaf(root))))
 
-def network_columns(x: Column, net: Network) -> Column:
-    """The network's score of an array column, without leaving the JVM."""
-    def products(rows: Column, x: Column) -> Column:
-        return F.transform(rows, lambda r: F.aggregate(F.zip_with(r, x, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v))
 
-    for k, (w, b) in enumerate(zip(net.weights, net.biases)):
-        rows = F.lit([[float(v) for v in r] for r in w])
-        bias = F.lit([float(v) for v in b])
-        x = F.zip_with(products(rows, x), bias, lambda u, v: u + v)
-        if k + 1 < len(net.weights):
-            x = F.transform(x, lambda v: F.when(v > 0, v).otherwise(LEAK * v))
-    return 1 / (1 + F.exp(-x[0]))
+def _literal(values: np.ndarray, kind: str) -> Column:
+    """An array that the optimizer folds to one literal, whatever its length."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
 def both_predictions(features: DataFrame, scaled: DataFrame, key: list[str], names: list[str], boosted: Trees, network: Network) -> DataFrame:

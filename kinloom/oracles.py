@@ -330,6 +330,7 @@ def _file_sql(rows, located, run, seg, feat, truth, smooth1, pipe, kept, loci, n
         "segments_indexed": rows["ibd_segments"],
         "segments_text": f"SELECT id1, hap1::INT AS hap1, id2, hap2::INT AS hap2, chrom, start_bp, end_bp, cm::DOUBLE AS cm FROM ({_with(*seg) + named})",
         "segments_union": f"SELECT sample1::INT AS sample1, hap1::INT AS hap1, sample2::INT AS sample2, hap2::INT AS hap2, start_bp, end_bp, cm::DOUBLE AS cm FROM ({rows['segments_tsv']})",
+        "segments_bucketed": "SELECT * FROM " + ", ".join(f"({rows[n]})" for n in ("eval_accuracy", "eval_length_accuracy", "eval_power", "eval_accum_power")),
         "dataset_file": _with(*feat) + f"SELECT {keyed}, CASE WHEN {_TREES} > 0.5 THEN 3 ELSE 2 END::BIGINT AS classification, {', '.join(f'round({n}, 6) AS {n}' for n in _F)} FROM wide {placed}",
         "dataset_segments": _with(*feat) + f"""SELECT h1 // 2 AS id1, h1 % 2 + 1 AS hap1, h2 // 2 AS id2, h2 % 2 + 1 AS hap2, '20' AS chrom, start_bp AS start, end_bp AS "end", round({total}, 3) AS cm
             FROM wide {placed} WHERE NOT {_TREES} > 0.5""",

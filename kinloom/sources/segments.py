@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,26 @@ def write_dataset(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").csv(path, header=True)
 
 
+def save_bucketed(segs: DataFrame, name: str, buckets: int, key: tuple[str, str] = ("h1", "h2")) -> DataFrame:
+    """The table ``name`` of the catalog: segments in ``buckets`` files, dealt out and sorted by their pair.
+
+    Tables with the same number of buckets meet without a shuffle (see :func:`side_by_side`)."""
+    segs.repartition(buckets, *key).write.mode("overwrite").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+    return segs.sparkSession.table(name)
+
+
+@contextmanager
+def side_by_side(spark: SparkSession) -> Iterator[None]:
+    """Plans made in here join tables where their buckets are, though the joins have further keys than the buckets."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a tab separated file; lines that don't fit the schema are left out."""
     return spark.read.csv(path, sep="\t", schema=schema, mode="DROPMALFORMED")

@@ -2,8 +2,9 @@
 
 import pytest
 from engine_helpers import rows
+from pyspark.sql import functions as F
 
-from kinloom.functions.models import Network, Trees, network_columns
+from kinloom.functions.models import Network, Trees, scored, tree_columns
 from kinloom.operators import evaluate, features, gmap, panel, seeds, smooth
 from kinloom.params import Detection, Smoothing
 
@@ -104,9 +105,15 @@ def test_network_file_and_two_ways_to_score(spark):
     again = Network.parse(net.pack())
     x = rng.normal(size=(5, 4))
     assert np.allclose(net.predict(x), again.predict(x), atol=1e-5)
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>")
-    got = [r[1] for r in sorted(df.select("id", network_columns(df["x"], net)).collect())]
-    assert np.allclose(got, net.predict(x))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, `b.b` double, c double, score double")
+    got = scored(df, ["a", "b.b", "c", "score"], net, "out")
+    assert got.columns == [*df.columns, "out"]
+    assert np.allclose([r.out for r in sorted(got.collect())], net.predict(x))
+    over = scored(df, ["a", "b.b", "c", "score"], net)  # a column of that name is replaced
+    assert over.columns == df.columns and np.allclose([r.score for r in sorted(over.collect())], net.predict(x))
+    missing = spark.createDataFrame([(1.0, None)], "a double, b double")
+    one = Network([np.ones((1, 2))], [np.zeros(1)])
+    assert scored(missing, ["a", "b"], one).first().score is None
     with pytest.raises(ValueError):
         Network.parse(b"\0" * 12)
     with pytest.raises(ValueError):
@@ -124,6 +131,42 @@ def test_trees_take_the_default_side_of_a_missing_value():
     assert np.allclose(got, 1 / (1 + np.exp([2.0, -2.0, -2.0])))
 
 
+def test_trees_in_the_jvm_score_as_over_arrays(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def grown(depth):
+        """A tree with leaves at all depths up to ``depth``."""
+        t = {k: [] for k in ("left_children", "right_children", "split_indices", "split_conditions", "default_left")}
+
+        def node(d):
+            at = len(t["left_children"])
+            for k, v in zip(t, (-1, -1, int(rng.integers(3)), float(np.float32(rng.normal())), bool(rng.integers(2)))):
+                t[k].append(v)
+            if d and (d == depth or rng.random() < 0.8):
+                t["left_children"][at], t["right_children"][at] = node(d - 1), node(d - 1)
+            return at
+
+        node(depth)
+        return {k: np.array(v, np.float32 if k == "split_conditions" else None) for k, v in t.items()}
+
+    model = Trees([grown(d) for d in (0, 1, 3, 6)], -0.25)
+    x = rng.normal(size=(200, 3))
+    x[::7, 1] = np.nan
+    x[0] = model.trees[1]["split_conditions"][0]  # equal to a condition: right
+    x[1] = [np.inf, -np.inf, np.inf]
+    df = spark.createDataFrame([(i, *(None if i % 2 and np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+    got = scored(df, ["a", "b", "c"], model)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose([r.score for r in sorted(got.collect())], model.predict(x), rtol=1e-12)
+    many = Trees([grown(4) for _ in range(20)], 0.5)  # over Arrow batches
+    assert np.allclose([r.score for r in sorted(scored(df, ["a", "b", "c"], many).collect())], many.predict(x))
+    walked = df.select("id", tree_columns(F.array(*[F.coalesce(F.col(c), F.lit(float("nan"))).cast("float") for c in "abc"]), many).alias("score"))
+    assert np.allclose([r.score for r in sorted(walked.collect())], many.predict(x), rtol=1e-12)
+    assert np.allclose([r.score for r in scored(df, ["a"], Trees([], 0.5)).collect()], 1 / (1 + np.exp(-0.5)))
+
+
 def test_site_types_and_packing(spark):
     haps = panel_of(spark, [[0, 1, 0], [0, 1, 1], [0, 1, 0], [0, 1, 0]])
     c = panel.allele_counts(haps)

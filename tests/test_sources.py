@@ -7,6 +7,7 @@ import pytest
 from engine_helpers import rows
 
 from kinloom import streaming
+from kinloom.operators import evaluate
 from kinloom.sources import maps, segments, vcf
 
 HEAD = ["##fileformat=VCFv4.2", "\t".join([*("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split()), "a", "b"])]
@@ -82,3 +83,29 @@ def test_error_log(spark):
     loci = spark.createDataFrame([("1", 7, 3), ("1", 2, 2)], "chrom string, site_id bigint, hap_id bigint")
     names = spark.createDataFrame([(0, "a"), (1, "b")], "sample_idx bigint, sample_id string")
     assert rows(segments.error_lines(loci, names)) == [("a",), ("b\t2\t7",)]
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    kind = "chrom string, h1 bigint, h2 bigint, start_bp bigint, end_bp bigint"
+    one = spark.createDataFrame([(c, i, i + 1, 100 * k, 100 * k + 80) for c in "12" for i in range(9) for k in range(4)], kind)
+    two = spark.createDataFrame([("1", i, i + 1, 50, 290) for i in range(0, 9, 2)], kind)
+    name = lambda s: s.selectExpr("chrom", "h1 id1", "h2 id2", "double(start_bp) start", "double(end_bp) end")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        a, b = (name(segments.save_bucketed(s, n, 5)) for s, n in ((one, "reported_b"), (two, "truth_b")))
+        with segments.side_by_side(spark):
+            for fn, x, y in ((evaluate.best_coverage, a, b), (evaluate.split_by_truth, a, b)):
+                plan = fn(x, y)._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange" not in plan and "SortMergeJoin" in plan
+            assert rows(evaluate.best_coverage(a, b)) == rows(evaluate.best_coverage(name(one), name(two)))
+            for fn in (evaluate.power, evaluate.accumulative_power):
+                found = fn(b, a)
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange hashpartitioning" not in plan
+                assert rows(found) == rows(fn(name(two), name(one)))
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for n in ("reported_b", "truth_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
