@@ -20,7 +20,8 @@ chunks once; three passes over the chunks exchange only digests with buckets:
 
 Defined results: a null text is an empty one; texts shorter than ``length``
 keep everything; documents that share an id don't count as earlier than each
-other; rows without an id come after all others; an empty table gives no rows.
+other; rows without an id come after all others, in the order of a hash of their texts (so equal
+ones keep theirs), and are dealt out by it; ids are expected below 2**62; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ LENGTH = 50
 CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES = 4 << 20, 8 << 20, 2 << 20
 #: Chunks that may hold an anchor before its parts are combined in slices.
 HOT_CHUNKS = 128
+#: Rows without an id go by numbers from here on.
+NO_ID = 1 << 62
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
@@ -185,16 +188,12 @@ def _joined(arrays, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() or b"" for x in arrays), dtype)
 
 
-def _ids(column) -> np.ndarray:
-    return column.combine_chunks().fill_null(_LAST).to_numpy().astype(np.int64)
-
-
 def _texts(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     return bytehash.slices(t["text"].combine_chunks().cast(pa.large_string()))
 
 
 def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_buckets: int, slices: int) -> DataFrame:
-    """``chunk, ids, starts, ends``: byte ranges to remove, packed, of ``docs(doc_id, text, __chunk)``.
+    """``chunk, ids, starts, ends``: byte ranges to remove, packed, of ``docs(__key, text, __chunk)``; the key orders the documents.
 
     Other columns of ``docs`` ride along, so that all passes share one exchange.
     """
@@ -203,7 +202,7 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
 
     def find(t: pa.Table) -> pa.Table:
         release()
-        ids = _ids(t["doc_id"])
+        ids = t["__key"].to_numpy()
         values, owner = [], []
         for at, data, bounds in _texts(t):
             first, _, h = anchors(data, bounds, length, inner)
@@ -249,7 +248,7 @@ def plan_removals(docs: DataFrame, length: int, anchor_buckets: int, part_bucket
         release()
         out = {c: [] for c in ("bucket", "slice", "chunk", "ids", "starts", "sizes", "data", "given")}
         if len(t) and len(hits):
-            ids, k = _ids(t["doc_id"]), t["__chunk"][0].as_py()
+            ids, k = t["__key"].to_numpy(), t["__chunk"][0].as_py()
             # bucket, 31 bits, whether hot
             known = np.sort(np.concatenate([np.frombuffer(p.as_py(), np.uint32).astype(np.int64) | b << 32 for b, p in zip(hits["bucket"].to_numpy(), hits["packed"])]))
             found = [_parts_of(ids[at:at + len(bounds) - 1], data, bounds, known) for at, data, bounds in _texts(t)]
@@ -425,12 +424,14 @@ def _with_removals(docs: DataFrame, length: int, act, schema) -> DataFrame:
     bound_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, anchor_buckets, part_buckets = (max(16, -(-size // x)) for x in (CHUNK_BYTES, ANCHOR_BUCKET_BYTES, PART_BUCKET_BYTES))
-    dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(NO_ID)
+    dealt = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), hashed))
+    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(chunks)).cast("long"))
     plan = plan_removals(dealt, length, anchor_buckets, part_buckets, math.isqrt(chunks) + 1)
 
     def finish(t: pa.Table, spans: pa.Table) -> pa.Table:
         release()
-        ids = _ids(t["doc_id"])
+        ids = t["__key"].to_numpy()
         doc, a, z = (_joined(spans[c], kind) for c, kind in (("ids", np.int64), ("starts", np.int32), ("ends", np.int32)))
         o = np.argsort(doc, kind="stable")
         doc, a, z = doc[o], a[o], z[o]

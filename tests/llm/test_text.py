@@ -353,3 +353,15 @@ def test_placement_is_json_sized():
     where = packing.placement([([5, 3, 3], 2), ([3], 1)])
     assert json.loads(json.dumps({k: v.tolist() for k, v in where.items()})) == {
         "length": [3, 3, 5], "rank": [0, 4, 0], "each": [2, 1, 1], "sequence": [0, 2, 0], "offset": [5, 0, 0]}
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    """They come after the others, by a hash of their texts, and each keeps its own spans."""
+    shared, other = "a passage of more than fifty bytes that two of the rows hold, ", "the second passage, which only rows without an id do hold here; "
+    texts = [(1, shared + "x"), (None, "one " + shared), (None, "two " + other + "y"), (None, "three " + other), (None, "three " + other), (None, None), (None, "")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    keyed = [tuple(r) for r in docs.selectExpr("doc_id", f"coalesce(doc_id, shiftrightunsigned(xxhash64(coalesce(text, '')), 2) + {repeats.NO_ID})", "coalesce(text, '')").collect()]
+    want = brute_repeats(sorted({r[1:] for r in keyed}), 50)
+    order = lambda x: (x[0] or 0, x[1:])
+    assert sorted(map(tuple, repeats.removals(docs).collect()), key=order) == sorted(((i, *want[k]) for i, k, _ in keyed), key=order)
+    assert {r.text for r in repeats.trimmed(docs).collect() if r.doc_id == 1} == {shared + "x"}
