@@ -36,13 +36,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+#: Narrow rows of a checkpoint file, about.
+FILE_ROWS = 1 << 18
+
+
+def cut(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    A checkpoint has a file for each partition. Where about how many ``rows`` come
+    is known, partitions are put together without a shuffle into files of about
+    ``each`` rows, but not into fewer than two for each core.
+    """
     checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200, rows: int | None = None) -> DataFrame:
     """Smallest id reachable from each node of ``edges(a, b)``.
 
     Alternates large-star and small-star steps (both are one aggregate and one
@@ -56,7 +67,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v").distinct()
     )
-    e = cut(e)
+    e = cut(e, rows)
+    rows = e.count()
     before = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -72,7 +84,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
                                       F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
             .select("p.u", "p.v").where("u <> v").distinct()
         )
-        e = cut(small)
+        e = cut(small, 2 * rows)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first()
         if now == before or now[0] == now[2] and e.join(
             e.select(F.col("u").alias("v")), "v", "left_semi"
@@ -99,7 +111,7 @@ def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """
     (name,) = ids.columns
     pages = cut(ids.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(name).alias("_page")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias("_bits")))
+        F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias("_bits")), 0)
     if pages.count() * BITMAP_PAGE > BITMAP_BYTES:
         return df.join(ids.select(F.col(name).alias("_id")).distinct(), F.col(column) == F.col("_id"), "left_semi")
     at = F.bitmap_bit_position(column)

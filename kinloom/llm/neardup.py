@@ -44,6 +44,8 @@ from .common import among, bound_batches, connected_components, cut, release
 
 #: Trees, values of a label, and how many of them rows of a region share at least.
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
+#: Rows of a file that a task compares with many others, and pairs of texts that it confirms, about.
+HEAVY_ROWS, TEXT_PAIRS = 1 << 15, 1 << 12
 #: Rows of a region that are compared with each other.
 REGION = 512
 #: Numbers of large regions that are broadcast at most; beyond, they are joined by shuffle.
@@ -106,21 +108,22 @@ def forest(reps: DataFrame) -> DataFrame:
         "tree", F.substring("labels", F.col("tree") * size + 1, F.lit(size)).alias("label"), "rep", "n", "s0", "s1")
 
 
-def subtrees(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def subtrees(rows: DataFrame, n_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """``g, label, rep, n, s0, s1``: every row of the forest in its subtree ``g``, which is as deep as it needs to be
     for ``REGION`` rows; and the rows ``g, rep, n, s0, s1`` of the regions that were too large, whole.
 
     Whole labels that too many rows share are dealt into parts, each of which has the first row of all.
+    ``n_rows``: how many rows there are at most, where that is known.
     """
     columns = ("label", "rep", "n", "s0", "s1")
     out, rest, large = None, rows, None
     for depth in range(LEAST_DEPTH, DEPTH + 1):
         rest = rest.withColumn("g", F.xxhash64("tree", F.substring("label", 1, depth * VALUE_BYTES)))
-        hot = cut(rest.groupBy("g").count().where(F.col("count") > REGION))
+        hot = cut(rest.groupBy("g").count().where(F.col("count") > REGION), None if n_rows is None else n_rows // REGION)
         n_hot = hot.count()
         if n_hot:
             hot = F.broadcast(hot) if n_hot <= HOT_ROWS else hot
-            part, rest = rest.join(hot, "g", "left_anti"), cut(rest.join(hot, "g"))
+            part, rest = rest.join(hot, "g", "left_anti"), cut(rest.join(hot, "g"), n_rows)
         else:
             part, rest = rest, None
         part = part.select("g", *columns)
@@ -307,22 +310,22 @@ def region_links(with_sets: DataFrame, num: int, den: int) -> DataFrame:
     return with_sets.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(lambda b: runs(b, act), "a bigint, b bigint").distinct()
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
+def blocks(rows: DataFrame, size: int, n_rows: int) -> DataFrame:
     """``rows(g, rep, c, ...)`` in ``block`` and ``part``: every two parts of a region ``g`` of which
     some rows are in different components ``c`` meet in one block, and such a part meets itself in one.
 
-    A component of ``size`` rows or more has parts of its own, the others share parts.
+    A component of ``size`` rows or more has parts of its own, the others share parts. ``n_rows``: how many rows there are.
     """
-    per = cut(rows.groupBy("g", "c").agg(F.count("*").alias("k")))
+    per = cut(rows.groupBy("g", "c").agg(F.count("*").alias("k")), n_rows)
     number = lambda k: F.ceil(F.col(k) / size).cast("long")
     big = per.where(F.col("k") >= size).select("g", "c", number("k").alias("own"))
     small = per.where(F.col("k") < size).groupBy("g").agg(F.sum("k").alias("k")).select("g", number("k").alias("shared"))
-    big, small = (cut(x) for x in (big, small))
+    big, small = (cut(x, n_rows) for x in (big, small))
     own_part = lambda k: F.xxhash64(F.lit(1), "g", "c", k)
     shared_part = lambda k: F.xxhash64(F.lit(0), "g", k)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("k")
     parts = cut(big.select("g", "c", each("own")).select("g", own_part(F.col("k")).alias("part"), "c").unionByName(
-        small.select("g", each("shared")).select("g", shared_part(F.col("k")).alias("part"), F.lit(None).cast("bigint").alias("c"))))
+        small.select("g", each("shared")).select("g", shared_part(F.col("k")).alias("part"), F.lit(None).cast("bigint").alias("c"))), n_rows)
     p, q = parts.select("g", "part", "c"), parts.select("g", F.col("part").alias("part2"), F.col("c").alias("c2"))
     met = p.join(q, "g").where((F.col("part") <= F.col("part2")) & ~F.coalesce(F.col("c") == F.col("c2"), F.lit(False)))
     met = met.withColumn("block", F.xxhash64("part", "part2"))
@@ -396,15 +399,17 @@ def block_links(with_sets: DataFrame, num: int, den: int) -> DataFrame:
     return named.repartition("g").sortWithinPartitions("g", "rep").mapInArrow(lambda b: runs(b, act), "a bigint, b bigint").distinct()
 
 
-def large_links(docs: DataFrame, rows: DataFrame, joined: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
-    """The links between components that the rows of large regions have, whatever the size of a region."""
+def large_links(docs: DataFrame, rows: DataFrame, joined: DataFrame, shingle: int, num: int, den: int, n_rows: int) -> DataFrame | None:
+    """The links between components that the rows of large regions have, whatever the size of a region; ``n_rows`` rows at most."""
     label = cut(rows.join(joined, rows["rep"] == joined["id"], "left").select(
-        "g", "rep", "n", "s0", "s1", F.coalesce("component", "rep").alias("c")))
-    rest = cut(crossing(blocks(label, 4 * REGION), num, den))
-    if rest.isEmpty():
+        "g", "rep", "n", "s0", "s1", F.coalesce("component", "rep").alias("c")), n_rows)
+    n_rows = label.count()
+    rest = cut(crossing(blocks(label, 4 * REGION, n_rows), num, den), n_rows)
+    n_rest = rest.count()
+    if not n_rest:
         return None
     sets = full_sets(docs, rest.select("rep").distinct(), shingle)
-    return cut(block_links(blocks(rest, -(-REGION // 2)).join(sets, "rep"), num, den))
+    return cut(block_links(blocks(rest, -(-REGION // 2), n_rest).join(sets, "rep"), num, den), n_rest)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -433,26 +438,29 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100)
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     f = cut(features(docs, shingle))
+    n_rows = TREES * f.count()
     reps = f.where("n > 0").groupBy("ha", "hb", "n").agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s0", "s1", "labels"))).where("rep IS NOT NULL")
-    bounded, large = subtrees(forest(reps))
-    near = cut(first_candidates(bounded, num, den))
+    bounded, large = subtrees(forest(reps), n_rows)
+    near = cut(first_candidates(bounded, num, den), n_rows, HEAVY_ROWS)
     longest = near.groupBy("rep").agg(F.max(F.struct("prefix", (-F.col("deep")).alias("deep"))).alias("d")).select(
         F.least(-F.col("d.deep"), "rep").alias("a"), F.greatest(-F.col("d.deep"), "rep").alias("b"))
     tied = near.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    pairs = cut(tied.unionByName(longest).distinct())
-    links = cut(confirmed(docs, pairs, shingle, num, den))
-    joined = connected_components(links)
+    pairs = cut(tied.unionByName(longest).distinct(), 2 * near.count())
+    links = cut(confirmed(docs, pairs, shingle, num, den), pairs.count(), TEXT_PAIRS)
+    n_links = links.count()
+    joined = connected_components(links, rows=n_links)
     label = near.join(joined, near["rep"] == joined["id"], "left").select(
         "g", "rep", "n", "s0", "s1", F.coalesce("component", "rep").alias("c"))
-    rest = cut(open_rows(label, num, den))
-    if not rest.isEmpty():
+    rest = cut(open_rows(label, num, den), n_rows, HEAVY_ROWS)
+    n_rest = rest.count()
+    if n_rest:
         sets = full_sets(docs, rest.select("rep").distinct(), shingle)
-        links = cut(links.unionByName(region_links(rest.join(sets, "rep").select("g", "rep", "c", "own"), num, den)))
-        joined = connected_components(links)
-    more = large_links(docs, large, joined, shingle, num, den) if large is not None else None
+        links = cut(links.unionByName(region_links(rest.join(sets, "rep").select("g", "rep", "c", "own"), num, den)), n_links + n_rest)
+        joined = connected_components(links, rows=n_links + n_rest)
+    more = large_links(docs, large, joined, shingle, num, den, n_rows) if large is not None else None
     if more is not None:
-        joined = connected_components(links.unionByName(more))
+        joined = connected_components(links.unionByName(more), rows=n_links + n_rest + more.count())
     cls = reps.select("ha", "hb", "n", "rep").join(joined, F.col("rep") == joined["id"], "left").select(
         "ha", "hb", "n", F.coalesce("component", "rep").alias("component_id"))
     out = f.select("doc_id", "n", "ha", "hb").join(cls, ["ha", "hb", "n"], "left")
