@@ -85,7 +85,7 @@ def filtered(found: Found, model: Network | Trees, below: float = 0.5) -> DataFr
     """Segments whose scaled features the model gives a low probability of being false."""
     names = features.feature_names()
     segs = written(found.segments)
-    mm = seeds.packed_mismatches(found.words, segs.select("chrom", "h1", "h2").distinct())
+    mm = seeds.mismatches_inside(found.words, segs)
     f = written(features.wide(features.chunked(segs, found.sites, mm, found.corrections)))
     ok = kept(scored(features.scaled(f, names), names, model), below=below).select(*features.KEY)
     return segs.join(ok, list(features.KEY), "left_semi")
