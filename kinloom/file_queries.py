@@ -247,11 +247,16 @@ def corrections_by_haplotype(spark, d):
 
 def _nearly_clean(spark, d) -> DataFrame:
     """The panel after smoothing, with one allele in some thousands flipped again."""
-    out, _ = smooth.smoothed(q.error_panel(spark, d), q.S)
-    for _ in range(3):
-        out = smooth.apply_corrections(out, smooth.corrections(written(out), q.S))
+    n = q.sites(spark, d).groupBy("chrom").agg((F.max("site_id") + 1).alias("n"))
+    words = written(seeds.packed(q.error_panel(spark, d)).join(F.broadcast(n), "chrom"))
+    for k in range(4):
+        edits = written(smooth.packed_corrections(words, q.S))
+        if k or not smooth.is_smooth_already(edits.count(), q.error_panel(spark, d).count()):
+            words = written(smooth.words_flipped(words, edits))
+    each = words.select("*", F.explode(F.lit(list(range(panel.WORD)))).alias("i")).withColumn("site_id", F.col("block") * panel.WORD + F.col("i")).where("site_id < n")
     hit = F.expr("(hap_id * 31 + site_id * 17) % 4001 = 7")
-    return written(out.withColumn("allele", F.when(hit, 1 - F.col("allele")).otherwise(F.col("allele"))))
+    allele = F.getbit("bits", F.col("i")).cast("int")
+    return written(each.select("chrom", "site_id", "hap_id", F.when(hit, 1 - allele).otherwise(allele).alias("allele")))
 
 
 def smooth_again(spark, d):

@@ -71,7 +71,14 @@ def correction_events(haps: DataFrame, p: Smoothing) -> DataFrame:
 
 
 def corrections(haps: DataFrame, p: Smoothing) -> DataFrame:
-    """``chrom, site_id, hap_id, old, new``: alleles that differ after smoothing."""
+    """``chrom, site_id, hap_id, old, new``: alleles that differ after smoothing.
+
+    With a gap of one site and flanks that fit into a number the panel is packed first."""
+    if p.gap == 1 and p.length < WORD:
+        from .seeds import packed
+
+        n = haps.groupBy("chrom").agg((F.max("site_id") + 1).alias("n"))
+        return packed_corrections(packed(haps).join(F.broadcast(n), "chrom"), p)  # a row for each chromosome
     if p.gap == 1:
         d = decisions(haps, p)
     else:
@@ -114,6 +121,14 @@ def packed_corrections(words: DataFrame, p: Smoothing) -> DataFrame:
     return each.join(side, key).where("allele <> new").select("chrom", "site_id", "hap_id", F.col("allele").alias("old"), "new")
 
 
+def words_flipped(words: DataFrame, edits: DataFrame) -> DataFrame:
+    """``words(chrom, hap_id, block, bits, ...)`` with the alleles at ``edits(chrom, site_id, hap_id)`` flipped."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("site_id"), F.lit(WORD)).cast("int"))
+    masks = edits.select("chrom", "site_id", "hap_id").distinct().groupBy("chrom", "hap_id", F.floor(F.col("site_id") / WORD).alias("block")).agg(F.sum(bit).alias("_x"))
+    joined = words.join(masks, ["chrom", "hap_id", "block"], "left")
+    return joined.withColumn("bits", F.col("bits").bitwiseXOR(F.coalesce("_x", F.lit(0).cast("long")))).select(*words.columns)
+
+
 def sites_of(words: DataFrame) -> DataFrame:
     """``chrom, n``: sites of each chromosome of ``words(chrom, hap_id, block, bits, n)``."""
     if "n" not in words.columns:
