@@ -59,3 +59,16 @@ def test_many_haplotypes_are_searched_for_pairs(spark, monkeypatch):
     monkeypatch.setattr(seeds, "ALL", 5)
     assert seeds.compared_pairs(words, sites, 60).count() == seeds.least_pairs(words, sites, 60).count() < 15
     assert seeds.compared_pairs(words.limit(0), sites, 60).count() == 0
+
+
+def test_a_run_moves_to_its_pair_once(spark):
+    """The events of a run are made where its pair is, and runs without any are dropped before."""
+    from kinloom.operators import extend
+    from kinloom.params import Detection
+
+    sites = spark.createDataFrame([("1", i, 100 * i, i / 10) for i in range(120)], "chrom string, site_id long, bp long, cm double")
+    run = spark.createDataFrame([("1", 0, 2, 0, 30), ("1", 0, 2, 32, 34), ("1", 0, 2, 36, 70)], "chrom string, h1 long, h2 long, s long, e long")
+    found = extend.run_steps(run, sites, Detection(min_seed=3.0, max_gap=500, min_extend=2.0, min_markers=20))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate explode") < plan.index("RepartitionByExpression")
+    assert sorted(map(tuple, found.collect())) == [("1", 0, 2, False, 36, -1), ("1", 0, 2, True, 30, 70)]
