@@ -316,7 +316,7 @@ def grown_candidates(spark, d):
 def grown_pairs(spark, d):
     """Pairs with a seed, found where they begin to agree."""
     words, at = _grown_words(spark, d)
-    return seeds.seeds(seeds.begun_runs(words, at, q.P.min_markers, q.P.min_seed), at, q.P).groupBy("chrom", "h1", "h2").agg(F.count("*").alias("n_seeds"))
+    return seeds.seed_counts(words, at, q.P)
 
 
 def grown_runs(spark, d):
